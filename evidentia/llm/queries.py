@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .exact_dedup import exact_dedup
+from .mixing import mix
+from .packing import pack
 from .quality_rules import quality_rules
 from .store import table
 from .url_filters import url_filters
@@ -10,6 +12,21 @@ from .url_filters import url_filters
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_source_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs).select("doc_id", "source", "copy", "rate", "shuffle_key")
+
+
+def op6_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -23,11 +40,22 @@ def op10_url_filters(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_exact_dedup, op9_quality_rules, op10_url_filters)}
+    return {f.__name__: f for f in (op5_source_mixing, op6_best_fit_packing, op7_exact_dedup, op9_quality_rules, op10_url_filters)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_OP5 = """
+WITH RECURSIVE s AS (SELECT source, sum(len(coalesce(text, '')))::DOUBLE AS chars FROM documents GROUP BY source),
+r AS (SELECT source, CASE WHEN chars = 0 THEN 1.0 ELSE sum(chars) OVER () * sqrt(chars) / sum(sqrt(chars)) OVER () / chars END AS rate FROM s),
+d AS (SELECT row_number() OVER () AS n, doc_id, d.source, rate, ('0x' || substr(md5('17:' || doc_id || ':1'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+  FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+walk(n, rate, u, k, term, total) AS (SELECT n, rate, u, 0, exp(-rate), exp(-rate) FROM d
+  UNION ALL SELECT n, rate, u, k + 1, term * rate / (k + 1), total + term * rate / (k + 1) FROM walk WHERE total <= u),
+c AS (SELECT n, max(k) AS times FROM walk GROUP BY n)
+SELECT doc_id, source, copy, rate, md5('17/' || doc_id || '/' || copy) AS shuffle_key FROM d JOIN c USING (n), unnest(range(times)) AS x(copy)
+"""
+
 _OP7 = f"""
 WITH t AS (SELECT doc_id, {_LOWER} AS x FROM documents),
 g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
@@ -86,4 +114,4 @@ FROM base LEFT JOIN own USING (r) LEFT JOIN alias ON base.n = alias.a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": _OP7, "op9_quality_rules": _OP9, "op10_url_filters": _OP10}
+    return {"op5_source_mixing": _OP5, "op7_exact_dedup": _OP7, "op9_quality_rules": _OP9, "op10_url_filters": _OP10}
