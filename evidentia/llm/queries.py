@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .mixing import mix
 from .packing import pack
 from .quality_rules import quality_rules
@@ -18,6 +19,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "source", "copy", "rate", "shuffle_key")
@@ -40,7 +45,7 @@ def op10_url_filters(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_source_mixing, op6_best_fit_packing, op7_exact_dedup, op9_quality_rules, op10_url_filters)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op5_source_mixing, op6_best_fit_packing, op7_exact_dedup, op9_quality_rules, op10_url_filters)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
