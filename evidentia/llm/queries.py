@@ -6,8 +6,10 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .mixing import mix
 from .packing import pack
+from .quality_model import quality_classifier
 from .quality_rules import quality_rules
 from .store import table
+from .toxicity import toxicity
 from .url_filters import url_filters
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -23,6 +25,10 @@ def op2_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_source_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "source", "copy", "rate", "shuffle_key")
@@ -36,6 +42,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark, sf_dir):
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -45,7 +55,10 @@ def op10_url_filters(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op5_source_mixing, op6_best_fit_packing, op7_exact_dedup, op9_quality_rules, op10_url_filters)}
+    names = (
+        op2_ngram_jaccard_join, op3_toxicity, op5_source_mixing, op6_best_fit_packing, op7_exact_dedup, op8_quality_classifier, op9_quality_rules, op10_url_filters,
+    )
+    return {f.__name__: f for f in names}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
