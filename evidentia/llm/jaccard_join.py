@@ -12,7 +12,7 @@ components. Only pairs that still lie in different components after these rounds
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,31 +57,38 @@ def _rows(frags: np.ndarray, owner: np.ndarray, grams: np.ndarray, ids: np.ndarr
         yield row if held is None else row | {"held": held[a:b].astype("<i4").tobytes()}
 
 
-def _send(batches: Iterator[pa.RecordBatch], fragments: int) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # classes this task has sent; copies go once. Bounded by the documents of one partition.
-    sets: list[np.ndarray] = []
+def send(sets: Iterable[tuple[int, np.ndarray]], fragments: int) -> Iterator[pa.RecordBatch]:
+    """Rows of _SENT: (id, sorted distinct n-grams) pairs, cut along the global order and packed by fragment."""
     ids: list[int] = []
+    held: list[np.ndarray] = []
     waiting = 0
 
     def out() -> pa.RecordBatch:
-        sizes = np.array([len(s) for s in sets], np.int32)
-        grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        sizes = np.array([len(s) for s in held], np.int32)
+        grams, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
         frags = (grams >> np.uint64(BITS - 32)) * np.uint64(fragments) >> np.uint64(32)
         order = np.argsort(frags, kind="stable")
         return pa.RecordBatch.from_pylist(list(_rows(frags[order], owner[order], grams[order], np.array(ids, np.int64), sizes)), schema=_SENT)
 
+    for k, s in sets:
+        held.append(s)
+        ids.append(k)
+        waiting += len(s)
+        if waiting >= FLUSH:
+            yield out()
+            ids, held, waiting = [], [], 0
+    if held:
+        yield out()
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Set ids with their sets; copies within a task go once (it remembers an id for each of its documents)."""
+    seen: set[int] = set()
     for batch in batches:
         for s in shingle_sets(batch.column(0)):
             if len(s) and (k := set_id(s)) not in seen:
                 seen.add(k)
-                sets.append(s)
-                ids.append(k)
-                waiting += len(s)
-                if waiting >= FLUSH:
-                    yield out()
-                    sets, ids, waiting = [], [], 0
-    if sets:
-        yield out()
+                yield k, s
 
 
 def _unpacked(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -128,6 +135,17 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def shared_grams(docs: DataFrame, sets: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
+    """Rows of _SHARED, written: what each id shares with another one, by fragment."""
+    fragments = partitions(docs.sparkSession)
+    return keep(docs.mapInArrow(lambda b: send(sets(b), fragments), _SENT_SQL).groupBy("frag").applyInArrow(_find_shared, _SHARED_SQL))
+
+
+def shared_lists(shared: DataFrame) -> DataFrame:
+    """(id, grams, held) with a row for each id and fragment."""
+    return shared.mapInArrow(_shared_lists, "id long, grams array<long>, held array<int>")
+
+
 def gram_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, set_id); set_id is null for a text without words."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_sets, "doc_id long, n_shingles long, set_id long")
@@ -136,13 +154,11 @@ def gram_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 def similar_classes(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(members, parts): of the classes that may link at all, (id, size, gram) for each of their rarest shared n-grams,
     and (id, part, grams) with all their shared n-grams by fragment of the global order."""
-    fragments = partitions(docs.sparkSession)
-    sent = docs.select(F.col(text).alias("text")).mapInArrow(lambda b: _send(b, fragments), _SENT_SQL)
-    shared = keep(sent.groupBy("frag").applyInArrow(_find_shared, _SHARED_SQL))
+    shared = shared_grams(docs.select(F.col(text).alias("text")), _classes)
     counts = shared.mapInArrow(_shared_counts, "id long, size int, shared int").groupBy("id", "size").agg(F.sum("shared").alias("shared"))
     least = F.ceil(F.col("size").cast("long") * percent / 100)  # of a set's n-grams that a linked set has to hold
     able = keep(counts.where(F.col("shared") >= least).select("id", "size", (F.col("shared") - least + 1).cast("int").alias("rare")))
-    lists = shared.mapInArrow(_shared_lists, "id long, grams array<long>, held array<int>").join(able, "id")
+    lists = shared_lists(shared).join(able, "id")
     whole = keep(
         lists.groupBy("id", "size", "rare").agg(F.flatten(F.collect_list(F.arrays_zip(F.col("held"), F.col("grams").alias("gram")))).alias("x"))
         .select("id", "size", F.slice(F.array_sort("x"), F.lit(1), F.col("rare")).alias("rarest"), F.transform("x", lambda e: e["gram"]).alias("grams"))

@@ -9,6 +9,7 @@ from .packing import pack
 from .quality_model import quality_classifier
 from .quality_rules import quality_rules
 from .store import table
+from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 from .url_filters import url_filters
 
@@ -21,6 +22,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_url_filters(spark, sf_dir):
 
 def queries() -> dict:
     names = (
-        op2_ngram_jaccard_join, op3_toxicity, op5_source_mixing, op6_best_fit_packing, op7_exact_dedup, op8_quality_classifier, op9_quality_rules, op10_url_filters,
+        op1_substring_dedup, op2_ngram_jaccard_join, op3_toxicity, op5_source_mixing, op6_best_fit_packing, op7_exact_dedup, op8_quality_classifier, op9_quality_rules, op10_url_filters,
     )
     return {f.__name__: f for f in names}
 
