@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .attention_lm import lm_scores
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .mixing import mix
@@ -34,6 +35,10 @@ def op3_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_lm_scoring(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_source_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "source", "copy", "rate", "shuffle_key")
@@ -61,7 +66,7 @@ def op10_url_filters(spark, sf_dir):
 
 def queries() -> dict:
     names = (
-        op1_substring_dedup, op2_ngram_jaccard_join, op3_toxicity, op5_source_mixing, op6_best_fit_packing, op7_exact_dedup, op8_quality_classifier, op9_quality_rules, op10_url_filters,
+        op1_substring_dedup, op2_ngram_jaccard_join, op3_toxicity, op4_lm_scoring, op5_source_mixing, op6_best_fit_packing, op7_exact_dedup, op8_quality_classifier, op9_quality_rules, op10_url_filters,
     )
     return {f.__name__: f for f in names}
 
