@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .store import crc_mod
 
 FOLDS = 5  # rows whose crc32(id) is a multiple of this are held out
-SAMPLE = 8000  # labelled rows per fit, half of them for each label where there are enough
+SAMPLE = 3000  # labelled rows per fit, half of them for each label where there are enough
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> pd.DataFrame:

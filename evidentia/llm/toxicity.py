@@ -146,13 +146,14 @@ def aggregate(marginals: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _lexicon(forms: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Forms that tokens of toxic documents have significantly more often than their share of tokens explains."""
-    share = max(toxic.mean(), 1e-6)
-    flat, owner = forms.ravel(), np.repeat(toxic, forms.shape[1])
-    values, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    ones = np.bincount(inverse, owner, len(values))
-    expected = count * share
-    lift = np.log((ones + 0.5) / (expected + 0.5) * (count * (1 - share) + 0.5) / (count - ones + 0.5))
-    return values[((ones - expected) / np.sqrt(expected + 1) >= 4) & (lift >= 1.5) & (values != 0)]
+    share, found = max(toxic.mean(), 1e-6), []
+    for k in range(forms.shape[1]):
+        values, inverse, count = np.unique(forms[:, k], return_inverse=True, return_counts=True)
+        ones = np.bincount(inverse, toxic, len(values))
+        expected = count * share
+        lift = np.log((ones + 0.5) / (expected + 0.5) * (count * (1 - share) + 0.5) / (count - ones + 0.5))
+        found.append(values[((ones - expected) / np.sqrt(expected + 1) >= 4) & (lift >= 1.5) & (values != 0)])
+    return np.unique(np.concatenate(found))
 
 
 def fit_chain(texts: list[str], y: np.ndarray, share: float, steps: int = STEPS) -> Chain:
@@ -161,8 +162,14 @@ def fit_chain(texts: list[str], y: np.ndarray, share: float, steps: int = STEPS)
     if len(set(y.tolist())) < 2:
         return empty
     data, offsets = text_buffer(pa.array(texts, pa.large_string()))
-    forms, starts, _ = tokens(data, offsets)
-    bounds = np.searchsorted(starts, offsets)
+    parts, counts = [], []
+    for i, j in slices(offsets):
+        own = offsets[i : j + 1] - offsets[i]
+        some, starts, _ = tokens(data[offsets[i] : offsets[j]], own)
+        parts.append(some)
+        counts.append(np.diff(np.searchsorted(starts, own)))
+    forms, bounds = np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(counts)))
+    del parts
     use = (np.arange(len(y)) * 2654435761 % 2**32 / 2**32) < 0.6  # the chain learns from these, the head from the others
 
     def chosen(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
