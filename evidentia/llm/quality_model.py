@@ -21,6 +21,7 @@ from .store import crc_mod
 PASSAGE = 64  # words
 HIDDEN, GATE = 32, 16
 EPOCHS = 14
+CUT = 0.3  # documents that score less are rejected
 
 # Character classes: each ASCII symbol is one, then upper, lower, digit, space, line end, control, other.
 _CLASS = np.full(256, 38, np.int64)
@@ -107,7 +108,8 @@ def fit_attention(texts: list[str], y: np.ndarray, share: float, epochs: int = E
         net.p["o"] *= 0
         return net
     data, offsets = text_buffer(pa.array(texts, pa.large_string()))
-    x, firsts = passages(data, offsets)
+    parts = [passages(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets)]
+    x, firsts = np.concatenate([p[0] for p in parts]), np.append(0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts])))
     net.mean, net.scale = x.mean(0), x.std(0) + 0.02
     rng, moments, step = np.random.default_rng(seed), {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}, 0
     ones = y.mean()
@@ -131,18 +133,32 @@ def fit_attention(texts: list[str], y: np.ndarray, share: float, epochs: int = E
     return net
 
 
+def _scores(texts: pa.Array, net: Attention) -> np.ndarray:
+    data, offsets = text_buffer(texts)
+    scores = [np.zeros(0)]
+    for a, b in slices(offsets):
+        x, firsts = passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        scores.append(net.forward(x, firsts)["s"].astype(np.float64))
+    return np.concatenate(scores)
+
+
 def _score(batches: Iterator[pa.RecordBatch], net: Attention) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = text_buffer(batch.column(1))
-        scores = []
-        for a, b in slices(offsets):
-            x, firsts = passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            scores.append(net.forward(x, firsts)["s"].astype(np.float64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), net))], names=["doc_id", "score"])
+
+
+def _accept(batches: Iterator[pa.RecordBatch], net: Attention, text: str, cut: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(_scores(batch.column(batch.schema.get_field_index(text)), net) >= cut))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Attention:
+    rows = training_sample(docs, labels, label, sample, doc_id, text)
+    return fit_attention(rows["text"].tolist(), rows["y"].to_numpy(), prior(labels, label))
 
 
 def quality_classifier(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, cut: float = 0.3
+    docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, cut: float = CUT
 ) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
@@ -150,7 +166,12 @@ def quality_classifier(
     its number of passages. Null and empty texts are one empty passage; without labels of both kinds every text gets the
     prior; repeated rows get equal scores; null ids are scored; no rows give no rows.
     """
-    rows = training_sample(docs, labels, label, sample, doc_id, text)
-    net = fit_attention(rows["text"].tolist(), rows["y"].to_numpy(), prior(labels, label))
+    net = quality_model(docs, labels, label, doc_id, text, sample)
     scored = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda b: _score(b, net), "doc_id long, score double")
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def quality_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
+    """The rows of docs, with all columns, that the classifier accepts; texts are scored in place, so nothing is joined."""
+    net = quality_model(docs, labels, label, doc_id, text, sample)
+    return docs.mapInArrow(lambda b: _accept(b, net, text, cut), docs.schema)
