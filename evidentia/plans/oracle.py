@@ -146,4 +146,12 @@ q AS (SELECT p.*, CASE WHEN p.o = p.e THEN 0 WHEN c.cost IS NOT NULL THEN c.cost
   FROM p LEFT JOIN c ON c.o = p.o AND c.e = p.e AND c.letter = (i = 3)),
 t AS (SELECT p_partkey, code, w, lost, sum(k) + 0.42 * lost AS cost FROM q GROUP BY p_partkey, code, w, lost)
 SELECT p_partkey, code, round(greatest(0, 1 - min(cost) / 2.6), 9)::DOUBLE AS score FROM t GROUP BY 1, 2 HAVING round(greatest(0, 1 - min(cost) / 2.6), 9) > 0""",
+    "text_plausibility": rf"""WITH v AS (SELECT p_partkey, trim(txt) AS v, len(regexp_replace(trim(txt), '[^\pL\pN]', '', 'g')) AS an, len(regexp_replace(trim(txt), '[^\pL]', '', 'g')) AS al FROM {_NOISY})
+SELECT p_partkey, round(CASE WHEN an = 0 THEN -70 ELSE least(an, 24) * 0.8::DOUBLE + CASE WHEN al >= 3 THEN 7 ELSE 0 END + CASE WHEN regexp_full_match(v, '[A-Za-z]{{1,3}}[0-9]+[A-Za-z0-9.-]*') THEN 12 ELSE 0 END
+  - CASE WHEN regexp_full_match(v, '[0-9.]+') THEN 30 ELSE 0 END - CASE WHEN an = 1 AND NOT regexp_matches(v, '[0-9]') THEN 28 ELSE 0 END - CASE WHEN contains(v, '?') THEN 18 ELSE 0 END
+  - CASE WHEN regexp_matches(v, '^[^A-Za-z0-9]') THEN 12 ELSE 0 END END, 6)::DOUBLE AS points, regexp_full_match(regexp_replace(v, '[^A-Za-z0-9_.-]', '', 'g'), '[A-Za-z]{{1,3}}[0-9]+[A-Za-z0-9_.-]*') AS short FROM v""",
+    "clean_labels": r"""WITH a AS (SELECT doc_id, regexp_replace(substr(text, 1, 60), '[^\pL\pM\pN_ .|/()''\s-]+', '', 'g') AS v FROM documents),
+b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(v, '^[\])}|]+', ''), '[\[({|]+$', ''), '\s+', ' ', 'g')) AS v FROM a),
+w AS (SELECT doc_id, list_transform(string_split(v, ' '), lambda x: CASE WHEN len(regexp_replace(x, '[^\pL]', '', 'g')) >= 2
+  AND len(regexp_replace(x, '[^\p{Lu}]', '', 'g')) >= len(regexp_replace(x, '[^\pL]', '', 'g')) - 1 THEN upper(x) ELSE x END) AS w FROM b) SELECT doc_id, array_to_string(w, ' ') AS label FROM w""",
 }
