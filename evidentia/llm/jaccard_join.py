@@ -6,8 +6,8 @@ travel as one class. Three exact filters leave few pairs:
 * a set links only if at least 80 % of its n-grams are shared with other classes at all;
 * of the remaining ones, linked sets share one of their rarest n - ceil(0.8 n) + 1 n-grams;
 * sizes must allow the similarity.
-Classes that share such a rare n-gram are first compared with one hub each, round by round, and linked ones contract to
-components. Only pairs that still lie in different components after these rounds are compared one by one.
+Each class is compared with one hub among those that share such a rare n-gram, and linked ones contract to components.
+What still lies in different components is compared in blocks, again by fragments of the order.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .grams import BITS, pack48, set_id, shingle_sets, unpack48
+from .grams import BITS, mixed, pack48, set_id, shingle_sets, unpack48
 from .store import keep, partitions
 
 PERCENT = 80
 FLUSH = 1 << 20  # n-grams gathered by a task before they are handed out to fragments
-HUB_ROUNDS = 3
 PARTS = 8  # fragments in which overlaps are counted
+BLOCK = 1024  # classes (and n-grams) of a block in the last comparison
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64())])
 _SENT = pa.schema([("frag", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
@@ -119,19 +119,47 @@ def _find_shared(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(list(_rows(frag, owner[use], grams[use], ids, sizes, held[use])), schema=_SHARED)
 
 
-def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_LISTS = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("grams", pa.list_(pa.int64())), ("held", pa.list_(pa.int32()))])
+_LISTS_SQL = "id long, size int, grams array<long>, held array<int>"
+
+
+def _by_class(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A fragment's classes dealt out to buckets of classes, still packed: rows of _SHARED with the bucket in place of frag."""
     for batch in batches:
-        ids, sizes, counts, _, _ = _unpacked(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(counts)], names=["id", "size", "shared"])
+        for i in range(batch.num_rows):
+            ids, sizes, counts, grams, held = _unpacked(batch.slice(i, 1))
+            bucket = mixed(ids.view(np.uint64)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            starts = np.cumsum(counts) - counts
+            at = np.repeat(starts[order], counts[order]) + np.arange(len(grams)) - np.repeat(np.cumsum(counts[order]) - counts[order], counts[order])
+            own = np.repeat(order, counts[order])
+            yield pa.RecordBatch.from_pylist(list(_rows(bucket[own], own, grams[at], ids, sizes, held[at])), schema=_SHARED)
+
+
+def _class_lists(table: pa.Table, percent: int) -> pa.Table:
+    """Of the classes of a bucket, with what all fragments found: those that share `percent` of their n-grams."""
+    ids, sizes, counts, grams, held = _unpacked(table)
+    values, inverse = np.unique(ids, return_inverse=True)
+    total = np.bincount(inverse, counts, len(values)).astype(np.int64)
+    size = np.zeros(len(values), np.int64)
+    size[inverse] = sizes
+    good = 100 * total >= percent * size
+    owner = np.repeat(inverse, counts)
+    order = np.argsort(owner, kind="stable")
+    order = order[good[owner[order]]]
+    at = pa.array(np.append(0, np.cumsum(total[good])).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (grams[order].astype(np.int64), held[order].astype(np.int32))]
+    return pa.Table.from_arrays([pa.array(values[good]), pa.array(size[good].astype(np.int32)), *lists], schema=_LISTS)
 
 
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            ids, _, counts, grams, held = _unpacked(batch.slice(i, 1))
+            ids, sizes, counts, grams, held = _unpacked(batch.slice(i, 1))
             at = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.ListArray.from_arrays(at, pa.array(grams.astype(np.int64))), pa.ListArray.from_arrays(at, pa.array(held))], names=["id", "grams", "held"]
+                [pa.array(ids), pa.array(sizes), pa.ListArray.from_arrays(at, pa.array(grams.astype(np.int64))), pa.ListArray.from_arrays(at, pa.array(held))],
+                names=["id", "size", "grams", "held"],
             )
 
 
@@ -142,8 +170,8 @@ def shared_grams(docs: DataFrame, sets: Callable[[Iterator[pa.RecordBatch]], Ite
 
 
 def shared_lists(shared: DataFrame) -> DataFrame:
-    """(id, grams, held) with a row for each id and fragment."""
-    return shared.mapInArrow(_shared_lists, "id long, grams array<long>, held array<int>")
+    """(id, size, grams, held) with a row for each id and fragment."""
+    return shared.mapInArrow(_shared_lists, "id long, size int, grams array<long>, held array<int>")
 
 
 def gram_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,30 +179,26 @@ def gram_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_sets, "doc_id long, n_shingles long, set_id long")
 
 
-def similar_classes(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(members, parts): of the classes that may link at all, (id, size, gram) for each of their rarest shared n-grams,
-    and (id, part, grams) with all their shared n-grams by fragment of the global order."""
-    shared = shared_grams(docs.select(F.col(text).alias("text")), _classes)
-    counts = shared.mapInArrow(_shared_counts, "id long, size int, shared int").groupBy("id", "size").agg(F.sum("shared").alias("shared"))
-    least = F.ceil(F.col("size").cast("long") * percent / 100)  # of a set's n-grams that a linked set has to hold
-    able = keep(counts.where(F.col("shared") >= least).select("id", "size", (F.col("shared") - least + 1).cast("int").alias("rare")))
-    lists = shared_lists(shared).join(able, "id")
-    whole = keep(
-        lists.groupBy("id", "size", "rare").agg(F.flatten(F.collect_list(F.arrays_zip(F.col("held"), F.col("grams").alias("gram")))).alias("x"))
-        .select("id", "size", F.slice(F.array_sort("x"), F.lit(1), F.col("rare")).alias("rarest"), F.transform("x", lambda e: e["gram"]).alias("grams"))
-    )
-    members = whole.select("id", "size", F.explode("rarest").alias("r")).select("id", "size", F.col("r.gram").alias("gram"))
+def similar_classes(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Of the classes that may link at all: (id, size, weight, rarest, grams), written. grams are all their shared n-grams in
+    the global order, rarest those of which linked classes have one in common, weight their mean number of holders."""
+    shared, n = shared_grams(docs.select(F.col(text).alias("text")), _classes), partitions(docs.sparkSession)
+    lists = shared.mapInArrow(lambda b: _by_class(b, n), _SHARED_SQL).groupBy("frag").applyInArrow(lambda t: _class_lists(t, percent), _LISTS_SQL)
+    least = F.ceil(F.col("size").cast("long") * percent / 100).cast("int")  # of a set's n-grams that a linked set has to hold
+    found = lists.select("id", "size", F.arrays_zip(F.col("held").alias("held"), F.col("grams").alias("gram")).alias("x"))
+    ordered = found.select("id", "size", (F.size("x") - least + 1).alias("n"), F.array_sort("x").alias("x"))
+    grams = F.transform("x", lambda e: e["gram"])
+    weight = F.aggregate("x", F.lit(0.0), lambda a, e: a + e["held"]) / F.size("x")
+    return keep(ordered.select("id", "size", weight.alias("weight"), F.slice(grams, F.lit(1), F.col("n")).alias("rarest"), F.array_sort(grams).alias("grams")))
 
-    def within(part: int) -> Column:
-        return F.filter("grams", lambda g: F.shiftright(g, BITS - PARTS.bit_length() + 1) == part)
 
-    ranges = [within(p) for p in range(PARTS)]
-    parts = whole.select("id", F.posexplode(F.array(*ranges)).alias("part", "grams")).where(F.size("grams") > 0)
-    return keep(members), keep(parts)
+def linked_pairs(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of pairs (a, size_a, b, size_b) that link: overlaps are counted per fragment and summed per pair."""
 
+    def within(part: int) -> Column:
+        return F.filter("grams", lambda g: F.shiftright(g, BITS - PARTS.bit_length() + 1) == part)
 
-def linked_pairs(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of pairs (a, size_a, b, size_b) that link: overlaps are counted per fragment and summed per pair."""
+    parts = classes.select("id", F.posexplode(F.array(*[within(p) for p in range(PARTS)])).alias("part", "grams")).where(F.size("grams") > 0)
     left = parts.select(F.col("id").alias("a"), "part", F.col("grams").alias("ga"))
     right = parts.select(F.col("id").alias("b"), "part", F.col("grams").alias("gb"))
     both = pairs.join(left, "a").join(right, ["b", "part"])
@@ -182,43 +206,75 @@ def linked_pairs(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) ->
     return overlap.where(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared")))
 
 
-def _apart(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members with their component, of the n-grams that hold more than one component."""
-    m = members.withColumn("root", F.col("id")) if roots is None else members.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-    mixed = m.groupBy(F.col("gram").alias("g")).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
-    return keep(m.join(keep(mixed), F.col("gram") == F.col("g")).drop("g"))
-
-
-def class_links(members: DataFrame, parts: DataFrame, percent: int = PERCENT, rounds: int = HUB_ROUNDS) -> DataFrame:
-    """(a, b) links among classes that connect exactly what all links connect."""
-    roots, found, tested = None, None, None
-    fits = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    apart = _apart(members, None)
-    for r in range(rounds + 1):
-        if apart.isEmpty():
-            break
-        x = apart.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("ra"), "gram")
-        if r < rounds:
-            # One hub for each n-gram, another in every round; one comparison a round for each class at most.
-            turn = F.xxhash64("id", F.lit(r))
-            hubs = keep(apart.groupBy(F.col("gram").alias("g")).agg(F.min(F.struct(turn.alias("t"), F.col("id"), F.col("size"), F.col("root"))).alias("hub")))
-            offers = x.join(hubs, F.col("gram") == F.col("g")).select("a", "size_a", F.col("hub.t").alias("t"), F.col("hub.id").alias("b"), F.col("hub.size").alias("size_b"), F.col("hub.root").alias("rb"), "ra")
-            best = offers.where((F.col("ra") != F.col("rb")) & fits).groupBy("a", "size_a").agg(F.min(F.struct("t", "b", "size_b")).alias("o"))
-            pairs = best.select("a", "size_a", F.col("o.b").alias("b"), F.col("o.size_b").alias("size_b"))
-        else:
-            y = apart.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("rb"), F.col("gram").alias("g"))
-            pairs = x.join(y, F.col("gram") == F.col("g")).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "size_a", "b", "size_b").distinct()
-            if tested is not None:
-                known = tested.select(F.least("a", "b").alias("ka"), F.greatest("a", "b").alias("kb")).distinct()
-                pairs = pairs.join(known, (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left_anti")
-        pairs = keep(pairs)
-        new = keep(linked_pairs(pairs, parts, percent).select("a", "b"))
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        found = new if found is None else found.union(new)
-        if r < rounds and not new.isEmpty():
-            roots = keep(components(found, "a", "b"))
-            apart = _apart(apart.drop("root"), roots)
-    return found if found is not None else members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links that connect different components among the classes of one group (of one or two of its blocks)."""
+    ids, sizes = table.column("id").to_numpy(), table.column("size").to_numpy().astype(np.int64)
+    _, roots, many = np.unique(table.column("root").to_numpy(), return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(roots != np.argmax(many))  # the largest component's own pairs are connected already
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not len(rows):
+        return none
+    lists = table.column("grams").combine_chunks()
+    values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+    order = np.unique(values[np.isin(owner, rows)])  # n-grams that no row holds add to no overlap
+    at = np.minimum(np.searchsorted(order, values), max(len(order) - 1, 0))
+    use = order[at] == values
+    values, owner = at[use], owner[use]
+    overlap = np.zeros((len(rows), len(ids)), np.float32)
+    for at in range(0, len(order), BLOCK):  # a fragment of the n-gram order at a time
+        use = (values >= at) & (values < at + BLOCK)
+        part = np.zeros((len(ids), BLOCK), np.float32)
+        part[owner[use], values[use] - at] = 1
+        overlap += part[rows] @ part.T
+    union = sizes[rows][:, None] + sizes[None] - overlap
+    linked = (100 * overlap >= percent * union) & (roots[rows][:, None] != roots[None])
+    # Of all links only those that join what is apart so far leave, so rows grow with the classes and not with their pairs.
+    left, right = [], []
+    for k in np.flatnonzero(linked.any(1)):
+        js = np.flatnonzero(linked[k])
+        own = roots[rows[k]]
+        for other, first in zip(*np.unique(roots[js], return_index=True), strict=True):
+            if other != own:
+                left.append(ids[rows[k]])
+                right.append(ids[js[first]])
+                roots[roots == other] = own
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def rest_links(apart: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links between components among the classes (hub, id, root, n) of each hub, n the number of its classes. They are
+    compared in blocks: a task gets one pair of blocks, whatever the size of the group, and only links come out."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    spread = apart.select("hub", "id", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    full = spread.join(classes.select("id", "size", "grams"), "id")
+    key = [F.col("hub").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    return full.select(*key, "id", "size", "root", "grams").groupBy("g", "i", "j").applyInArrow(lambda t: _block_links(t, percent), "a long, b long")
+
+
+def class_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links among classes that connect exactly what all links connect.
+
+    Of the classes that hold a rare n-gram, the one whose n-grams are commonest (the likely original of near copies) is
+    the hub. Each class is compared with the best hub it meets; then n-grams all of whose classes are connected are done. The
+    classes of the others are gathered by the n-grams' hubs (two that share an n-gram share its hub) and compared across
+    components, block by block.
+    """
+    members = classes.select("id", "size", "weight", F.explode("rarest").alias("gram"))
+    hubs = keep(members.groupBy(F.col("gram").alias("g")).agg(F.max(F.struct("weight", "id", "size")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    fits = 100 * F.least("size", "hub.size") >= percent * F.greatest("size", "hub.size")
+    offers = members.join(hubs, F.col("gram") == F.col("g")).where((F.col("id") != F.col("hub.id")) & fits)
+    best = offers.groupBy("id", "size").agg(F.max("hub").alias("hub"))
+    pairs = keep(best.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("hub.id").alias("b"), F.col("hub.size").alias("size_b")))
+    found = keep(linked_pairs(pairs, classes, percent).select("a", "b"))
+    roots = keep(components(found, "a", "b"))
+    shared = members.join(hubs, F.col("gram") == F.col("g")).select("gram", "id", F.col("hub.id").alias("hub"))
+    rooted = keep(shared.join(roots, F.col("id") == F.col("node"), "left").select("gram", "hub", "id", F.coalesce("root", "id").alias("root")))
+    mixed = rooted.groupBy(F.col("gram").alias("g")).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
+    apart = keep(rooted.join(keep(mixed), F.col("gram") == F.col("g"), "left_semi").select("hub", "id", "root").distinct())
+    sizes = keep(apart.groupBy(F.col("hub").alias("h")).agg(F.count(F.lit(1)).alias("n")))
+    apart = apart.join(sizes, F.col("hub") == F.col("h")).select("hub", "id", "root", "n")
+    return found.union(keep(rest_links(apart, classes, percent)))
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -231,8 +287,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     """
     sets = keep(gram_sets(docs, doc_id, text))
     classes = keep(sets.where("set_id IS NOT NULL").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("least")))
-    members, parts = similar_classes(docs, text, percent)
-    roots = keep(components(keep(class_links(members, parts, percent)), "a", "b"))
+    roots = keep(components(class_links(similar_classes(docs, text, percent), percent), "a", "b"))
     named = classes.join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     named = keep(named)
     lowest = keep(named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")))
