@@ -21,6 +21,17 @@ _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD1342543DE82EF95)
 _POWER = np.cumprod(np.full(1 << 16, _BASE, dtype=np.uint64), dtype=np.uint64)
 
 
+def single_thread() -> None:
+    """Matrix products on one thread: a task has one core, and threads that wait for others cost more than they give."""
+    import contextlib
+    import ctypes
+    from pathlib import Path
+
+    for lib in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(str(lib)).scipy_openblas_set_num_threads64_(1)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))

@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grams import slices, text_buffer, words
+from .grams import single_thread, slices, text_buffer, words
 from .labelled import FOLDS, SAMPLE, prior, training_sample
 from .store import crc_mod
 
+single_thread()
+
 PASSAGE = 64  # words
 HIDDEN, GATE = 32, 16
 EPOCHS = 14
