@@ -32,6 +32,16 @@ def single_thread() -> None:
             ctypes.CDLL(str(lib)).scipy_openblas_set_num_threads64_(1)
 
 
+def release() -> None:
+    """Give freed memory back to the system. Workers outlive a stage, and what they keep counts against the next one."""
+    import contextlib
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .grams import BITS, mixed, pack48, set_id, shingle_sets, unpack48
+from .grams import BITS, mixed, pack48, release, set_id, shingle_sets, unpack48
 from .store import keep, partitions
 
 PERCENT = 80
@@ -79,6 +79,8 @@ def send(sets: Iterable[tuple[int, np.ndarray]], fragments: int) -> Iterator[pa.
             ids, held, waiting = [], [], 0
     if held:
         yield out()
+    del held, ids
+    release()
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -116,7 +118,10 @@ def _find_shared(table: pa.Table) -> pa.Table:
     held[order] = np.repeat(lengths, lengths)
     use = held > 1
     frag = np.full(int(use.sum()), table.column("frag")[0].as_py() if table.num_rows else 0)
-    return pa.Table.from_pylist(list(_rows(frag, owner[use], grams[use], ids, sizes, held[use])), schema=_SHARED)
+    out = pa.Table.from_pylist(list(_rows(frag, owner[use], grams[use], ids, sizes, held[use])), schema=_SHARED)
+    del ids, sizes, counts, grams, held, owner, order, run, use
+    release()
+    return out
 
 
 _LISTS = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("grams", pa.list_(pa.int64())), ("held", pa.list_(pa.int32()))])
@@ -149,6 +154,8 @@ def _class_lists(table: pa.Table, percent: int) -> pa.Table:
     order = order[good[owner[order]]]
     at = pa.array(np.append(0, np.cumsum(total[good])).astype(np.int32))
     lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (grams[order].astype(np.int64), held[order].astype(np.int32))]
+    del ids, sizes, counts, grams, held, owner, order
+    release()
     return pa.Table.from_arrays([pa.array(values[good]), pa.array(size[good].astype(np.int32)), *lists], schema=_LISTS)
 
 

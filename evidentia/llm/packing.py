@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grams import release
 from .store import keep
 from .tokens import word_ids
 
@@ -93,6 +94,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         items = list(_pieces(batches, tokenizer_path, capacity))
         yield from _packed(items, TaskContext.get().partitionId(), 0, capacity, False)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grams import single_thread, slices, text_buffer, words
+from .grams import release, single_thread, slices, text_buffer, words
 from .labelled import FOLDS, SAMPLE, prior, training_sample
 from .store import crc_mod
 
@@ -152,6 +152,7 @@ def _score(batches: Iterator[pa.RecordBatch], net: Attention) -> Iterator[pa.Rec
 def _accept(batches: Iterator[pa.RecordBatch], net: Attention, text: str, cut: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield batch.filter(pa.array(_scores(batch.column(batch.schema.get_field_index(text)), net) >= cut))
+    release()
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Attention:

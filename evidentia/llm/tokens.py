@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-MOST_WORDS = 400_000  # remembered by a worker (about 80 MB); then it starts afresh
+MOST_WORDS = 200_000  # remembered by a worker (about 40 MB); then it starts afresh
 #: Letters whose lower case and canonical form need no context, then ASCII symbols but the apostrophe.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
 
