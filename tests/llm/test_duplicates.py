@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evidentia.llm.components import components
 from evidentia.llm.exact_dedup import chunks, exact_dedup
 from evidentia.llm.jaccard_join import jaccard_join
-from evidentia.llm.substring_dedup import minima, substring_dedup, values
+from evidentia.llm.substring_dedup import minima, substring_dedup, values, verified
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -110,6 +110,30 @@ def test_substring(spark, corpus):
         assert r.doc_id != r.twin_id and len(a & b) >= 0.8 * len(a | b) and abs(len(a & b) / len(a | b) - r.similarity) < 1e-9
 
 
+def test_every_edited_passage_is_verified():
+    """One or two words replaced anywhere in 50 to 100: a row wherever the passages' similarity is 0.8."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    some = lambda n: rng.integers(1, 1 << 47, n, dtype=np.uint64)
+    missed, tried = [], 0
+    for n in (46, 56, 76, 87, 96):  # tokens of 50, 60, 80, 91 and 100 words
+        cases = [(k,) for k in range(n + 4)] + [tuple(rng.choice(n + 4, 2, replace=False)) for _ in range(60)]
+        for words in cases:
+            x = some(n)
+            y = x.copy()
+            for k in words:
+                y[max(0, k - 4) : k + 1] = some(len(y[max(0, k - 4) : k + 1]))
+            both = int((x == y).sum())
+            if both / (2 * n - both) >= 0.8:
+                tried += 1
+                around = [np.concatenate([some(60), t, some(60)]) for t in (x, y)]
+                got = verified(*around, 0, 0)
+                if not got or not all(r[4] >= 0.8 for r in got):
+                    missed.append((n, words))
+    assert tried > 400 and not missed
+
+
 def test_minima_are_cartesian_nodes():
     import numpy as np
 
