@@ -134,6 +134,21 @@ def test_every_edited_passage_is_verified():
     assert tried > 400 and not missed
 
 
+def test_substring_in_a_later_region_of_both_hubs(spark):
+    """The least and the greatest document hold parts of a passage near their beginning and the whole of it later."""
+    rng = random.Random(21)
+    passages = [text_of(rng, 70) for _ in range(8)]
+    rows = []
+    for k, p in enumerate(passages):
+        w = p.split(" ")
+        parts = " ".join(f"{text_of(rng, 60)} {' '.join(w[a : a + 24])}" for a in (0, 23, 46))
+        for n in range(3):
+            rows.append((10 * k + n, f"{text_of(rng, 60)} {p} {text_of(rng, 60)}" if n == 1 else f"{parts} {text_of(rng, 300)} {p} {text_of(rng, 60)}"))
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = {(r.doc_id, r.twin_id) for r in got if r.end_word - r.start_word >= 66 and r.twin_end - r.twin_start >= 66}
+    assert {i for i, _ in rows if i % 10 == 1} <= {a for pair in whole for a in pair}
+
+
 def test_minima_are_cartesian_nodes():
     import numpy as np
 
