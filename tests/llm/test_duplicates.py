@@ -149,6 +149,20 @@ def test_substring_in_a_later_region_of_both_hubs(spark):
     assert {i for i, _ in rows if i % 10 == 1} <= {a for pair in whole for a in pair}
 
 
+def test_substring_between_others_than_the_hubs(spark):
+    """Pairs share a passage whole; the least and the greatest documents hold strongly edited versions, alike with none."""
+    rng = random.Random(31)
+    rows = []
+    for k in range(8):
+        words = text_of(rng, 90).split(" ")
+        strong = [" ".join(w if n % 12 else "x" + w for n, w in enumerate(words, shift)) for shift in range(12)]
+        texts = [*strong[:6], " ".join(words), " ".join(words), *strong[6:]]
+        rows += [(20 * k + n, f"{text_of(rng, 60)} {t} {text_of(rng, 60)}") for n, t in enumerate(texts)]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {frozenset((r.doc_id, r.twin_id)) for r in got}
+    assert not [k for k in range(8) if frozenset((20 * k + 6, 20 * k + 7)) not in pairs]
+
+
 def test_minima_are_cartesian_nodes():
     import numpy as np
 
