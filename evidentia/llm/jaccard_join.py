@@ -27,8 +27,9 @@ PERCENT = 80
 FLUSH = 1 << 20  # n-grams gathered by a task before they are handed out to fragments
 PARTS = 8  # fragments in which overlaps are counted
 BLOCK = 1024  # classes (and n-grams) of a block in the last comparison
+MASS = 1 << 20  # n-grams of a block in the last comparison, on average
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64())])
 _SENT = pa.schema([("frag", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
 _SENT_SQL = "frag int, ids binary, sizes binary, counts binary, grams binary"
 _SHARED = _SENT.append(pa.field("held", pa.binary()))
@@ -41,12 +42,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in shingle_sets(batch.column(1)):
             sizes.append(len(s))
             ids.append(set_id(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], schema=_SETS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], schema=_SETS)
 
 
 def _rows(frags: np.ndarray, owner: np.ndarray, grams: np.ndarray, ids: np.ndarray, sizes: np.ndarray, held: np.ndarray | None = None) -> Iterator[dict]:
-    """Rows of _SENT or _SHARED. frags is sorted, and so are owners within a fragment; owner indexes ids and sizes."""
-    cuts = np.flatnonzero(np.append(True, frags[1:] != frags[:-1])) if len(frags) else []
+    """Rows of _SENT or _SHARED. frags is sorted, and so are owners within a fragment; owner indexes ids and sizes. Without
+    n-grams there are no rows."""
+    if not len(frags):
+        return
+    cuts = np.flatnonzero(np.append(True, frags[1:] != frags[:-1]))
     for a, b in zip(cuts, [*cuts[1:], len(frags)], strict=True):
         own = owner[a:b]
         head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
@@ -181,9 +185,9 @@ def shared_lists(shared: DataFrame) -> DataFrame:
     return shared.mapInArrow(_shared_lists, "id long, size int, grams array<long>, held array<int>")
 
 
-def gram_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_id); set_id is null for a text without words."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_sets, "doc_id long, n_shingles long, set_id long")
+def gram_sets(keyed: DataFrame) -> DataFrame:
+    """(doc_id, content, n_shingles, set_id) of rows (doc_id, text, content); set_id is null for a text without words."""
+    return keyed.select("doc_id", "text", "content").mapInArrow(_sets, "doc_id long, content long, n_shingles long, set_id long")
 
 
 def similar_classes(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -249,9 +253,10 @@ def _block_links(table: pa.Table, percent: int) -> pa.Table:
 
 
 def rest_links(apart: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links between components among the classes (hub, id, root, n) of each hub, n the number of its classes. They are
-    compared in blocks: a task gets one pair of blocks, whatever the size of the group, and only links come out."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    """Links between components among the classes (hub, id, root, n, mass) of each hub, n the number of its classes and mass
+    that of their n-grams. They are compared in blocks: a task gets one pair of blocks, whatever the size of the group and
+    the length of its texts, and only links come out."""
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("mass") / MASS)).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     spread = apart.select("hub", "id", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     full = spread.join(classes.select("id", "size", "grams"), "id")
@@ -275,30 +280,61 @@ def class_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = keep(best.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("hub.id").alias("b"), F.col("hub.size").alias("size_b")))
     found = keep(linked_pairs(pairs, classes, percent).select("a", "b"))
     roots = keep(components(found, "a", "b"))
-    shared = members.join(hubs, F.col("gram") == F.col("g")).select("gram", "id", F.col("hub.id").alias("hub"))
-    rooted = keep(shared.join(roots, F.col("id") == F.col("node"), "left").select("gram", "hub", "id", F.coalesce("root", "id").alias("root")))
+    shared = members.join(hubs, F.col("gram") == F.col("g")).select("gram", "id", "size", F.col("hub.id").alias("hub"))
+    rooted = keep(shared.join(roots, F.col("id") == F.col("node"), "left").select("gram", "hub", "id", "size", F.coalesce("root", "id").alias("root")))
     mixed = rooted.groupBy(F.col("gram").alias("g")).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
-    apart = keep(rooted.join(keep(mixed), F.col("gram") == F.col("g"), "left_semi").select("hub", "id", "root").distinct())
-    sizes = keep(apart.groupBy(F.col("hub").alias("h")).agg(F.count(F.lit(1)).alias("n")))
-    apart = apart.join(sizes, F.col("hub") == F.col("h")).select("hub", "id", "root", "n")
+    apart = keep(rooted.join(keep(mixed), F.col("gram") == F.col("g"), "left_semi").select("hub", "id", "size", "root").distinct())
+    sizes = keep(apart.groupBy(F.col("hub").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("mass")))
+    apart = apart.join(sizes, F.col("hub") == F.col("h")).select("hub", "id", "root", "n", "mass")
     return found.union(keep(rest_links(apart, classes, percent)))
 
 
+def _text_components(docs: DataFrame, doc_id: str, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, content, n_shingles, set_id; links between sets a, b). content tells texts of one doc_id apart."""
+    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("content"))
+    return keep(gram_sets(keyed)), class_links(similar_classes(docs, text, percent), percent)
+
+
+def _roots(rows: DataFrame, links: DataFrame, ties: DataFrame | None = None) -> DataFrame:
+    """(id, root) of every set of rows, written."""
+    roots = keep(components(links if ties is None else links.union(ties), "a", "b"))
+    sets = rows.where("set_id IS NOT NULL").select(F.col("set_id").alias("id")).distinct()
+    return keep(sets.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")))
+
+
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, set_id.
 
     Texts link when percent of their union of distinct 5-word shingles is shared; component_id is the least doc_id that
     links reach. Null, empty and blank texts have no shingles and link with nothing, each its own component; texts of
-    one to four words are one shingle; rows that repeat a doc_id or a text fall into one component; an empty table gives
-    no rows. A null doc_id has itself (null) as component only where its component has no other id.
+    one to four words are one shingle; rows that repeat a doc_id or a text fall into one component, and so does all that
+    any of a doc_id's texts links with (a row without words stays by itself); an empty table gives no rows. A null doc_id
+    has itself (null) as component only where its component has no other id. Other columns are ignored.
     """
-    sets = keep(gram_sets(docs, doc_id, text))
-    classes = keep(sets.where("set_id IS NOT NULL").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("least")))
-    roots = keep(components(class_links(similar_classes(docs, text, percent), percent), "a", "b"))
-    named = classes.join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    named = keep(named)
-    lowest = keep(named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")))
-    of_class = keep(named.join(lowest, F.col("root") == F.col("r")).select("id", "component_id"))
+    rows, links = _text_components(docs, doc_id, text, percent)
+    sets = rows.select("doc_id", "n_shingles", "set_id")
+    # A document whose rows have different texts connects them.
+    named = sets.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
+    several = keep(named.groupBy(F.col("doc_id").alias("d")).agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a <> z").select("d", "a"))
+    ties = keep(named.join(several, F.col("doc_id") == F.col("d")).where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct())
+    roots = _roots(sets, links, ties)
+    least = keep(named.groupBy(F.col("set_id").alias("s")).agg(F.min("doc_id").alias("least")))
+    lowest = keep(roots.join(least, F.col("id") == F.col("s"), "left").groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")))
+    of_class = keep(roots.join(lowest, F.col("root") == F.col("r")).select("id", "component_id"))
     return sets.join(of_class, F.col("set_id") == F.col("id"), "left").select(
         "doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "set_id"
     )
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc_id, content) of the rows that are copies: of texts that links connect, the row with the least doc_id stays (a row
+    without id only where none has one; of one doc_id's texts the one with the least content). content is xxhash64 of the text.
+    Unlike jaccard_join's components, a doc_id with different texts connects nothing, so no text is lost that links with none
+    that stays. Texts without words are no copies."""
+    rows, links = _text_components(docs, doc_id, text, percent)
+    roots = _roots(rows, links)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")
+    first = keep(rows.join(roots, F.col("set_id") == F.col("id")).groupBy("root").agg(F.min(key).alias("first")))
+    own = keep(rows.join(roots, F.col("set_id") == F.col("id")).select("doc_id", "content", F.col("root").alias("r")))
+    joined = own.join(first, F.col("r") == F.col("root"))
+    return joined.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("content") == F.col("first.content")))).select("doc_id", "content").distinct()

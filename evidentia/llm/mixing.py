@@ -41,18 +41,12 @@ def source_sizes(docs: DataFrame, text: str = "text", source: str = "source") ->
     return docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(F.length(text), F.lit(0))).cast("long").alias("chars"), F.count(F.lit(1)).alias("documents"))
 
 
-def mix(
+def drawn(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", targets: dict[str, float] | None = None,
     epochs: float = 1.0, temperature: float = TEMPERATURE, seed: int = SEED,
 ) -> DataFrame:
-    """The columns of docs with copy (int from 0), rate (double) and shuffle_key (string); each row repeated by its
-    Poisson count and all rows in order of shuffle_key over all partitions.
-
-    The result has about `epochs` times the characters of docs, dealt to sources by `targets` (relative weights by
-    source) or, without them, by size to the power `temperature`. A source without a target gets none, so none of its
-    rows; sources whose texts are all empty keep their rows once on average. A null source is a source of its own; null
-    ids hash as empty text; rows that repeat a doc_id are repeated alike and stay distinct copies of their own row.
-    """
+    """(row: struct of docs' columns, copy, rate, shuffle_key) in the order of `mix`, whose rules hold here. A row travels as one
+    struct, so none of its columns can clash with those of the operator."""
     sizes = keep(source_sizes(docs, text, source))
     weight = (
         F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(float(v)))])[F.coalesce("source", F.lit(""))]
@@ -61,14 +55,33 @@ def mix(
     )
     weighed = sizes.withColumn("w", F.coalesce(weight, F.lit(0.0)))
     every, all_w = weighed.agg(F.sum("chars").cast("double"), F.sum("w")).first()
-    rate = F.when(F.col("chars") == 0, F.lit(1.0)).otherwise(F.lit(epochs) * F.lit(every or 0.0) * F.col("w") / F.lit(all_w or 1.0) / F.col("chars"))
-    rates = keep(weighed.select(F.col("source").alias("mix_source"), rate.cast("double").alias("mix_rate")))
+    mean = F.when(F.col("chars") == 0, F.lit(1.0)).otherwise(F.lit(epochs) * F.lit(every or 0.0) * F.col("w") / F.lit(all_w or 1.0) / F.col("chars"))
+    rates = keep(weighed.select(F.col("source").alias("of"), mean.cast("double").alias("rate")))
     ident = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    inner = docs.join(rates, F.col(source).eqNullSafe(F.col("mix_source")))
-    parts = F.ceil(F.col("mix_rate") / MOST_RATE).cast("int")
-    drawn = F.transform(F.sequence(F.lit(1), parts), lambda j: poisson(F.col("mix_rate") / parts, _uniform(F.concat(F.lit(f"{seed}:"), ident, F.lit(":"), j.cast("string")))))
-    times = F.when(F.col("mix_rate") > 0, F.aggregate(drawn, F.lit(0), lambda a, k: a + k)).otherwise(F.lit(0))
-    copies = inner.withColumn("mix_times", times).where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_times") - 1)))
-    key = F.md5(F.concat(F.lit(f"{seed}/"), ident, F.lit("/"), F.col("mix_copy").cast("string")).cast("binary"))
-    out = copies.select(*[docs[c] for c in docs.columns], F.col("mix_copy").alias("copy"), F.col("mix_rate").alias("rate"), key.alias("shuffle_key"))
-    return out.orderBy("shuffle_key")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("own"), ident.alias("ident"), F.xxhash64(F.col(text)).alias("tie"))
+    inner = packed.join(rates, F.col("own").eqNullSafe(F.col("of")))
+    parts = F.ceil(F.col("rate") / MOST_RATE).cast("int")
+    each = F.transform(F.sequence(F.lit(1), parts), lambda j: poisson(F.col("rate") / parts, _uniform(F.concat(F.lit(f"{seed}:"), F.col("ident"), F.lit(":"), j.cast("string")))))
+    times = F.when(F.col("rate") > 0, F.aggregate(each, F.lit(0), lambda a, k: a + k)).otherwise(F.lit(0))
+    copies = inner.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    key = F.md5(F.concat(F.lit(f"{seed}/"), F.col("ident"), F.lit("/"), F.col("copy").cast("string")).cast("binary"))
+    return copies.select("row", "copy", "rate", key.alias("shuffle_key"), "tie").orderBy("shuffle_key", "tie").drop("tie")
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The columns of docs with copy (int from 0), rate (double) and shuffle_key (string), which take the place of columns of docs
+    with these names; each row repeated by its Poisson count and all rows in order of shuffle_key over all partitions.
+
+    The result has about `epochs` times the characters of docs, dealt to sources by `targets` (relative weights by
+    source) or, without them, by size to the power `temperature`. A source without a target gets none, so none of its
+    rows; sources whose texts are all empty keep their rows once on average. A null source is a source of its own; null
+    ids hash as empty text; rows that repeat a doc_id are repeated alike and stay distinct copies of their own row. Equal
+    keys (repeated or null ids) follow the hash of their text, so only equal rows have no order. No rows give no rows.
+    """
+    extra = ("copy", "rate", "shuffle_key")
+    return drawn(docs, doc_id, text, source, **how).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in extra], *extra)
+
+
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """mix with exactly the columns of docs, whatever their names."""
+    return drawn(docs, doc_id, text, source, **how).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -42,6 +42,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/evidentia/{uuid.uuid4().hex}"
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that no column has (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,14 +3,15 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import pytest
 from conftest import DOCS, edited, text_of
 from pyspark.sql import functions as F
 
 from evidentia.llm.components import components
 from evidentia.llm.exact_dedup import chunks, exact_dedup
-from evidentia.llm.jaccard_join import jaccard_join
+from evidentia.llm.jaccard_join import jaccard_join, near_copies
 from evidentia.llm.substring_dedup import minima, substring_dedup, values, verified
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -64,6 +65,57 @@ def test_chunks_give_the_text_back(spark):
         assert "".join(r.c) == r.t and all(len(c) <= 4096 for c in r.c)
 
 
+def brute_by_text(rows):
+    """(doc_id, text) -> least doc_id of the component, where rows that repeat an id or a text are connected."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            same_id = rows[i][0] is not None and rows[i][0] == rows[j][0]
+            if sets[i] and sets[j] and (same_id or 100 * both >= 80 * len(sets[i] | sets[j])):
+                root[top(i)] = top(j)
+    out = Counter()
+    for i, (doc, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if top(j) == top(i) and rows[j][0] is not None]
+        out[doc, len(sets[i]), (min(ids) if ids else None) if sets[i] else doc] += 1
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_unrelated_texts(spark, parts):
+    """Nothing is shared, so most fragments of the n-gram order are empty."""
+    rng = random.Random(parts)
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(80))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join(df).collect()) == [(i, 76, i) for i in range(50)]
+        assert substring_dedup(df).collect() == [] and near_copies(df).collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_jaccard_of_repeated_and_null_ids(spark):
+    rng = random.Random(77)
+    a, b, c, d = (text_of(rng, 70) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (9, b), (None, c), (None, c), (None, edited(rng, c, 1)), (2, edited(rng, d, 1)), (None, d), (4, None), (4, a), (6, ""), (6, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS set_id", "1 AS content", "2 AS component_id")
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join(df).collect()) == brute_by_text(rows)
+    gone = {(r.doc_id, r.content) for r in near_copies(df).collect()}
+    left = [r for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect() if (r.doc_id, r.h) not in gone]
+    # One row of each group of texts stays (equal rows together), and no text is lost.
+    assert Counter((r.doc_id, r.text) for r in left if r.text and r.text.strip()) == Counter([(3, a), (5, b), (2, rows[7][1]), *[x for x in rows[4:7] if (x[0], x[1]) in {(r.doc_id, r.text) for r in left}]])
+    assert sum(r.doc_id is None for r in left) in (1, 2) and sum(not (r.text or "").strip() for r in left) == 3
+
+
 def test_jaccard(spark, corpus):
     rows = spark.createDataFrame(corpus, DOCS).repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(rows).collect()}

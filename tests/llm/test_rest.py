@@ -196,7 +196,7 @@ def test_url_filters(spark):
 
 
 def test_mix(spark, corpus):
-    df = spark.createDataFrame(corpus, DOCS).withColumn("copies", F.lit(1))
+    df = spark.createDataFrame(corpus, DOCS).selectExpr("*", "'clash' AS copy", "'clash' AS rate", "'clash' AS shuffle_key", "1 AS mix_rate", "1 AS mix_times", "1 AS row")
     even = mix(df, targets={"s0": 1.0, "s1": 1.0, "s2": 1.0}, epochs=3.0).collect()
     assert {r.source for r in even} <= {"s0", "s1", "s2"} and [r.shuffle_key for r in even] == sorted(r.shuffle_key for r in even)
     size = defaultdict(int)
@@ -264,6 +264,14 @@ def test_pipeline_stages_equal_plain_versions(spark, labelled, corpus, tmp_path)
     near = stage["ngram_jaccard_join"](spark, once, str(tmp_path))
     comp = {r.doc_id: r.component_id for r in jaccard_join(once).collect()}
     assert key(near) == Counter({k: n for k, n in key(once).items() if comp[k[0]] == k[0]})
+    pair = [(3, "a"), (5, "a"), (5, "b"), (9, "b")]
+    some = {x: text_of(random.Random(x), 80) for x in "ab"}
+    ids = spark.createDataFrame([(i, some[x], "s") for i, x in pair], DOCS).selectExpr("*", "'en' AS lang", "1L AS n_chars")
+    assert sorted((r.doc_id, r.text) for r in stage["ngram_jaccard_join"](spark, ids, str(tmp_path)).collect()) == [(3, some["a"]), (5, some["b"])]
+    odd = d0.limit(30).selectExpr("*", "'a' AS exact_copies_key", "'b' AS near_copies_id", "1 AS copy", "2 AS rate", "3 AS shuffle_key", "4 AS mix_rate")
+    for name in ("exact_dedup", "ngram_jaccard_join", "source_mixing"):
+        out = stage[name](spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and {tuple(r[5:]) for r in out.collect()} == {("a", "b", 1, 2, 3, 4)}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.where("length > 4096").count() == 0 and packed.count() > 0
     assert exact_dedup(near).where("NOT kept").count() == 0
