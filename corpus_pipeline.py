@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm.exact_dedup import exact_dedup
-from evidentia.llm.jaccard_join import jaccard_join
-from evidentia.llm.mixing import mix
+from evidentia.llm.jaccard_join import near_copies
+from evidentia.llm.mixing import mixed_rows
 from evidentia.llm.packing import pack
 from evidentia.llm.quality_model import quality_rows
 from evidentia.llm.queries import tokenizer_path
-from evidentia.llm.store import keep, lower_ascii, table
+from evidentia.llm.store import fresh, keep, lower_ascii, table
 
 ORACLE_SQL = None  # the quality classifier is no SQL; a test holds every stage against a plain version
 
@@ -29,7 +29,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Of equal texts, the row with the greatest doc_id; of rows that repeat id and text, one. Rows without id stay if
     their text has no row with one."""
     verdict = keep(exact_dedup(docs))
-    name, sha = "exact_copies_key", F.sha2(lower_ascii(F.col("text")).cast("binary"), 256)
+    name, sha = fresh("exact_copies_key", docs.columns), F.sha2(lower_ascii(F.col("text")).cast("binary"), 256)
     ids = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     gone = verdict.where("NOT kept").select(F.concat_ws(" ", ids, "text_sha256").alias(name))
     twice = keep(verdict.where("kept").groupBy(F.concat_ws(" ", ids, "text_sha256").alias(name)).count().where("count > 1").select(name))
@@ -40,15 +40,18 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return left.select(*docs.columns)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the least doc_id. Rows without id, and texts without words, stay."""
-    gone = keep(jaccard_join(docs).where("doc_id <> component_id").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows whose texts links connect, the one with the least doc_id; rows are told apart by id and text, so of a doc_id with
+    several texts only those that are copies go. Texts without words stay."""
+    own, text = fresh("near_copies_id", docs.columns), fresh("near_copies_text", docs.columns)
+    gone = keep(near_copies(docs).select(F.col("doc_id").alias(own), F.col("content").alias(text)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(text))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the sources' target weights, in the order of the global shuffle."""
-    return mix(docs).select(*docs.columns)
+    return mixed_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +60,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality_classifier", quality), ("exact_dedup", exact_copies), ("ngram_jaccard_join", near_copies), ("source_mixing", mixture),
+    ("quality_classifier", quality), ("exact_dedup", exact_copies), ("ngram_jaccard_join", one_of_near_copies), ("source_mixing", mixture),
     ("best_fit_packing", packing),
 ]
 
