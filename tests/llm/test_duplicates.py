@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evidentia.llm.components import components
 from evidentia.llm.exact_dedup import chunks, exact_dedup
 from evidentia.llm.jaccard_join import jaccard_join, near_copies
-from evidentia.llm.substring_dedup import minima, substring_dedup, values, verified
+from evidentia.llm.substring_dedup import Index, minima, substring_dedup, values, verified
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,7 +180,7 @@ def test_every_edited_passage_is_verified():
             if both / (2 * n - both) >= 0.8:
                 tried += 1
                 around = [np.concatenate([some(60), t, some(60)]) for t in (x, y)]
-                got = verified(*around, 0, 0)
+                got = verified(around[0], Index(around[1]), 0, 0)
                 if not got or not all(r[4] >= 0.8 for r in got):
                     missed.append((n, words))
     assert tried > 400 and not missed
@@ -215,6 +215,60 @@ def test_substring_between_others_than_the_hubs(spark):
     assert not [k for k in range(8) if frozenset((20 * k + 6, 20 * k + 7)) not in pairs]
 
 
+def test_substring_with_quoting_documents(spark):
+    """Two documents share a passage word by word; many with lower and higher ids quote ten-word bits of it."""
+    rng = random.Random(41)
+    rows = []
+    for k in range(4):
+        words = text_of(rng, 120).split(" ")
+        quotes = []
+        for _ in range(50):
+            a = rng.randrange(110)
+            quotes.append(f"{text_of(rng, 50)} {' '.join(words[a : a + 10])} {text_of(rng, 50)}")
+        texts = quotes[:25] + [f"{text_of(rng, 60)} {' '.join(words)} {text_of(rng, 60)}" for _ in range(2)] + quotes[25:]
+        rows += [(100 * k + n, t) for n, t in enumerate(texts)]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {frozenset((r.doc_id, r.twin_id)) for r in got} == {frozenset((100 * k + 25, 100 * k + 26)) for k in range(4)}
+
+
+def test_recall_of_edited_passages(spark):
+    """Families of documents that hold edited versions of a passage: of all pairs with a similarity of 0.8 (brute force over the
+    planted places) at least 0.9 are connected by rows of that family."""
+    rng = random.Random(51)
+    rows, versions = [], {}
+    for k in range(12):
+        base = text_of(rng, rng.randrange(60, 120))
+        for n in range(8):
+            versions[20 * k + n] = v = edited(rng, base, rng.randrange(0, 3))
+            rows.append((20 * k + n, f"{text_of(rng, 40)} {v} {text_of(rng, 40)}"))
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    root = {i: i for i in versions}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in got:
+        assert r.doc_id // 20 == r.twin_id // 20
+        root[top(r.doc_id)] = top(r.twin_id)
+    pairs = [(i, j) for i in versions for j in range(i + 1, i // 20 * 20 + 8) if len(shingles(versions[i]) & shingles(versions[j])) >= 0.8 * len(shingles(versions[i]) | shingles(versions[j]))]
+    assert len(pairs) > 150 and sum(top(i) == top(j) for i, j in pairs) >= 0.9 * len(pairs)
+    members = {i for p in pairs for i in p}
+    assert len(members & ({r.doc_id for r in got} | {r.twin_id for r in got})) >= 0.9 * len(members)
+
+
+def test_substring_of_odd_rows(spark):
+    """Null ids and texts, repeated rows, clashing columns, and one text beyond all slices and blocks."""
+    rng = random.Random(61)
+    p, long_ = text_of(rng, 70), text_of(rng, 30_000)
+    rows = [(None, p), (1, None), (1, p), (1, p), (2, f"{long_} {p}"), (3, f"{p} {long_[:100_000]}"), (4, ""), (5, p.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "2 AS twin_id", "'k' AS key", "3 AS id")
+    got = substring_dedup(df).collect()
+    assert {i for r in got for i in (r.doc_id, r.twin_id)} == {1, 2, 3, 5}
+    assert any({r.doc_id, r.twin_id} == {2, 3} and r.end_word - r.start_word > 10_000 for r in got)
+
+
 def test_minima_are_cartesian_nodes():
     import numpy as np
 
