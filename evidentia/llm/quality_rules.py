@@ -58,6 +58,11 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, b: a + b)).drop("s", "f", "lied", "q", "p")
 
 
+def _line_hash(line: Column) -> Column:
+    """96 bits: n lines of one host have two with one hash with odds of n * n / 2**97, 10**-9 for 10**10 of them."""
+    return F.struct(F.xxhash64(line, F.lit(9)).alias("x"), (F.crc32(line.cast("binary")) - F.lit(1 << 31)).cast("int").alias("c"))
+
+
 def line_features(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     """Per document: its counts and its lines as array<struct<h, words, times>>, h a hash of the normalised line."""
     base = docs.select(
@@ -77,8 +82,8 @@ def line_features(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFra
         F.length(F.translate("t", SPACE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words", F.xxhash64("t", F.length("t")).alias("content"),
-        F.transform("ls", lambda x: F.struct(F.xxhash64(x, F.lit(9)).alias("h"), (F.length(x) - space_free(x) + 1).alias("words"))).alias("lines"),
+        "n_repeat_words",
+        F.transform("ls", lambda x: F.struct(_line_hash(x).alias("h"), (F.length(x) - space_free(x) + 1).alias("words"))).alias("lines"),
     )
 
 
@@ -89,28 +94,31 @@ def quality_rules(
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_removed_words.
 
-    A line counts once per distinct document of its host; exact copies of a text are one document, so that being copied
-    does not turn a clean text into boilerplate. Lines held by more than line_limit documents are removed; a document
-    is rejected when fewer than min_words words or less than min_share of its words remain. Null and empty texts have
-    zero counts and fail; a null host is a host of its own, as is the empty one with it; repeated rows are judged alike.
+    A line counts once per distinct document of its host: rows that repeat a doc_id are one document, a row without id is one
+    of its own, and copies of a text are as many documents. Lines held by more than line_limit documents are removed; a
+    document is rejected when fewer than min_words words or less than min_share of its words remain. Null and empty texts
+    have zero counts and fail; a null host is a host of its own, as is the empty one with it; repeated rows are judged
+    alike; other columns are ignored; no rows give no rows.
     """
-    feats = keep(line_features(docs, doc_id, text, host))
-    held = feats.select("host", "content", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).distinct()
-    over = keep(held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_limit).select("host", "h"))
-    # Exact copies have the same lines and host-wise the same fate: judge each (host, content) once.
-    once = feats.groupBy("host", "content").agg(F.first("lines").alias("lines"))
+    feats = keep(line_features(docs, doc_id, text, host).withColumn("row", F.monotonically_increasing_id()))  # written, so it stays
+    repeated = keep(feats.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d"))
+    holds = lambda df: df.select("doc_id", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    # Only rows that repeat an id need to be told apart by it, so all others are counted where they are read.
+    once = holds(feats.join(repeated, F.col("doc_id") == F.col("d"), "left_anti")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    more = holds(feats.join(repeated, F.col("doc_id") == F.col("d"), "left_semi")).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    over = keep(once.union(more).groupBy("host", "h").agg(F.sum("n").alias("n")).where(F.col("n") > line_limit).select("host", "h"))
     removed = keep(
-        once.select("host", "content", F.explode("lines").alias("x"))
-        .select("host", "content", F.col("x.h").alias("h"), F.col("x.words").alias("words"))
+        feats.select("host", F.col("row").alias("r"), F.explode("lines").alias("x"))
+        .select("host", "r", F.col("x.h").alias("h"), F.col("x.words").alias("words"))
         .join(over, ["host", "h"])
-        .groupBy("host", "content")
+        .groupBy("r")
         .agg(F.sum("words").cast("long").alias("gone"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     return (
         feats.drop("lines")
-        .join(removed, ["host", "content"], "left")
+        .join(removed, F.col("row") == F.col("r"), "left")
         .withColumn("n_removed_words", F.coalesce("gone", F.lit(0).cast("long")))
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),

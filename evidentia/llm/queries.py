@@ -96,10 +96,10 @@ w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
 g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
 p AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
 rep AS (SELECT r, sum(least(3, coalesce(i - prev, 3))) AS n FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS prev FROM p) GROUP BY r),
-lines AS (SELECT r, host, t, x FROM d, unnest(string_split(t, chr(10))) AS u(x) WHERE len(regexp_extract(x, '[^\x20\x09-\x0D]')) > 0),
+lines AS (SELECT r, doc_id, host, x FROM d, unnest(string_split(t, chr(10))) AS u(x) WHERE len(regexp_extract(x, '[^\x20\x09-\x0D]')) > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM lines GROUP BY r),
-norm AS (SELECT r, host, t, trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS y FROM lines),
-over_limit AS (SELECT host, y FROM norm GROUP BY host, y HAVING count(DISTINCT t) > 100),
+norm AS (SELECT r, doc_id, host, trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS y FROM lines),
+over_limit AS (SELECT host, y FROM norm GROUP BY host, y HAVING count(DISTINCT coalesce(doc_id::VARCHAR, 'row ' || r)) > 100),
 gone AS (SELECT r, sum(len(y) - len(replace(y, ' ', '')) + 1) AS n FROM norm JOIN over_limit USING (host, y) GROUP BY r),
 f AS (SELECT doc_id, len(w)::BIGINT AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
   (len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
@@ -117,24 +117,45 @@ def _parts(url: str) -> str:
     return f"{lower} AS host, coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path"
 
 
+_ONE = r"""(?is)<{tag}\b[^>]*\b{name}\s*=\s*(?:"[^"]*\b{value}\b[^"]*"|''[^'']*\b{value}\b[^'']*''|{value}\b)[^>]*>"""
+_LINK, _META = _ONE.format(tag="link", name="rel", value="canonical"), _ONE.format(tag="meta", name="http-equiv", value="refresh")
+
+
+def _node(url: str) -> str:
+    """A url's alias name in DuckDB: no fragment, scheme and host in lower case, no default port, a path at least."""
+    site = f"translate(regexp_extract({url}, '(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rest = f"regexp_replace({url}, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|#.*$', '', 'g')"
+    bare = f"CASE WHEN {site} LIKE 'http://%' THEN regexp_replace({site}, ':(80)?$', '') WHEN {site} LIKE 'https://%' THEN regexp_replace({site}, ':(443)?$', '') ELSE {site} END"
+    return f"CASE WHEN {site} = '' THEN string_split({url}, '#')[1] ELSE {bare} || CASE WHEN starts_with({rest}, '/') THEN '' ELSE '/' END || {rest} END"
+
+
 _OP10 = rf"""
 WITH RECURSIVE rules(verdict, rule, h, p) AS (VALUES {_RULES}),
-tags AS (SELECT url, html, regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1) AS l,
-  regexp_extract(html, '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1) AS m FROM pages),
-named AS (SELECT url, replace(regexp_extract(l, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1), '&amp;', '&') AS t FROM tags
-  UNION SELECT url, replace(regexp_extract(m, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1), '&amp;', '&') FROM tags),
-aimed AS (SELECT string_split(url, '#')[1] AS a, string_split(CASE WHEN contains(t, '://') THEN t
-  WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t
-  WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t END, '#')[1] AS b FROM named),
-edges AS (SELECT a, b FROM aimed WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM aimed WHERE b IS NOT NULL AND a <> b),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '{_LINK}')) AS tag, 'href' AS name FROM pages
+  UNION ALL SELECT url, unnest(regexp_extract_all(html, '{_META}')), 'url' FROM pages),
+named AS (SELECT DISTINCT url, replace(regexp_extract(tag, CASE name WHEN 'href' THEN '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)' ELSE '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)' END, 1), '&amp;', '&') AS t
+  FROM tags WHERE url IS NOT NULL),
+parts AS (SELECT url, t, regexp_extract(url, '(?s)^([A-Za-z][A-Za-z0-9+.-]*:)//', 1) AS scheme, regexp_extract(url, '(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS site,
+  regexp_extract(url, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM named WHERE t <> '' AND NOT starts_with(t, '#')),
+joined AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR site = '' THEN NULL
+  WHEN starts_with(t, '//') THEN scheme || t WHEN starts_with(t, '/') THEN site || t
+  WHEN starts_with(t, '?') THEN site || path || t ELSE site || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || t END AS u FROM parts),
+cut AS (SELECT row_number() OVER () AS k, url, regexp_extract(u, '(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS site,
+  string_split(regexp_extract(u, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/')[2:] AS seg, regexp_extract(u, '(?s)^[^?#]*(\?[^#]*)', 1) AS query FROM joined WHERE u IS NOT NULL),
+dots(k, i, done) AS (SELECT k, 1, []::VARCHAR[] FROM cut UNION ALL
+  SELECT d.k, i + 1, CASE WHEN seg[i] IN ('.', '..') THEN (CASE WHEN seg[i] = '..' THEN done[1:greatest(0, len(done) - 1)] ELSE done END) || (CASE WHEN i = len(seg) THEN [''] ELSE []::VARCHAR[] END)
+    ELSE done || [seg[i]] END FROM dots d JOIN cut c ON c.k = d.k WHERE i <= len(seg)),
+aimed AS (SELECT url, site || '/' || array_to_string(done, '/') || query AS u FROM cut JOIN dots USING (k) WHERE i = len(seg) + 1),
+both_ends AS (SELECT DISTINCT {_node('url')} AS a, {_node('u')} AS b FROM aimed),
+edges AS (SELECT a, b FROM both_ends WHERE a <> b UNION SELECT b, a FROM both_ends WHERE a <> b),
 reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 node AS (SELECT DISTINCT b, {_parts('b')} FROM edges),
-judged AS (SELECT b, arg_max(verdict, len(rule)) AS v FROM node JOIN rules
+judged AS (SELECT b, arg_max(verdict, (len(rule), rule)) AS v FROM node JOIN rules
   ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY b),
 alias AS (SELECT a, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS v
   FROM reach JOIN judged USING (b) GROUP BY a),
-base AS (SELECT row_number() OVER () AS r, page_id, string_split(url, '#')[1] AS n, {_parts('url')} FROM pages),
-own AS (SELECT r, arg_max(rule, len(rule)) AS rule, arg_max(verdict, len(rule)) AS verdict FROM base JOIN rules
+base AS (SELECT row_number() OVER () AS r, page_id, {_node('url')} AS n, {_parts('url')} FROM pages),
+own AS (SELECT r, arg_max(rule, (len(rule), rule)) AS rule, arg_max(verdict, (len(rule), rule)) AS verdict FROM base JOIN rules
   ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
 SELECT page_id, host, path, rule, coalesce(own.verdict, alias.v, 'allow') AS verdict
 FROM base LEFT JOIN own USING (r) LEFT JOIN alias ON base.n = alias.a

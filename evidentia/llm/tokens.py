@@ -11,7 +11,8 @@ import re
 
 import numpy as np
 
-MOST_WORDS = 200_000  # remembered by a worker (about 40 MB); then it starts afresh
+MOST_WORDS = 100_000  # of a generation (about 20 MB); a worker remembers two, and what it meets again moves to the younger one
+MOST_BYTES = 256  # of a word that is remembered
 #: Letters whose lower case and canonical form need no context, then ASCII symbols but the apostrophe.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
 
@@ -35,8 +36,10 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size()
         self.model, self.letters = self.tokenizer.model, dict(enumerate(byte_letters()))
         self.runs: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _run(self, run: str) -> bytes:
         if not run:
@@ -45,18 +48,25 @@ class WordIds(dict):
             if len(self.runs) >= MOST_WORDS:
                 self.runs.clear()
             shown = run if run.isascii() else "".join([self.letters[b] for b in run.encode()])
-            ids = self.runs[run] = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+            ids = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+            if len(run) <= MOST_BYTES:
+                self.runs[run] = ids
         return ids
 
-    def __missing__(self, word: bytes) -> bytes:
+    def _ids(self, word: bytes) -> bytes:
         s = word.decode("utf-8", "replace")
         if m := _PLAIN.fullmatch(s):
-            ids = self._run(m[1].lower()) + self._run(m[2])
-        else:
-            ids = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        self[word] = ids
+            return self._run(m[1].lower()) + self._run(m[2])
+        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if (ids := self.older.get(word)) is None:
+            ids = self._ids(word)
+        if len(word) <= MOST_BYTES:
+            if len(self) >= MOST_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
         return ids
 
     def text(self, text: bytes) -> bytes:

@@ -25,9 +25,45 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+_SITE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
+
+
 def node_of(url: Column) -> Column:
-    """A url without its fragment, which no server sees."""
-    return F.split(url, "#").getItem(0)
+    """The name by which urls that a server does not tell apart are one: no fragment, scheme and host in lower case, no
+    default port, at least `/` as path. What has no `scheme://` only loses its fragment."""
+    plain = F.split(url, "#").getItem(0)
+    site = F.translate(F.regexp_extract(plain, _SITE, 1), UPPER, UPPER.lower())
+    bare = F.when(F.startswith(site, F.lit("http://")), F.regexp_replace(site, ":(?:80)?$", "")).when(F.startswith(site, F.lit("https://")), F.regexp_replace(site, ":(?:443)?$", ""))
+    rest = F.substr(plain, F.length(site) + 1)
+    return F.when(site == "", plain).otherwise(F.concat(F.coalesce(bare, site), F.when(F.startswith(rest, F.lit("/")), "").otherwise("/"), rest))
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path without `.` and `..` segments."""
+    segments = F.slice(F.split(path, "/"), 2, F.greatest(F.size(F.split(path, "/")), F.lit(1)))
+    up = lambda done: F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(done)
+    fewer = lambda done: F.when(F.size(done) > 1, up(done)).otherwise(F.array().cast("array<string>"))
+    done = F.aggregate(
+        segments, F.array().cast("array<string>"),
+        lambda d, x: F.when(x == ".", d).when(x == "..", fewer(d)).otherwise(F.concat(d, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(done, "/"), F.when((F.size(done) > 0) & F.element_at(segments, -1).isin(".", ".."), "/").otherwise(""))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The url that a target names on page base (RFC 3986); null for an empty target, a fragment, a scheme without `//`, and a
+    relative target of a base without `scheme://`."""
+    scheme, site = F.regexp_extract(base, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*:)//", 1), F.regexp_extract(base, _SITE, 1)
+    path = F.regexp_extract(base, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    full = (
+        F.when((target == "") | F.startswith(target, F.lit("#")), None).when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (site == ""), None)
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, target)).when(F.startswith(target, F.lit("/")), F.concat(site, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(site, path, target)).otherwise(F.concat(site, folder, target))
+    )
+    own = F.regexp_extract(full, _SITE, 1)
+    return F.concat(own, without_dots(F.regexp_extract(full, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)), F.regexp_extract(full, r"(?s)^[^?#]*(\?[^#]*)", 1))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -43,21 +79,23 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return F.array_max(F.filter(F.array(*items), fits)) if items else F.lit(None).cast("struct<n:int,rule:string,verdict:string,h:string,p:string>")
 
 
+def _tag(tag: str, name: str, value: str) -> str:
+    """Tags with an attribute that has a value among its words."""
+    return rf"""(?is)<{tag}\b[^>]*\b{name}\s*=\s*(?:"[^"]*\b{value}\b[^"]*"|'[^']*\b{value}\b[^']*'|{value}\b)[^>]*>"""
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): a page's url and the one its canonical link or its meta refresh names. Absolute, protocol-relative and
-    host-relative targets are resolved; others name no page of their own and are left out, and so are null pages."""
-    quoted = r"""\s*=\s*["']?\s*([^"'\s>]+)"""
-    link = F.regexp_extract("x", r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", 1)
-    meta = F.regexp_extract("x", r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)""", 1)
+    """(a, b): a page's url and those that its canonical links and meta refreshes name, resolved against it. Targets that name
+    no url, and pages without url or html, give none."""
+    value = lambda tag, name: F.regexp_extract(tag, r"(?is)\b" + name + r"""\s*=\s*["']?\s*([^"'\s>]+)""", 1)
+    each = lambda pattern, name: F.transform(F.regexp_extract_all("x", F.lit(pattern), F.lit(0)), lambda t: value(t, name))
     found = (
         pages.select(F.col(url).alias("u"), F.col(html).alias("x"))
         .where("u IS NOT NULL AND x RLIKE '(?i)canonical|http-equiv'")
-        .select("u", F.explode(F.array(F.regexp_extract(link, r"(?is)\bhref" + quoted, 1), F.regexp_extract(meta, r"(?is)\burl" + quoted, 1))).alias("t"))
+        .select("u", F.explode(F.array_distinct(F.concat(each(_tag("link", "rel", "canonical"), "href"), each(_tag("meta", "http-equiv", "refresh"), "url")))).alias("t"))
         .withColumn("t", F.replace("t", F.lit("&amp;"), F.lit("&")))
     )
-    scheme, site = F.regexp_extract("u", r"(?s)^(.*?:)//", 1), F.regexp_extract("u", r"(?s)^(.*?://[^/?#]*)", 1)
-    target = F.when(F.col("t").contains("://"), F.col("t")).when(F.startswith("t", F.lit("//")), F.concat(scheme, "t")).when(F.startswith("t", F.lit("/")), F.concat(site, "t"))
-    return found.select(node_of(F.col("u")).alias("a"), node_of(target).alias("b")).where("b IS NOT NULL AND a <> b").distinct()
+    return found.select(node_of(F.col("u")).alias("a"), node_of(resolved(F.col("u"), F.col("t"))).alias("b")).where("b IS NOT NULL AND a <> b").distinct()
 
 
 def url_filters(
@@ -67,7 +105,8 @@ def url_filters(
 
     A page's own longest rule decides. Otherwise its aliases do: allow if any alias (a page or a mere link target) has an
     allow rule, else block if any has a block rule, else allow. Null urls and urls without `://` have empty host and
-    path and are allowed; repeated rows are judged alike; extra_edges(a, b) may add known redirects between urls.
+    path and are allowed; of rules with equal length the last in text order decides; repeated rows are judged alike; other
+    columns are ignored; no rows give no rows; extra_edges(a, b) may add known redirects between urls.
     """
     edges = alias_edges(pages, url, html)
     if extra_edges is not None:
