@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 DIGIT_LOOKS, DIGIT_MEANT = "OQDILZSGTBA", "00011256784"
-LETTER_LOOKS, LETTER_MEANT = "48601", "ABGOI"
+LETTER_LOOKS, LETTER_MEANT = "4", "A"
 SHORT_LOOKS, SHORT_MEANT = "KV7T", "XYZZ"
 CODE = r"[0-9]{2}[A-Z][0-9]{2}"
 NUMBER = r"[0-9]+(?:[.,][0-9]+)?"
@@ -28,9 +28,13 @@ def clean_space(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)[\s\x{A0}\x00]+", " "))
 
 
+def _plain(x: Column) -> Column:
+    return F.replace(F.translate(F.lower(F.coalesce(x, F.lit(""))), MARKED, PLAIN), F.lit("ß"), F.lit("ss"))
+
+
 def fold_key(x: Column) -> Column:
-    """Lower case, Latin-1 marks dropped, only a-z and 0-9 left."""
-    return F.regexp_replace(F.translate(F.lower(F.coalesce(x, F.lit(""))), MARKED, PLAIN), "[^a-z0-9]+", "")
+    """Lower case, Latin-1 marks dropped, sharp s as ss, only a-z and 0-9 left."""
+    return F.regexp_replace(_plain(x), "[^a-z0-9]+", "")
 
 
 @F.pandas_udf(T.StringType())
@@ -53,7 +57,7 @@ def label_key(x: Column) -> Column:
 
 def anchors(x: Column) -> Column:
     """Distinct words of letters and digits, folded, in order."""
-    return F.array_distinct(F.regexp_extract_all(F.translate(F.lower(F.coalesce(x, F.lit(""))), MARKED, PLAIN), F.lit("([a-z0-9]+)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(_plain(x), F.lit("([a-z0-9]+)"), F.lit(1)))
 
 
 def compact_code(x: Column) -> Column:
@@ -79,10 +83,10 @@ def unconfused_code(x: Column) -> Column:
 
 
 def short_identifier(x: Column) -> Column:
-    """A letter X, Y or Z and its number, after confusions are put right; null for anything else."""
+    """A letter X, Y or Z and its number of one or two digits, after confusions are put right; null for anything else."""
     s = F.upper(F.regexp_replace(F.coalesce(x, F.lit("")), "[^A-Za-z0-9]", ""))
     fixed = F.concat(F.translate(F.substring(s, 1, 1), SHORT_LOOKS, SHORT_MEANT), F.translate(F.substring(s, 2, 99), DIGIT_LOOKS, DIGIT_MEANT))
-    return F.when(fixed.rlike("^[XYZ][0-9]{1,3}$"), fixed)
+    return F.when(fixed.rlike("^[XYZ][0-9]{1,2}$"), fixed)
 
 
 def is_structured_short(x: Column) -> Column:
@@ -108,11 +112,10 @@ def plausibility(x: Column) -> Column:
 
 
 def clean_label(x: Column) -> Column:
-    """Noise characters out, unbalanced brackets at the ends off, blanks single, and an acronym with one small letter in
-    capitals."""
-    v = F.translate(F.coalesce(x, F.lit("")), "\x0c�‘’", " ")
-    v = F.regexp_replace(F.coalesce(x, F.lit("")), "[‘’]", "'")
-    v = F.regexp_replace(F.regexp_replace(v, "\x0c", " "), r"(?U)[^\w .|/()'\s-]+", "")
+    """Noise characters out (all white space but blanks, too), unbalanced brackets at the ends off, blanks single, and an acronym
+    with one small letter in capitals."""
+    v = F.translate(F.coalesce(x, F.lit("")), "\x0c‘’�", " ''")
+    v = F.regexp_replace(v, r"[^\p{L}\p{N}_ .|/()'-]+", "")
     v = clean_space(F.regexp_replace(F.regexp_replace(v, r"^[\])}|]+", ""), r"[\[({|]+$", ""))
 
     def word(w: Column) -> Column:
@@ -149,9 +152,9 @@ def tolerance(x: Column, code: Column) -> Column:
 
 
 def plain_number(x: Column) -> Column:
-    """Numerals with usual misreadings put right."""
+    """Numerals with usual misreadings beside a decimal point put right, and no blanks around it."""
     v = F.replace(F.upper(F.coalesce(x, F.lit(""))), F.lit(","), F.lit("."))
-    for wrong, right in ((r"[IL|](?=[0-9.])", "1"), (r"\.[GS]", ".6"), (r"\.B", ".8"), (r"\.A", ".4")):
+    for wrong, right in ((r"[IL|]\s*\.\s*(?=[0-9A-Z])", "1."), (r"([0-9])\s*\.\s*(?=[0-9A-Z])", "$1."), (r"\.\s*[GS]", ".6"), (r"\.\s*B", ".8"), (r"\.\s*A", ".4")):
         v = F.regexp_replace(v, wrong, right)
     return v
 
@@ -187,29 +190,32 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 #: Keywords of conditions.
-KEYWORDS = ("HEIGHT", "WIDTH", "LENGTH", "DEPTH", "RADIUS", "DIAMETER")
+KEYWORDS = ("HEIGHT", "WIDTH", "LENGTH", "THICKNESS", "GAP", "DIAMETER")
 
 
 @F.pandas_udf(T.StringType())
 def keyword(x: pd.Series) -> pd.Series:
-    """First keyword that some window of the text resembles by 0.78 or more; empty if none does."""
+    """First keyword that the letters of the text hold, or that some window of them, up to a letter longer or shorter,
+    resembles by 0.78 or more; empty if none does."""
     import re
     from difflib import SequenceMatcher
 
+    def alike(letters: str, k: str) -> bool:
+        sizes = [n for n in (len(k) - 1, len(k), len(k) + 1) if n > 2]
+        return k in letters or any(SequenceMatcher(None, letters[i : i + n], k).ratio() >= 0.78 for n in sizes for i in range(len(letters) - n + 1))
+
     def find(text: str | None) -> str:
-        s = re.sub("[^A-Z]", "", (text or "").upper())
-        for k in KEYWORDS:
-            n = len(k)
-            if any(SequenceMatcher(None, s[i : i + n], k).ratio() >= 0.78 for i in range(max(1, len(s) - n + 1))):
-                return k
-        return ""
+        letters = re.sub("[^A-Z]", "", (text or "").upper())
+        return next((k for k in KEYWORDS if alike(letters, k)), "")
 
     return x.map(find)
 
 
 def condition(text: Column, key: Column) -> Column:
-    """`KEYWORD < n mm` from a text with a comparison, given its keyword; null without one."""
-    sign, n = F.regexp_extract(text, "([<>])", 1), F.regexp_extract(F.replace(text, F.lit(","), F.lit(".")), r"[<>]\s*([0-9]+(?:\.[0-9]+)?)", 1)
+    """`KEYWORD < n mm` from a text with a comparison, given its keyword; sign and number are of one match. Null without one."""
+    pattern = r"([<>])\s*([0-9]{1,3}(?:\.[0-9]{1,2})?)"
+    v = F.replace(F.upper(text), F.lit(","), F.lit("."))
+    sign, n = F.regexp_extract(v, pattern, 1), F.regexp_extract(v, pattern, 2)
     return F.when((key != "") & (n != ""), F.concat_ws(" ", key, sign, n, F.lit("mm")))
 
 

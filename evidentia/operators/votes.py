@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.functions.text import plain_number
+
 DIGITS = 9  # sums of weights are compared to so many decimals, so their order does not depend on partitions
 
 
@@ -92,7 +94,7 @@ def confirmed_best(df: DataFrame, key: list[str], score: str, cut: float = 0.72,
 
 
 def accept_by_margin(df: DataFrame, key: str, item: str, score: str, sure: float, fair: float, margin: float) -> DataFrame:
-    """(T4, T5, T8) The best item, accepted if its score is sure, or fair with a margin over the second best."""
+    """(T4, T5) The best item, accepted if its score is sure, or fair with a margin over the second best."""
     top = ranked(df, [key], [F.col(score).desc(), F.col(item).asc()], 2).groupBy(key).agg(
         F.max(F.when(F.col("rank") == 1, F.col(item))).alias("best"), F.max(F.when(F.col("rank") == 1, F.col(score))).alias("score"),
         F.coalesce(F.max(F.when(F.col("rank") == 2, F.col(score))), F.lit(0.0)).alias("second"),
@@ -101,12 +103,21 @@ def accept_by_margin(df: DataFrame, key: str, item: str, score: str, sure: float
     return top.select(key, F.when(ok, F.col("best")).otherwise("").alias("accepted"), "score", F.round(F.col("score") - F.col("second"), 9).alias("margin"))
 
 
-def numeric_vote(readings: DataFrame, key: str, text: str, weight: str, decimal_bonus: float = 0.34) -> DataFrame:
-    """(A5, A21, A22) Numbers in readings, weighed by their variant, decimals a little more: the heaviest, the least of equal."""
-    found = readings.select(key, weight, F.explode(F.regexp_extract_all(F.replace(F.col(text), F.lit(","), F.lit(".")), F.lit(r"([0-9]{1,2}(?:\.[0-9]{1,2})?)"), F.lit(1))).alias("t"))
-    votes = found.select(key, F.col("t").cast("double").alias("v"), (F.col(weight) + F.when(F.col("t").contains("."), decimal_bonus).otherwise(0.0)).alias("w"))
-    sums = votes.where("v > 0").groupBy(key, "v").agg(F.round(F.sum("w"), 6).alias("w"))
-    return sums.groupBy(key).agg(F.max(F.struct("w", (-F.col("v")).alias("v"))).alias("m")).select(key, (-F.col("m.v")).alias("value"), F.col("m.w").alias("weight"))
+def numeric_vote(readings: DataFrame, key: str, text: str, weight: str, decimal_bonus: float = 0.34, most: float = 999.0) -> DataFrame:
+    """(A5) Numbers in readings (up to four digits and three decimals that stand alone, above 0 and up to `most`), weighed by their
+    variant, decimals a little more: the heaviest, the least of equal. The heaviest decimal wins over all others if it weighs
+    0.90, or at most 0.55 less than its own whole part, which may be a truncated reading of it."""
+    plain = F.translate(plain_number(F.col(text)), "IL", "11")
+    found = readings.select(key, weight, F.explode(F.regexp_extract_all(plain, F.lit(r"(?<![0-9])([0-9]{1,4}(?:\.[0-9]{1,3})?)(?![0-9])"), F.lit(1))).alias("t"))
+    cast = found.select(key, F.col("t").cast("double").alias("v"), (F.col(weight) + F.when(F.col("t").contains("."), decimal_bonus).otherwise(0.0)).alias("w"))
+    sums = cast.where((F.col("v") > 0) & (F.col("v") <= most)).groupBy(key, "v").agg(F.round(F.sum("w"), 6).alias("w"))
+    item, whole = F.struct("w", (-F.col("v")).alias("v")), F.col("v") % 1 == 0
+    best = sums.groupBy(key).agg(
+        F.max(item).alias("m"), F.max(F.when(~whole, item)).alias("d"), F.map_from_entries(F.collect_list(F.when(whole, F.struct("v", "w")))).alias("wholes")
+    )
+    cut = F.coalesce(F.element_at("wholes", F.floor(-F.col("d.v")).cast("double")), F.lit(0.0))
+    decimal = F.coalesce((F.col("d.w") >= 0.90) | (F.round(F.col("d.w") + 0.55, 6) >= cut), F.lit(False))
+    return best.select(key, F.when(decimal, F.col("d")).otherwise(F.col("m")).alias("x")).select(key, (-F.col("x.v")).alias("value"), F.col("x.w").alias("weight"))
 
 
 def text_choice(evidence: DataFrame, key: str, norm: str, text: str, score: str, image: str, pos: str) -> DataFrame:

@@ -104,9 +104,9 @@ h AS (SELECT *, CASE WHEN p_name = code THEN 1 WHEN starts_with(p_name, code) TH
 SELECT * FROM h WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY p_size)""",
     "code_extract": f"""SELECT p_partkey, nullif(regexp_extract(upper(txt), '\\b([0-9]{{2}}[A-Z][0-9]{{2}})\\b', 1), '') AS found FROM {_NOISY}""",
     "code_confusion_fix": f"""WITH s AS (SELECT p_partkey, upper(regexp_replace(txt, '[^A-Za-z0-9]', '', 'g')) AS s FROM {_NOISY}),
-f AS (SELECT p_partkey, s, translate(substr(s, 1, 2), 'OQDILZSGTBA', '00011256784') || translate(substr(s, 3, 1), '48601', 'ABGOI') || translate(substr(s, 4, 2), 'OQDILZSGTBA', '00011256784') AS x FROM s)
+f AS (SELECT p_partkey, s, translate(substr(s, 1, 2), 'OQDILZSGTBA', '00011256784') || translate(substr(s, 3, 1), '4', 'A') || translate(substr(s, 4, 2), 'OQDILZSGTBA', '00011256784') AS x FROM s)
 SELECT p_partkey, CASE WHEN len(s) = 5 AND regexp_full_match(x, '[0-9]{{2}}[A-Z][0-9]{{2}}') THEN x END AS fixed FROM f""",
-    "label_normalise": """WITH h AS (SELECT doc_id, translate(lower(substr(text, 1, 80)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') AS h FROM documents)
+    "label_normalise": """WITH h AS (SELECT doc_id, replace(translate(lower(coalesce(text, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), 'ß', 'ss') AS h FROM documents)
 , w AS (SELECT doc_id, regexp_extract_all(h, '[a-z0-9]+') AS w, regexp_replace(h, '[^a-z0-9]+', '', 'g') AS key FROM h)
 SELECT doc_id, key, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS anchors FROM w""",
     "number_parse": f"""SELECT {_ID}, l_extendedprice::DECIMAL(12, 2)::DOUBLE AS n, NULL::DOUBLE AS bad, CASE WHEN trunc(l_quantity - 10)::INT >= 1 THEN trunc(l_quantity - 10)::INT END AS whole FROM lineitem""",
@@ -114,9 +114,13 @@ SELECT doc_id, key, array_to_string(list_filter(w, lambda x, i: list_position(w,
     "datum_flags": f"""SELECT {_ID}, l_returnflag = 'A' AS "A", l_linenumber > 3 AS "B", l_linenumber > 3 AS "C", false AS "D", false AS "E" FROM lineitem""",
     "tolerance_parse": f"SELECT {_ID}, l_tax AS tol FROM lineitem",
     "numeric_reading_vote": """WITH r AS (SELECT l_suppkey, l_linenumber::VARCHAR AS t, l_linenumber / 10.0::DOUBLE AS w FROM lineitem
-UNION ALL SELECT l_suppkey, regexp_extract(l_tax::VARCHAR, '[0-9]{1,2}(\\.[0-9]{1,2})?'), l_linenumber / 10.0::DOUBLE FROM lineitem),
-s AS (SELECT l_suppkey, t::DOUBLE AS v, round(sum(w + CASE WHEN contains(t, '.') THEN 0.34 ELSE 0 END), 6) AS w FROM r WHERE t::DOUBLE > 0 GROUP BY 1, 2)
-SELECT l_suppkey, v AS value, w AS weight FROM s QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY w DESC, v) = 1""",
+UNION ALL SELECT l_suppkey, l_tax::VARCHAR, l_linenumber / 10.0::DOUBLE FROM lineitem),
+s AS (SELECT l_suppkey, t::DOUBLE AS v, round(sum(w + CASE WHEN contains(t, '.') THEN 0.34 ELSE 0 END), 6) AS w FROM r WHERE t::DOUBLE > 0 GROUP BY 1, 2),
+d AS (SELECT * FROM s WHERE v % 1 <> 0 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY w DESC, v) = 1),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY w DESC, v) = 1),
+j AS (SELECT m.l_suppkey, m.v AS mv, m.w AS mw, d.v AS dv, d.w AS dw, coalesce(d.w >= 0.9 OR round(d.w + 0.55, 6) >= coalesce(i.w, 0), false) AS dec
+  FROM m LEFT JOIN d USING (l_suppkey) LEFT JOIN s i ON i.l_suppkey = d.l_suppkey AND i.v = floor(d.v))
+SELECT l_suppkey, CASE WHEN dec THEN dv ELSE mv END AS value, CASE WHEN dec THEN dw ELSE mw END AS weight FROM j""",
     "natural_sort_key": """SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower(p_brand || ' ' || p_name), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p, 20, '0') ELSE p END), '') AS key FROM part""",
     "word_filter_rows": f"""SELECT {_ID}, l_linenumber + trunc(l_quantity)::INT / 2.0::DOUBLE AS center_y, true AS again FROM lineitem WHERE l_quantity - 5 >= 0 AND l_quantity BETWEEN 7 AND 45""",
     "line_assembly": """SELECT l_orderkey, string_agg(l_shipdate::DATE::VARCHAR, ' ' ORDER BY l_partkey, l_suppkey, l_shipdate::DATE::VARCHAR) AS line, round(avg(l_quantity), 6) AS mean_conf, min(l_partkey) AS box_left, min(l_suppkey) AS box_top,
@@ -150,8 +154,8 @@ SELECT p_partkey, code, round(greatest(0, 1 - min(cost) / 2.6), 9)::DOUBLE AS sc
 SELECT p_partkey, round(CASE WHEN an = 0 THEN -70 ELSE least(an, 24) * 0.8::DOUBLE + CASE WHEN al >= 3 THEN 7 ELSE 0 END + CASE WHEN regexp_full_match(v, '[A-Za-z]{{1,3}}[0-9]+[A-Za-z0-9.-]*') THEN 12 ELSE 0 END
   - CASE WHEN regexp_full_match(v, '[0-9.]+') THEN 30 ELSE 0 END - CASE WHEN an = 1 AND NOT regexp_matches(v, '[0-9]') THEN 28 ELSE 0 END - CASE WHEN contains(v, '?') THEN 18 ELSE 0 END
   - CASE WHEN regexp_matches(v, '^[^A-Za-z0-9]') THEN 12 ELSE 0 END END, 6)::DOUBLE AS points, regexp_full_match(regexp_replace(v, '[^A-Za-z0-9_.-]', '', 'g'), '[A-Za-z]{{1,3}}[0-9]+[A-Za-z0-9_.-]*') AS short FROM v""",
-    "clean_labels": r"""WITH a AS (SELECT doc_id, regexp_replace(substr(text, 1, 60), '[^\pL\pM\pN_ .|/()''\s-]+', '', 'g') AS v FROM documents),
+    "clean_labels": r"""WITH a AS (SELECT doc_id, regexp_replace(replace(translate(coalesce(text, ''), '‘’', ''), chr(12), ' '), '[^\pL\pN_ .|/()''-]+', '', 'g') AS v FROM documents),
 b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(v, '^[\])}|]+', ''), '[\[({|]+$', ''), '\s+', ' ', 'g')) AS v FROM a),
 w AS (SELECT doc_id, list_transform(string_split(v, ' '), lambda x: CASE WHEN len(regexp_replace(x, '[^\pL]', '', 'g')) >= 2
-  AND len(regexp_replace(x, '[^\p{Lu}]', '', 'g')) >= len(regexp_replace(x, '[^\pL]', '', 'g')) - 1 THEN upper(x) ELSE x END) AS w FROM b) SELECT doc_id, array_to_string(w, ' ') AS label FROM w""",
+  AND len(regexp_replace(x, '[^\p{Lu}]', '', 'g')) >= len(regexp_replace(x, '[^\pL]', '', 'g')) - 1 THEN upper(replace(x, 'ß', 'SS')) ELSE x END) AS w FROM b) SELECT doc_id, array_to_string(w, ' ') AS label FROM w""",
 }

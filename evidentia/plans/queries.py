@@ -260,8 +260,7 @@ def code_score_match(t, spark):
 
 @query
 def label_normalise(t, spark):
-    head = F.substring("text", 1, 80)
-    return t("documents").select("doc_id", X.fold_key(head).alias("key"), F.array_join(X.anchors(head), " ").alias("anchors"))
+    return t("documents").select("doc_id", X.fold_key(F.col("text")).alias("key"), F.array_join(X.anchors(F.col("text")), " ").alias("anchors"))
 
 
 @query
@@ -307,7 +306,7 @@ def text_plausibility(t, spark):
 
 @query
 def clean_labels(t, spark):
-    return t("documents").select("doc_id", X.clean_label(F.substring("text", 1, 60)).alias("label"))
+    return t("documents").select("doc_id", X.clean_label(F.col("text")).alias("label"))
 
 
 @query

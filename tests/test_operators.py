@@ -94,7 +94,25 @@ def test_text_functions(spark):
     )
     assert (r.a, r.b, r.c, r.d, r.e, r.f) == ("tolerancegeometrique2", "dzea", ["05A01"], "05A01", 5, 1.4)
     assert (r.g, r.h, r.i, r.j, r.k) == ("CPC Découpe", "X2", 0.75, "1.6", None)
-    assert r.l in ("HEIGHT", "")
+    assert r.l == "HEIGHT"
+
+
+def test_text_rules_one_by_one(spark):
+    """Each case follows from its rule, not from the code."""
+    f = lambda fn, *cases: [getattr(one(spark, fn(F.lit(c)).alias("v")), "v") for c in cases]
+    assert f(X.unconfused_code, "05815", "05415", "O5A0I", "05A1", "05a15") == [None, "05A15", "05A01", None, "05A15"]
+    assert f(X.short_identifier, "X1", "K12", "X123", "XI", "A1") == ["X1", "X12", None, "X1", None]
+    assert f(X.plain_number, "L5", "L.5", "1 . 6", "0.G", "3,B", "5 . S") == ["L5", "1.5", "1.6", "0.6", "3.8", "5.6"]
+    assert f(X.clean_label, "a\tb", "a\nb c", "x\x0cy", "  cPC  é ", "l’axe", "straße Öß", None) == ["ab", "ab c", "x y", "CPC é", "l'axe", "straße ÖSS", ""]
+    assert f(X.keyword, "WALL THICKNESS > 5", "GAP<2", "HE1GHT", "WIDHT", "D E P T H", "RADIUS", "") == ["THICKNESS", "GAP", "HEIGHT", "WIDTH", "", "", ""]
+    assert f(lambda c: X.condition(c, F.lit("GAP")), "a < b > 12,345 mm", "< 5", "<", "> 1234") == ["GAP > 12.34 mm", "GAP < 5 mm", None, "GAP > 123 mm"]
+    assert f(X.fold_key, "Straße Nº", "Ça-va") == ["strassen", "cava"] and f(X.fold_key_exact, "straße", "Ő1") == ["strasse", "o1"]
+
+
+def test_numeric_vote_prefers_a_decimal_to_its_truncated_reading(spark):
+    rows = [(1, "1.6", 0.3), (1, "1", 0.9), (2, "1.6", 0.1), (2, "1", 2.0), (3, "1234", 1.0), (3, "12", 0.5), (4, "0.125", 0.2), (4, "7", 0.9), (5, "2 . S", 1.0), (6, "none", 1.0)]
+    got = {r.k: r.value for r in votes.numeric_vote(spark.createDataFrame(rows, "k int, t string, w double"), "k", "t", "w").collect()}
+    assert got == {1: 1.6, 2: 1.0, 3: 12.0, 4: 0.125, 5: 2.6}
 
 
 def test_geometry(spark):
