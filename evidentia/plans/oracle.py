@@ -141,7 +141,7 @@ SELECT vec_id, lag, round(corr(x, y), 6) AS corr FROM p GROUP BY 1, 2""",
 i AS (SELECT *, greatest(0, 40 - abs(a % 50 - b % 50)) * 20 AS inter FROM o)
 SELECT {_ID}, least(abs(a - b) % 180, 180 - abs(a - b) % 180) AS difference, (a + 90) % 180 - 90 AS normal, round(inter / (2400 - inter), 6) AS iou FROM i""",
     "code_score_match": f"""WITH RECURSIVE n AS {_NOISY}, known AS (SELECT DISTINCT code FROM n WHERE p_partkey < 40),
-s AS (SELECT p_partkey, regexp_replace(upper(txt), '[^A-Z0-9|]', '', 'g') AS s FROM n WHERE p_partkey < 200),
+s AS (SELECT p_partkey, regexp_replace(upper(txt), '[^A-Z0-9|]', '', 'g') AS s FROM n),
 w AS (SELECT p_partkey, substr(s, i, 5) AS w, 0 AS lost FROM s, unnest(range(1, len(s) - 3)) AS x(i) UNION ALL SELECT p_partkey, substr(s, i, 4), 1 FROM s, unnest(range(1, len(s) - 2)) AS x(i)),
 c(o, e, letter, cost) AS (VALUES ('O','0',false,0.12),('Q','0',false,0.18),('D','0',false,0.30),('I','1',false,0.12),('L','1',false,0.18),('|','1',false,0.18),('T','1',false,0.35),('P','2',false,0.35),
 ('Z','2',false,0.22),('S','5',false,0.20),('G','6',false,0.35),('G','9',false,0.40),('B','8',false,0.15),('A','4',false,0.40),('4','A',true,0.12),('8','B',true,0.12),('6','G',true,0.25),('0','O',true,0.30),('1','I',true,0.35)),
