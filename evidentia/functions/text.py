@@ -32,6 +32,11 @@ def _plain(x: Column) -> Column:
     return F.replace(F.translate(F.lower(F.coalesce(x, F.lit(""))), MARKED, PLAIN), F.lit("ß"), F.lit("ss"))
 
 
+def plain_upper(x: Column) -> Column:
+    """Capitals, Latin-1 marks dropped."""
+    return F.upper(_plain(x))
+
+
 def fold_key(x: Column) -> Column:
     """Lower case, Latin-1 marks dropped, sharp s as ss, only a-z and 0-9 left."""
     return F.regexp_replace(_plain(x), "[^a-z0-9]+", "")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import codes as C
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import greedy, lines, match, review, tree, votes
+from ..operators import evidence, greedy, lines, match, review, tree, votes
 
 REGISTERED: dict = {}
 LEVELS = 5
@@ -431,3 +432,132 @@ def step_control(t, spark):
 @query
 def spaced_peaks(t, spark):
     return greedy.spaced_peaks(t("lineitem").select("l_suppkey", "l_quantity", "l_discount"), "l_suppkey", "l_quantity", "l_discount")
+
+
+def _displays(t) -> DataFrame:
+    n = _noisy(t)
+    wrong = F.translate("code", "0152", "OISZ")
+    shown = F.element_at(F.array(wrong, F.concat(wrong, F.lit(" ("), F.col("code"), F.lit("...)")), F.concat(F.lit("GE "), F.translate("code", "ABGOI", "44444")), F.col("code")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return n.select("p_partkey", "code", shown.alias("text"), F.concat_ws(" | ", "txt", shown, F.when(F.col("p_partkey") % 6 == 0, F.concat("code", F.lit(" ("), F.col("code"), F.lit(")")))).alias("others"), F.when(F.col("p_partkey") % 5 > 0, "Notes").otherwise("views").alias("parent"))
+
+
+@query
+def code_evidence(t, spark):
+    return evidence.code_evidence(_displays(t), ["p_partkey"], "text", "others").drop("pos")
+
+
+@query
+def code_recovery(t, spark):
+    return evidence.recover_codes(_displays(t), "text", "others", "parent").select("p_partkey", "recovered", "marker")
+
+
+@query
+def display_guards(t, spark):
+    d = _displays(t)
+    x = F.col("text")
+    return d.select("p_partkey", C.strict_head(x).alias("strict_head"), C.has_strict_code(x).alias("strict"), C.is_code_display(x).alias("display"), C.is_short_display(x).alias("short"), C.has_code_parent(F.col("parent")).alias("context"))
+
+
+def _frames(t) -> DataFrame:
+    value = F.replace((F.col("l_tax") * 100 + F.col("l_linenumber") / 10).cast("decimal(6,1)").cast("string"), F.lit("."), F.lit(","))
+    text = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("03A01 | "), value, F.lit(" | A"))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.col("l_linenumber").cast("string"), F.lit("X 03A01 "), value)).otherwise(
+        F.concat(F.lit("03A01 "), F.col("l_linenumber").cast("string"), F.lit(" | A")))
+    return t("lineitem").select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"), text.alias("text"), F.lit("03A01").alias("code"))
+
+
+@query
+def standard_tolerance(t, spark):
+    return evidence.standard_tolerance(_frames(t), "l_orderkey", "pos", "text", "code")
+
+
+@query
+def conditional_tolerance(t, spark):
+    f = t("lineitem").select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"), F.concat(F.lit("03A01 "), F.when(F.col("l_linenumber") % 3 == 0, F.concat((F.col("l_tax") * 100).cast("int").cast("string"), F.lit(",5"))).otherwise((F.col("l_tax") * 100).cast("int").cast("string")), F.lit(" HEIGHT < 7.25")).alias("text"))
+    return evidence.conditional_tolerance(f, "l_orderkey", "pos", "text")
+
+
+@query
+def conditional_suffix(t, spark):
+    line = F.concat(F.lit("3 "), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("")), (F.col("l_linenumber") % 3 + 1).cast("int")), F.lit("O"), F.element_at(F.array(F.lit("I"), F.lit("Z"), F.lit("7"), F.lit("0")), (F.col("l_partkey") % 4 + 1).cast("int")), F.lit(" WIDTH > 3"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", C.conditional_suffix(F.array(F.lit("no condition"), line)).alias("suffix"))
+
+
+@query
+def lane_conflict(t, spark):
+    e = t("events").select("user_id", "event_id", (F.col("event_id") % 2).cast("int").alias("lane"), F.col("event_type").alias("text"), F.floor("value").cast("double").alias("conf"), F.when(F.col("event_id") % 3 == 0, "line_a").otherwise("full").alias("method"), (F.col("event_id") % 5 == 0).alias("partial"))
+    return evidence.lane_conflicts(e, "user_id", "event_id", "lane", "text", "conf", "method", "partial")
+
+
+@query
+def fragment_completion(t, spark):
+    n = _noisy(t)
+    known = n.where("p_partkey < 40").select("code").distinct()
+    return evidence.complete_fragments(n.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.substring("code", 2, 4)).otherwise(F.substring("code", 1, 4)).alias("txt")), known, "p_partkey", "txt")
+
+
+@query
+def code_location(t, spark):
+    word = F.element_at(F.array(F.lit("03"), F.lit("A01"), F.lit("O3A"), F.lit("01")), (F.col("l_partkey") % 4 + 1).cast("int"))
+    w = t("lineitem").select("l_orderkey", (F.col("l_linenumber") % 2).alias("line"), F.lit("03A01").alias("code"), word.alias("text"), (F.col("l_linenumber") * 100).alias("left"), F.col("l_partkey").alias("top"), F.lit(40).alias("width"), F.lit(10).alias("height"))
+    return evidence.locate_code(w, "l_orderkey", "line", "code", "text", ("left", "top", "width", "height"))
+
+
+@query
+def frame_registration(t, spark):
+    e = t("embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 24).alias("a"))
+    e = e.withColumn("b", F.concat(F.slice("a", 4, 21), F.slice("a", 1, 3)))
+    return evidence.register(e, "a", "b", 1, 12, apart=2).select("vec_id", "shift", F.round("score", 6).alias("score"), F.round("second", 6).alias("second"))
+
+
+@query
+def support_axis(t, spark):
+    a = t("orders").groupBy("o_custkey").agg(F.collect_set(F.floor(F.col("o_totalprice") / 5000).cast("double")).alias("axes"))
+    return a.select("o_custkey", C.base_axis(F.col("axes"), F.lit(28.0), 47.0).alias("axis"))
+
+
+@query
+def prefix_repair(t, spark):
+    w = t("lineitem").select("l_orderkey", F.col("l_quantity").alias("left"), F.lit(9.0).alias("width"), F.concat("l_returnflag", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber").cast("string")).otherwise("")).alias("text"))
+    return evidence.prefix_words(w, "l_orderkey", "left", "width", "text", F.lit(40.0), F.lit(50.0), F.lit(28.0))
+
+
+@query
+def median_default(t, spark):
+    return evidence.median_or(t("events").select("user_id", F.when(F.col("event_type") == "error", F.floor("value").cast("double")).alias("v")), "user_id", "v", 60.0)
+
+
+@query
+def flags_of_two_sources(t, spark):
+    d = t("documents").select("doc_id", (F.length("text") % 2 == 0).alias("quality"), F.lit(False).alias("toxic"))
+    return evidence.or_flags(d, t("labels").select("doc_id", (F.col("quality") == 1).alias("quality"), (F.col("toxic") == 1).alias("toxic")), "doc_id", ["quality", "toxic"])
+
+
+@query
+def value_cascade(t, spark):
+    o = t("orders")
+    limit = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice"))
+    measured = F.when(F.col("o_orderkey") % 3 == 1, F.col("o_custkey").cast("double"))
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.regexp_extract("o_orderpriority", "([0-9])", 1).try_cast("double"))
+    return o.select("o_orderkey", C.cascade(("limit", limit), ("dimension", measured), ("text", text)).alias("c")).select("o_orderkey", "c.value", "c.source")
+
+
+@query
+def quantity_cascade(t, spark):
+    m = F.when(F.col("l_linenumber") % 4 == 0, F.create_map(F.lit("SemanticGDT.NxDisplay.Count"), F.col("l_quantity").cast("string"))).when(
+        F.col("l_linenumber") % 4 == 1, F.create_map(F.lit("Quantity"), F.concat(F.col("l_linenumber").cast("string"), F.lit(" x")))).when(
+        F.col("l_linenumber") % 4 == 2, F.create_map(F.lit("SemanticGDT.NxDisplay.IsASeparate"), F.lit("True"))).otherwise(F.create_map(F.lit("Quantity"), F.lit("")))
+    combined = F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("pos "), F.col("l_linenumber").cast("string"), F.lit("× A"))).otherwise("none")
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", C.quantity(m, combined, F.col("l_returnflag") == "N").alias("q")).select("l_orderkey", "l_linenumber", "l_partkey", "q.display", "q.count")
+
+
+@query
+def ordered_distinct(t, spark):
+    return t("part").select("p_partkey", F.array_join(C.unique_texts(F.array("p_brand", F.upper("p_brand"), F.lit(" "), "p_name", F.initcap("p_name"), F.lit("end"))), "|").alias("texts"))
+
+
+@query
+def structural_labels(t, spark):
+    n = F.col("c_custkey")
+    label = F.when(n % 4 == 0, "Springback").when(n % 4 == 1, F.concat(F.lit("a | b-c "), F.lit("d-e"))).when(n % 4 == 2, "Elément de référence.S (E)").otherwise(F.col("c_name"))
+    parent = F.element_at(F.array(F.lit("CPC"), F.lit("ctf"), F.lit("Références")), (n % 3 + 1).cast("int"))
+    return t("customer").select("c_custkey", C.capture_label(label, parent).alias("capture"), C.reference_label(label, parent).alias("reference"))
