@@ -59,7 +59,7 @@ def inside(x: Column) -> Column:
 
 def readings(text: Column, others: Column) -> Column:
     """The text and its other readings, parted by a bar between blanks: distinct, in order, none empty."""
-    many = F.transform(F.split(F.coalesce(others, F.lit("")), r"\s+\|\s+"), F.trim)
+    many = F.transform(F.split(F.coalesce(others, F.lit("")), r"\s+\|\s+"), lambda v: F.trim(v))
     return F.filter(F.array_distinct(F.concat(F.array(or_empty(text)), many)), lambda a: a != "")
 
 

@@ -166,7 +166,7 @@ def plain_number(x: Column) -> Column:
 
 def alternatives(text: Column, others: Column, separator: str = "|") -> Column:
     """The text and its other readings, distinct, in order, without empty ones."""
-    many = F.transform(F.split(F.coalesce(others, F.lit("")), f"[{separator}]"), F.trim)
+    many = F.transform(F.split(F.coalesce(others, F.lit("")), f"[{separator}]"), lambda v: F.trim(v))
     return F.filter(F.array_distinct(F.concat(F.array(or_empty(text)), many)), lambda a: a != "")
 
 

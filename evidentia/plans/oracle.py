@@ -1,5 +1,7 @@
 """DuckDB equivalents of the registered queries, written independently of them."""
 
+from . import oracle_evidence
+
 _OBS = "(SELECT user_id, floor(value) / 2 AS v, (event_id % 100) / 100.0::DOUBLE AS conf, event_id AS pos FROM events)"
 _TALK = "(SELECT conv_id, turn, role, ((conv_id * 7 + turn * 3) % 5)::INT AS level FROM conversations)"
 _PARENT = f"""t AS {_TALK},
@@ -159,3 +161,5 @@ b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(v, '^[\])
 w AS (SELECT doc_id, list_transform(string_split(v, ' '), lambda x: CASE WHEN len(regexp_replace(x, '[^\pL]', '', 'g')) >= 2
   AND len(regexp_replace(x, '[^\p{Lu}]', '', 'g')) >= len(regexp_replace(x, '[^\pL]', '', 'g')) - 1 THEN upper(replace(x, 'ß', 'SS')) ELSE x END) AS w FROM b) SELECT doc_id, array_to_string(w, ' ') AS label FROM w""",
 }
+
+ORACLE |= oracle_evidence.oracle(_NOISY)
