@@ -44,12 +44,13 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, status: Sequence[str]
 
 
 def interval_join(points: DataFrame, bands: DataFrame, x: str, low: str, high: str, order: str, width: float, carry: Sequence[str] = ()) -> DataFrame:
-    """(J6) Points with the first band (by `order`) of those [low, high) that hold them; others go. Both sides are cut into cells
-    of `width`, so it is an equi-join whatever their sizes."""
-    cells = bands.withColumn("cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high)) / width))))
-    hit = points.withColumn("cell", F.floor(F.col(x) / width)).join(cells, "cell").where((F.col(x) >= F.col(low)) & (F.col(x) < F.col(high)))
-    keys = [c for c in points.columns]
-    return hit.groupBy(*keys).agg(F.min(F.struct(order, low, high, *carry)).alias("_b")).select(*keys, "_b.*")
+    """(J6) Points with the first band (by `order`) of those [low, high) that hold them; others go, repeated points stay. Both sides are
+    cut into cells of `width`, so it is an equi-join whatever their sizes; a cell's bands travel as one array."""
+    band = F.struct(order, low, high, *carry)
+    cells = bands.withColumn("_c", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))).groupBy("_c").agg(F.collect_list(band).alias("_bs"))
+    near = points.withColumn("_c", F.floor(F.col(x) / width)).join(cells, "_c")
+    first = F.array_min(F.filter("_bs", lambda b: (F.col(x) >= b[low]) & (F.col(x) < b[high])))
+    return near.withColumn("_b", first).where("_b IS NOT NULL").select(*points.columns, "_b.*")
 
 
 def nearest(df: DataFrame, x: str, lanes: Sequence[float]) -> DataFrame:
@@ -126,16 +127,19 @@ def lookup_enum(df: DataFrame, x: Column, exact: dict[str, str], fragments: Sequ
 
 
 def canonical_label(df: DataFrame, text: str, labels: Sequence[str], cut: float = 0.82) -> DataFrame:
-    """(J14) Add canonical: the label most like the text (by folded key) from `cut` on and of similar length, with the text's
-    instance number; else the text. The first of equally like labels wins."""
+    """(J14) Add canonical: the label most like the text (by folded key), with the text's instance number, if it is alike from `cut` on
+    and of similar length; else the text. The first of equally like labels wins."""
     spark = df.sparkSession
     if len(labels) > MOST_KNOWN:
         raise ValueError("too many labels")
     dim = F.broadcast(spark.createDataFrame(list(enumerate(labels)), "li int, label string")).withColumn("lk", label_key(F.col("label")))
     keys = df.select(text).distinct().withColumn("tk", label_key(F.col(text)))
-    near = keys.join(dim, (F.length("tk") >= 4) & (F.abs(F.length("tk") - F.length("lk")) <= F.greatest(F.lit(3), F.floor(F.length("tk") / 4))))
+    # A ratio of `cut` needs 2 min / (a + b) of the lengths to reach it, so other labels can be left out before the choice.
+    alike = 2 * F.least(F.length("tk"), F.length("lk")) >= cut * (F.length("tk") + F.length("lk"))
+    near = keys.join(dim, (F.length("tk") >= 4) & alike)
     scored = near.withColumn("ratio", similarity(F.col("tk"), F.col("lk"))).where(F.col("ratio") >= cut)
-    best = scored.groupBy(F.col(text).alias("_t")).agg(F.max(F.struct("ratio", (-F.col("li")).alias("o"), "label")).alias("_b"))
+    best = scored.groupBy(F.col(text).alias("_t"), "tk").agg(F.max(F.struct("ratio", (-F.col("li")).alias("o"), "label", "lk")).alias("_b"))
+    best = best.where(F.abs(F.length("tk") - F.length("_b.lk")) <= F.greatest(F.lit(3), F.floor(F.length("tk") / 4))).drop("tk")
     suffix = F.replace(F.regexp_extract(F.trim(text), r"(\s*\.?\s*[0-9]+)$", 1), F.lit(" "), F.lit(""))
     return df.join(best, F.col(text) == F.col("_t"), "left").withColumn("canonical", F.coalesce(F.concat(F.col("_b.label"), suffix), F.trim(text))).withColumn("ratio", F.col("_b.ratio")).drop("_t", "_b")
 
@@ -153,9 +157,12 @@ def find_target(df: DataFrame, text: str, pos: str, label: str, cut: float = 0.8
 
 
 def sibling_by_suffix(df: DataFrame, known: DataFrame, suffix: str, prefix: str, code: str = "code") -> DataFrame:
-    """(J19) The known code that ends with a suffix and begins with a prefix, accepted only when it is the only one."""
-    hit = df.join(small(known), F.endswith(F.col(code), F.col(suffix)) & F.startswith(F.col(code), F.col(prefix)))
-    return hit.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"), F.min(code).alias("resolved")).where("_n = 1").drop("_n")
+    """(J19) The known code that ends with a suffix and begins with a prefix, accepted only when it is the only one. Repeated rows are
+    resolved each."""
+    asked = df.select(F.col(suffix).alias("_s"), F.col(prefix).alias("_p")).distinct()
+    hit = asked.join(small(known.select(code).distinct()), F.endswith(F.col(code), F.col("_s")) & F.startswith(F.col(code), F.col("_p")))
+    only = hit.groupBy("_s", "_p").agg(F.count(F.lit(1)).alias("_n"), F.min(code).alias("resolved")).where("_n = 1").drop("_n")
+    return df.join(only, (F.col(suffix) == F.col("_s")) & (F.col(prefix) == F.col("_p"))).drop("_s", "_p")
 
 
 def union_if_empty(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -16,8 +16,9 @@ def _before(segment: str, pos: str) -> Window:
 
 def with_ancestors(df: DataFrame, segment: str, pos: str, level: str, levels: int, payload: list[str] | None = None) -> DataFrame:
     """Add `ancestors`: array<struct<pos, level, payload...>> of the open branch from the top, the row itself not. A row of a
-    level is open while no later row has its level or a lesser one."""
+    level is open while no later row has its level or a lesser one. A level of `levels` or more is an error."""
     w = _before(segment, pos)
+    df = df.withColumn(level, F.when(F.col(level) >= levels, F.raise_error(F.lit(f"a level is {levels} or more"))).otherwise(F.col(level)))
     cols = [F.col(pos).alias("pos"), F.col(level).alias("level"), *[F.col(c) for c in payload or []]]
     lasts = df.withColumn("lasts", F.array(*[F.last(F.when(F.col(level) == k, F.struct(*cols)), ignorenulls=True).over(w) for k in range(levels)]))
     above = F.filter("lasts", lambda a: a.isNotNull() & (a["level"] < F.col(level)))
@@ -52,14 +53,18 @@ def nearest_ancestor(df: DataFrame, segment: str, pos: str, level: str, levels:
 
 
 def descendants(edges: DataFrame, child: str, parent: str, root: DataFrame, depth: int = 100) -> DataFrame:
-    """(J16) (node, depth) reached from the nodes of root(node), breadth first; cycles end where a node is met again."""
+    """(J16, S11, S12, T9) (node, depth) reached from the nodes of root(node), breadth first; cycles end where a node is met again.
+    Nodes beyond `depth` are an error. With a checkpoint folder each round is written, so rounds are not worked out again."""
+    cut = (lambda d: d.checkpoint()) if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda d: d)
     seen = root.select("node").distinct().withColumn("depth", F.lit(0))
     front = seen
-    for d in range(1, depth + 1):
+    for d in range(1, depth + 2):
         front = edges.join(front.select(F.col("node").alias("_p")), F.col(parent) == F.col("_p")).select(F.col(child).alias("node")).distinct()
-        front = front.join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
+        front = cut(front.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
-            break
+            return seen
+        if d > depth:
+            raise ValueError(f"nodes deeper than {depth}")
         seen = seen.union(front)
     return seen
 
