@@ -8,8 +8,7 @@ tokenizer. Both give the ids of encoding the text at once, which a test compares
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from struct import pack
 
 MOST_WORDS = 100_000  # of a generation (about 20 MB); a worker remembers two, and what it meets again moves to the younger one
 MOST_BYTES = 256  # of a word that is remembered
@@ -42,13 +41,12 @@ class WordIds(dict):
         self.older: dict[bytes, bytes] = {}
 
     def _run(self, run: str) -> bytes:
-        if not run:
-            return b""
         if (ids := self.runs.get(run)) is None:
             if len(self.runs) >= MOST_WORDS:
                 self.runs.clear()
             shown = run if run.isascii() else "".join([self.letters[b] for b in run.encode()])
-            ids = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+            ids = [t.id for t in self.model.tokenize(shown)]
+            ids = pack(f"<{len(ids)}I", *ids)
             if len(run) <= MOST_BYTES:
                 self.runs[run] = ids
         return ids
@@ -56,8 +54,11 @@ class WordIds(dict):
     def _ids(self, word: bytes) -> bytes:
         s = word.decode("utf-8", "replace")
         if m := _PLAIN.fullmatch(s):
-            return self._run(m[1].lower()) + self._run(m[2])
-        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            letters, symbols = m.groups()
+            ids = self._run(letters.lower()) if letters else b""
+            return ids + self._run(symbols) if symbols else ids
+        ids = self.tokenizer.encode(s, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: bytes) -> bytes:
         if (ids := self.older.get(word)) is None:
@@ -70,7 +71,7 @@ class WordIds(dict):
         return ids
 
     def text(self, text: bytes) -> bytes:
-        return b"".join([self[w] for w in text.split()])
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _KNOWN: dict[str, WordIds] = {}
