@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .attention_lm import lm_scores
+from .conversation_repair import repair_conversations
 from .exact_dedup import exact_dedup
+from .filter_audit import filter_audit
 from .jaccard_join import jaccard_join
 from .mixing import mix
 from .packing import pack
@@ -11,6 +13,7 @@ from .quality_model import quality_classifier
 from .quality_rules import quality_rules
 from .store import table
 from .substring_dedup import substring_dedup
+from .token_store import token_files
 from .toxicity import toxicity
 from .url_filters import url_filters
 
@@ -64,9 +67,22 @@ def op10_url_filters(spark, sf_dir):
     return url_filters(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_token_orc(spark, sf_dir):
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     names = (
         op1_substring_dedup, op2_ngram_jaccard_join, op3_toxicity, op4_lm_scoring, op5_source_mixing, op6_best_fit_packing, op7_exact_dedup, op8_quality_classifier, op9_quality_rules, op10_url_filters,
+        op11_token_orc, op12_conversation_repair, op13_filter_audit,
     )
     return {f.__name__: f for f in names}
 
@@ -162,5 +178,63 @@ FROM base LEFT JOIN own USING (r) LEFT JOIN alias ON base.n = alias.a
 """
 
 
+# The checksum of "id:turn", byte by byte over a table of 256 remainders that the polynomial gives.
+_CRC = """
+bits(b, k, x) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT b, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM bits WHERE k < 8),
+crc_table AS (SELECT list(x ORDER BY b) AS t FROM bits WHERE k = 8),
+keys AS (SELECT row_number() OVER () AS r, *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+crc AS (SELECT r, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(key) + 1), lambda i: ascii(key[i])::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS c FROM keys, crc_table)
+"""
+
+_OP12 = rf"""
+WITH RECURSIVE {_CRC},
+damage AS (SELECT r, conv_id, turn, c % 20 AS kind, CASE c % 20 WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+  CASE c % 20 WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text FROM keys JOIN crc USING (r)),
+rows_ AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(len(role) || ':' || role || text)) AS pos
+  FROM damage, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth, left(role, 1) AS ini, regexp_replace(text, '[ 	-]+$', '') AS bare FROM rows_),
+fault AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini AS pair FROM seen),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM fault GROUP BY conv_id),
+after(st, ini, nxt) AS (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+put(st, nxt, word) AS (SELECT st, nxt, CASE ini WHEN 'u' THEN 'user' ELSE 'assistant' END FROM after WHERE ini <> 's'),
+ins(st, nxt, k, add) AS (SELECT DISTINCT st, st, 0, []::VARCHAR[] FROM after UNION ALL SELECT i.st, p.nxt, k + 1, list_append(add, p.word || ':') FROM ins i JOIN put p ON i.nxt = p.st WHERE k < 3),
+dp(conv_id, pos, st, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '', {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} FROM conversations
+  UNION ALL
+  SELECT conv_id, pos, st, min(k) FROM (
+    SELECT d.conv_id, f.pos, e.nxt AS st, {{'cost': (d.best.cost + 2 * i.k + e.cost)::BIGINT, 'audit': d.best.audit || repeat('I', i.k) || e.op, 'lines': d.best.lines || i.add || e.line}} AS k
+    FROM dp d JOIN fault f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.pos = d.pos + 1 JOIN ins i ON i.st = d.st,
+    LATERAL (SELECT i.nxt, 3 AS cost, 'D' AS op, []::VARCHAR[] AS line
+      UNION ALL SELECT a.nxt, (f.fault = 'truncated')::INT, 'K', [f.role || ':' || f.text] FROM after a WHERE a.st = i.nxt AND a.ini = f.ini AND f.fault NOT IN ('blank', 'duplicate')
+      UNION ALL SELECT p.nxt, 2 + (f.fault = 'truncated')::INT, 'R', [p.word || ':' || f.text] FROM put p WHERE p.st = i.nxt AND f.fault NOT IN ('blank', 'duplicate')) e
+  ) GROUP BY conv_id, pos, st),
+ended AS (SELECT d.conv_id, min({{'cost': (d.best.cost + 2 * i.k)::BIGINT, 'audit': d.best.audit || repeat('I', i.k), 'lines': d.best.lines || i.add}}) AS e
+  FROM dp d LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id JOIN ins i ON i.st = d.st WHERE d.pos = coalesce(c.n, 0) AND i.nxt IN ('', 'a') GROUP BY d.conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  e.e.cost AS cost, e.e.audit AS audit, sha256(array_to_string(e.e.lines, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+f AS (SELECT r, doc_id, part, t, regexp_extract_all(t, '[^ 	-]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+fails AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * (len(t) - len(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * len(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS m FROM f LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM fails GROUP BY part, m),
+x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS earlier FROM o, range(1, 6) AS z(step)),
+per AS (SELECT part, filter_order, step, own, n, good, toxic, m, contains(m, own) AS has, len(m) - len(translate(m, earlier, '')) > 0 AS before FROM s, g),
+t AS (SELECT part, filter_order, step::INT AS step, own, coalesce(sum(n) FILTER (NOT has AND NOT before), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (has AND NOT before), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (has AND before), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (m = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (has AND NOT before), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (has AND NOT before), 0)::BIGINT AS toxic_lost FROM per GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": _OP5, "op7_exact_dedup": _OP7, "op9_quality_rules": _OP9, "op10_url_filters": _OP10}
+    return {"op5_source_mixing": _OP5, "op7_exact_dedup": _OP7, "op9_quality_rules": _OP9, "op10_url_filters": _OP10, "op12_conversation_repair": _OP12, "op13_filter_audit": _OP13}
