@@ -76,6 +76,11 @@ def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every lower-cased word, its byte position), and words of one text lie between two searchsorted bounds."""
+    return words_at(data, offsets)[:2]
+
+
+def words_at(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, and the words' bytes."""
     low = _LOWER[data]
     inside = ~_SPACE[data]
     first = inside.copy()
@@ -84,12 +89,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[begins] = inside[begins]
     at = np.flatnonzero(inside)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts = np.flatnonzero(first[at])
     lengths = np.diff(np.append(starts, len(at)))
     place = np.arange(len(at)) - np.repeat(starts, lengths)
     np.minimum(place, len(_POWER) - 1, out=place)
-    return mixed(np.add.reduceat(_BYTE[low[at]] * _POWER[place], starts)), at[starts]
+    return mixed(np.add.reduceat(_BYTE[low[at]] * _POWER[place], starts)), at[starts], lengths
 
 
 def gram_hashes(hashes: np.ndarray, n: int = WORDS) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .grams import release
 from .store import keep
-from .tokens import word_ids
+from .tokens import text_ids
 
 LENGTH = 4096  # tokens of a sequence
 END_ID = 1
@@ -74,12 +74,10 @@ def _packed(items: list[tuple[int, list]], node: int, level: int, capacity: int,
 
 
 def _pieces(batches: Iterable[pa.RecordBatch], path: str, capacity: int) -> Iterator[tuple[int, list]]:
-    ids_of, end = word_ids(path), END_ID.to_bytes(4, "little")
+    end = END_ID.to_bytes(4, "little")
     for batch in batches:
-        docs, texts = batch.column(0).to_pylist(), batch.column(1)
-        for doc_id, text in zip(docs, texts, strict=True):
-            raw = text.as_buffer() if text.is_valid else None
-            ids = (ids_of.text(raw.to_pybytes()) if raw is not None else b"") + end
+        for doc_id, own in zip(batch.column(0).to_pylist(), text_ids(path, batch.column(1)), strict=True):
+            ids = own.astype("<u4", copy=False).tobytes() + end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
                 yield len(part) // 4, [{"doc_id": doc_id, "piece": piece, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .grams import release
 from .store import scratch
-from .tokens import word_ids
+from .tokens import text_ids
 
 END_ID = 2
 STRIPE_BYTES = 64 << 20
@@ -32,15 +32,15 @@ FALSE_HITS = 0.01  # of the Bloom filters
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) in order -> (part, doc_id, at, n_tokens, ids)."""
     release()
-    ids_of, tail, part, at = word_ids(path), end.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
+    tail, part, at = np.array([end], np.uint32), TaskContext.get().partitionId(), 0
     docs: list = []
-    raw: list[bytes] = []
+    raw: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch:
         nonlocal at
-        lengths = np.array([len(r) // 4 for r in raw], np.int64)
+        lengths = np.array([len(r) for r in raw], np.int64)
         ends = np.cumsum(lengths)
-        flat = pa.array(np.frombuffer(b"".join(raw), "<i4"))
+        flat = pa.array(np.concatenate(raw).astype(np.int32))
         ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), flat)
         starts = at + ends - lengths
         at += int(ends[-1])
@@ -49,15 +49,14 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, schema: pa.
 
     held = 0
     for batch in batches:
-        texts = batch.column(1)
-        for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-            ids = (ids_of.text(text.as_buffer().to_pybytes()) if text.is_valid else b"") + tail
-            if docs and held + len(ids) // 4 > BATCH_TOKENS:
+        for doc, own in zip(batch.column(0).to_pylist(), text_ids(path, batch.column(1)), strict=True):
+            ids = np.append(own, tail)
+            if docs and held + len(ids) > BATCH_TOKENS:
                 yield flush()
                 docs, raw, held = [], [], 0
             docs.append(doc)
             raw.append(ids)
-            held += len(ids) // 4
+            held += len(ids)
     if docs:
         yield flush()
 

@@ -229,6 +229,20 @@ def test_every_training_text_is_learnt_from():
     assert 0.15 < words / 2493 < 0.45 and len(sizes) == len(np.flatnonzero(sizes >= 0))
 
 
+@pytest.mark.parametrize("texts", [["the cat sat on the mat"] * 40, [None, "", " \n"] * 4, ["w"], ["a b", "", "c a b"]])
+def test_lm_of_texts_without_rare_words_or_any(spark, texts):
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS).repartition(len(texts))  # a text per partition
+    got = {r.doc_id: r for r in lm_scores(df, tokenizer_path()).collect()}
+    words = {i: (t or "").split() for i, t in enumerate(texts)}
+    counts = Counter(x for i, w in words.items() if crc(i, 10) for x in [*w, None])
+    n = sum(counts.values())
+    for i, w in words.items():
+        terms = [counts[x] for x in [*w, None]]
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(terms), sum(c > 0 for c in terms), n)
+        assert got[i].base_score == pytest.approx(sum(math.log10((c + 0.1) / (n + 0.1 * (len(counts) + 1))) for c in terms))
+        assert got[i].score < 0
+
+
 def test_rare_and_common_words_meet_alike(spark, corpus, monkeypatch):
     rows = [(i, t, s) for i, t, s in corpus if t and len(t) < 3000]
     base = {}
