@@ -5,12 +5,12 @@ All of it is column expressions over the row's own readings, so nothing here shu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import CODE, KEYWORDS, fold_key, or_empty, plain_upper, short_identifier, unconfused_code
+from .text import CODE, KEYWORDS, anchors, fold_key, number, or_empty, plain_upper, short_identifier, tolerance, unconfused_code
 
 #: What a code, a strict code and a short identifier look like to a reader that confuses characters.
 CODE_LIKE = r"(?<![A-Z0-9])([0-9OQDLIZSGBT]{2}[A-Z4][0-9OQDLIZSGBT]{2})(?![A-Z0-9])"
@@ -185,10 +185,58 @@ def first_filled(*options: Column) -> Column:
     return F.coalesce(*[F.nullif(o.cast("string"), F.lit("")) for o in options], F.lit(""))
 
 
-def cascade(*options: tuple[str, Column]) -> Column:
-    """struct<value, source>: the first option with a value and its name; null and empty without one."""
-    source = F.coalesce(*[F.when(o.isNotNull(), F.lit(n)) for n, o in options], F.lit(""))
-    return F.struct(F.coalesce(*[o for _, o in options]).alias("value"), source.alias("source"))
+def cascade(*options: tuple[str, Column, Column]) -> Column:
+    """struct<value, source> of the first option (name, whether it is there, value) that is there, even if its value is none; of
+    options that are all absent null and empty."""
+    value, source = F.lit(None).cast("double"), F.lit("")
+    for name, there, of in reversed(options):
+        value, source = F.when(there, of).otherwise(value), F.when(there, F.lit(name)).otherwise(source)
+    return F.struct(value.alias("value"), source.alias("source"))
+
+
+def tolerance_of(limit: Column, dimension: Column, text: Column, code: Column) -> Column:
+    """struct<value, source, lower, upper>: the limit's nominal value, else the dimension's, else what the text says. A member
+    that is there decides, whether it holds a number or not; so do the limit's lower and upper ends over the dimension's."""
+    has = lambda m, k: F.coalesce(F.map_contains_key(m, F.lit(k)), F.lit(False))
+    get = lambda m, k: number(F.try_element_at(m, F.lit(k)))
+    read = tolerance(text, code)
+    best = cascade(("limit", has(limit, "nominal"), get(limit, "nominal")), ("dimension", has(dimension, "dimension_value"), get(dimension, "dimension_value")), ("text", read.isNotNull(), read))
+    end = lambda k: F.when(has(limit, k), get(limit, k)).otherwise(get(dimension, f"tolerance_{k}"))
+    return F.struct(best["value"].alias("value"), best["source"].alias("source"), end("lower").alias("lower"), end("upper").alias("upper"))
+
+
+#: Members that hold a field, by priority.
+FIELD_MEMBERS = {
+    "display": ("ToleranceZone.Value", "ToleranceValue", "Tolerance", "Value"), "unit": ("ToleranceZone.Unit", "Unit"), "text": ("Text", "GetText"),
+    "kind": ("GeometricToleranceType", "Type", "Symbol"),
+}
+
+
+def record_fields(values: Column) -> Column:
+    """struct<display, unit, text, kind, combined>: each the first of its members that is not empty; combined is the name, the text
+    and all values, those that are not empty, with bars between."""
+    v = lambda name: F.coalesce(F.try_element_at(values, F.lit(name)), F.lit(""))
+    fields = {n: first_filled(*[v(m) for m in members]) for n, members in FIELD_MEMBERS.items()}
+    every = F.concat(F.array(v("Name"), fields["text"]), F.coalesce(F.map_values(values), F.array().cast("array<string>")))
+    combined = F.array_join(F.filter(every, lambda x: F.coalesce(x, F.lit("")) != ""), " | ")
+    return F.struct(*[c.alias(n) for n, c in fields.items()], combined.alias("combined"))
+
+
+def label_visible(x: Column, target: str, all_of: Sequence[str] = (), any_of: Sequence[str] = ()) -> Column:
+    """Whether a read text shows a label: its folded form holds the target's, or its tokens begin with all of some anchors and
+    with any of others."""
+    tokens = anchors(x)
+    begins = lambda a: F.exists(tokens, lambda t: F.startswith(t, F.lit(a)))
+    whole = F.contains(fold_key(x), F.lit(target)) if target else F.lit(False)
+    part = F.lit(bool(all_of or any_of))
+    for a in all_of:
+        part = part & begins(a)
+    if any_of:
+        some = F.lit(False)
+        for a in any_of:
+            some = some | begins(a)
+        part = part & some
+    return whole | part
 
 
 def quantity(values: Column, combined: Column, applied: Column) -> Column:

@@ -225,9 +225,9 @@ def condition(text: Column, key: Column) -> Column:
 
 
 def rendered(x: Column, kind: str) -> Column:
-    """A cell for a sheet: booleans as Oui/Non, maps and arrays as JSON, missing as empty."""
+    """A cell for a sheet: true as Oui and false as nothing, maps and arrays as JSON, missing as empty."""
     if kind == "boolean":
-        return F.when(x, "Oui").when(~x, "Non").otherwise("")
+        return F.when(x, "Oui").otherwise("")
     if kind.startswith(("array", "map", "struct")):
         return F.coalesce(F.to_json(x), F.lit(""))
     return F.coalesce(x.cast("string"), F.lit(""))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
+from ..functions import text as X
 from ..functions.text import KEYWORDS, fold_key, or_empty, plain_number, plain_upper, plausibility
-from .match import LETTER_PLACE, LOST_ZERO, WORST, char_cost, small
+from .match import LOST_ZERO, WORST, small, window_cost
 
 FRAGMENT_WORST, FIRST_LOST, LAST_LOST = 2.2, 0.12, 0.14  # fixed values of T6
 DECIMAL = r"(?<![0-9])([0-9]{1,2}\.[0-9]{1,2})(?![0-9])"
@@ -62,7 +63,7 @@ def code_score(text: Column, code: Column) -> Column:
         return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
     def cost(w: Column, lost: int) -> Column:
-        return sum((char_cost(F.substring(w, j - lost, 1), F.substring(code, j, 1), j - 1 == LETTER_PLACE) for j in range(1 + lost, 6)), F.lit(LOST_ZERO * lost))
+        return window_cost(w, code, 1 + lost, LOST_ZERO * lost)
 
     def least(s: Column) -> Column:
         short = F.when(F.startswith(code, F.lit("0")), F.transform(windows(s, 4), lambda w: cost(w, 1))).otherwise(F.array().cast("array<double>"))
@@ -83,10 +84,10 @@ def _numbers(found: Column, worth: Column) -> Column:
 
 
 def standard_tolerance(df: DataFrame, key: str, pos: str, text: str, code: str, most: float = 999.0) -> DataFrame:
-    """(A21) (key, value, confidence) by vote over a key's readings in order of pos, the first weighing 1 and others 0.85: numbers
+    """(A21) (key, value, confidence) by vote over a key's readings in order of pos and then text, the first weighing 1 and others 0.85: numbers
     in a cell before the cell of A (1.45), decimals anywhere (1.12), and of a line with an A cell the last small whole
     number before it, codes blanked (0.82). A decimal gains 0.45 of its own whole part. Of equal sums the earliest wins."""
-    plain = df.select(key, pos, F.col(code).alias("_c"), plain_number(F.col(text)).alias("_s"), F.when(F.row_number().over(Window.partitionBy(key).orderBy(pos)) == 1, 1.0).otherwise(0.85).alias("_w"))
+    plain = df.select(key, pos, F.col(code).alias("_c"), plain_number(F.col(text)).alias("_s"), F.col(text).alias("_t"), F.when(F.row_number().over(Window.partitionBy(key).orderBy(pos, text)) == 1, 1.0).otherwise(0.85).alias("_w"))
     cells = F.transform(F.regexp_extract_all("_s", F.lit(r"(?i)[|/\\)\]\[}>-]\s*([0-9IL]{1,2}(?:\.[0-9]{1,2})?)\s*[|/\\)\]\[}>-]+\s*A"), F.lit(1)), lambda t: F.translate(t, "IL", "11"))
     decimals = F.regexp_extract_all("_s", F.lit(DECIMAL), F.lit(1))
 
@@ -98,7 +99,7 @@ def standard_tolerance(df: DataFrame, key: str, pos: str, text: str, code: str,
     lines = F.split(F.translate(_without_code(F.col("_s"), F.col("_c")), "IL", "11"), "\n")
     wholes = F.array_compact(F.transform(lines, last_whole))
     votes = F.concat(_numbers(cells, F.col("_w") * 1.45), _numbers(decimals, F.col("_w") * 1.12), _numbers(wholes, F.col("_w") * 0.82))
-    each = plain.select(key, pos, F.posexplode(votes).alias("_i", "_v")).select(key, F.struct(pos, "_i").alias("_o"), "_v.*").where((F.col("v") > 0) & (F.col("v") <= most))
+    each = plain.select(key, pos, "_t", F.posexplode(votes).alias("_i", "_v")).select(key, F.struct(pos, "_t", "_i").alias("_o"), "_v.*").where((F.col("v") > 0) & (F.col("v") <= most))
     sums = each.groupBy(key, "v").agg(F.sum("w").alias("w"), F.min("_o").alias("o"))
     by = Window.partitionBy(key, F.floor("v"))
     whole = F.max(F.when(F.col("v") % 1 == 0, F.col("w"))).over(by)
@@ -109,14 +110,14 @@ def standard_tolerance(df: DataFrame, key: str, pos: str, text: str, code: str,
 
 def conditional_tolerance(df: DataFrame, key: str, pos: str, text: str, most: float = 999.0) -> DataFrame:
     """(A22) (key, value, confidence): of what stands before a comparison or a condition's keyword, decimals and the last whole number
-    that stands alone vote; any decimal outdoes whole numbers, then the commonest wins, then the earliest."""
+    that stands alone vote; any decimal outdoes whole numbers, then the commonest wins, then the earliest in order of pos and text."""
     plain = plain_number(F.col(text))
     cuts = [F.nullif(F.locate(k, plain), F.lit(0)) for k in ("<", ">", *KEYWORDS)]
-    own = df.select(key, pos, F.substring(plain, F.lit(1), F.coalesce(F.least(*cuts) - 1, F.length(plain))).alias("_s"))
+    own = df.select(key, pos, F.col(text).alias("_x"), F.substring(plain, F.lit(1), F.coalesce(F.least(*cuts) - 1, F.length(plain))).alias("_s"))
     fits = lambda n: (n.cast("double") > 0) & (n.cast("double") <= most)
     wholes = F.filter(F.regexp_extract_all("_s", F.lit("(?i)(?<![A-Z0-9])([0-9]{1,2})(?![A-Z0-9])"), F.lit(1)), fits)
     votes = F.concat(F.filter(F.regexp_extract_all("_s", F.lit(DECIMAL), F.lit(1)), fits), F.when(F.size(wholes) > 0, F.slice(wholes, -1, 1)).otherwise(F.array().cast("array<string>")))
-    each = own.select(key, pos, F.posexplode(votes).alias("_i", "_t")).select(key, F.struct(pos, "_i").alias("o"), F.round(F.col("_t").cast("double"), 3).alias("v"))
+    each = own.select(key, pos, "_x", F.posexplode(votes).alias("_i", "_t")).select(key, F.struct(pos, "_x", "_i").alias("o"), F.round(F.col("_t").cast("double"), 3).alias("v"))
     sums = each.groupBy(key, "v").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o"))
     best = sums.groupBy(key).agg(F.min(F.struct((F.col("v") % 1 == 0).alias("whole"), (-F.col("n")).alias("n"), "o", "v")).alias("m"))
     return best.select(key, F.col("m.v").alias("value"), F.when(F.col("m.whole"), 0.90).otherwise(0.96).alias("confidence"))
@@ -136,14 +137,14 @@ def lane_conflicts(df: DataFrame, key: str, pos: str, lane: str, text: str, conf
 
 def complete_fragments(df: DataFrame, known: DataFrame, key: str, text: str, code: str = "code") -> DataFrame:
     """(T6) (key, code, score): a code that lost its first or last character, completed where exactly one known code fits a fragment
-    of four (0.82, and 0.18 before the next). The best fragment decides, the first of equal ones; keys without one have no row."""
+    of four (0.82, and 0.18 before the next). The best fragment decides, the first of equal ones; keys without one have no row.
+    Known codes of other lengths than five take no part."""
     compact = F.regexp_replace(F.upper(F.coalesce(F.col(text), F.lit(""))), "[^A-Z0-9]", "")
     cut = F.when(F.length(compact) >= 4, F.transform(F.sequence(F.lit(1), F.length(compact) - 3), lambda i: F.substring(compact, i, F.lit(4))))
-    pairs = df.select(key, F.posexplode(cut).alias("_i", "_f")).join(small(known.select(code).distinct()))
+    pairs = df.select(key, F.posexplode(cut).alias("_i", "_f")).join(small(known.where(F.length(code) == 5).select(code).distinct()))
 
     def fit(lost_first: bool) -> Column:
-        lost = 1 if lost_first else 0
-        cost = sum((char_cost(F.substring("_f", j, 1), F.substring(code, j + lost, 1), j - 1 + lost == LETTER_PLACE) for j in range(1, 5)), F.lit(FIRST_LOST if lost else LAST_LOST))
+        cost = window_cost(F.col("_f"), F.col(code), 2 if lost_first else 1, FIRST_LOST if lost_first else LAST_LOST)
         return F.round(F.greatest(F.lit(0.0), 1.0 - cost / FRAGMENT_WORST), 9)
 
     fair = pairs.withColumn("_s", F.greatest(fit(True), fit(False))).where("_s >= 0.78").groupBy(key, "_i", code).agg(F.max("_s").alias("_s"))
@@ -153,6 +154,15 @@ def complete_fragments(df: DataFrame, known: DataFrame, key: str, text: str, cod
     return best.select(key, F.col("m.c").alias(code), (-F.col("m.s")).alias("score"))
 
 
+def repair_labels(df: DataFrame, text: str, parent: str, reasons: str) -> DataFrame:
+    """(X24) Capture and reference labels put right in place, each change with its marker among the row's reasons (an array)."""
+    capture = C.capture_label(F.col(text), F.col(parent))
+    one = df.withColumn("_t", capture).withColumn("_r", X.with_reason(F.col(reasons), "capture_label_from_structure", capture != or_empty(F.col(text))))
+    reference = C.reference_label(F.col("_t"), F.col(parent))
+    both = one.withColumn("_u", reference).withColumn("_r", X.with_reason(F.col("_r"), "reference_label_normalised", reference != F.col("_t")))
+    return both.select(*[F.col({text: "_u", reasons: "_r"}.get(c, c)).alias(c) for c in df.columns])
+
+
 def locate_code(df: DataFrame, key: str, line: str, code: str, text: str, box: tuple[str, str, str, str], words: int = 4) -> DataFrame:
     """(J18) (key, score, left, top, right, bottom): the run of one to four neighbouring words of a line that reads most like the key's
     code (0.99 at least where it holds it), and the box around it. Of equal runs the first line's, the shortest, the leftmost."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_structured_short, is_textual
+from ..functions.text import clean_label, is_structured_short, is_textual, plausibility
+from .match import nearest
 
 
 def usable_words(df: DataFrame, text: str = "text", conf: str = "conf", top: str = "top", height: str = "height", low: int = 7, high: int = 45) -> DataFrame:
@@ -49,6 +52,29 @@ def strip_weak_head(df: DataFrame, line: str, pos: str, weak: Column, word: Colu
     return df.withColumn("go", (strong_so_far == 0) & (word_later == 1)).where("NOT go").drop("go")
 
 
+def unique_tokens(df: DataFrame, image: str, pos: str, text: str, box: tuple[str, str, str, str]) -> DataFrame:
+    """(C12) Of the tokens of a picture that read the same (letters and digits, in upper case) in the same box, the first by pos and
+    then by all columns."""
+    compact = F.regexp_replace(F.upper(F.coalesce(F.col(text), F.lit(""))), "[^A-Z0-9]", "")
+    row = F.struct(pos, *[c for c in df.columns if c != pos])
+    return df.groupBy(F.col(image).alias("_i"), compact.alias("_t"), *[F.col(c).alias(f"_b{k}") for k, c in enumerate(box)]).agg(F.min(row).alias("_r")).select(*[F.col(f"_r.{c}").alias(c) for c in df.columns])
+
+
+def batch_options(df: DataFrame, text: str, conf: str, left: str, lane: str, lanes: Sequence[float], step: float, short: Column, method: str) -> DataFrame:
+    """(X37) Readings of stacked crops as candidates: the text cleaned (rows without one go), lane and level nearest to the crop's, and a
+    score of confidence, plausibility and how near the text begins to its lane (12 less 1.5 a pixel, -24 at least). Where the
+    source looked like a short code, such a text gains 14, one without letters loses 45 and others lose 8."""
+    own = df.select(*[clean_label(F.col(c)).alias(c) if c == text else F.col(c) for c in df.columns], F.col(lane).alias("_x")).where(F.col(text) != "")
+    placed = nearest(own.drop(lane), "_x", lanes).withColumnRenamed("lane_index", "level").withColumnRenamed("lane", "crop_lane").drop("_x")
+    fit = F.greatest(F.lit(-24.0), 12.0 - 1.5 * F.abs(F.col(left) - F.col("crop_lane")))
+    letters = F.regexp_replace(text, "[^A-Za-z0-9]", "").rlike("[A-Za-z]")
+    extra = F.when(~short, 0.0).when(is_structured_short(F.col(text)), 14.0).when(~letters, -45.0).otherwise(-8.0)
+    score = F.coalesce(F.col(conf), F.lit(0.0)) + plausibility(F.col(text)) + fit + extra
+    return placed.withColumn("geometry_alignment", fit).withColumn("branch_x", F.bround(F.col("crop_lane") - step).cast("int")).withColumn("score", score).withColumn(
+        "method", F.concat(F.lit("line_batch_"), F.coalesce(F.col(method), F.lit("raw")))
+    )
+
+
 def trim_edge_noise(x: Column) -> Column:
     """(F8) Unbalanced brackets and bars off both ends."""
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"^[\])}|\s]+", ""), r"[\[({|\s]+$", ""))

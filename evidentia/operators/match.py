@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,12 +62,86 @@ def nearest(df: DataFrame, x: str, lanes: Sequence[float]) -> DataFrame:
     return df.withColumn("lane_index", best["i"]).withColumn("lane", best["v"])
 
 
+def _grams(key: Column) -> Column:
+    """The bigrams of a text, each with how often it came before, so that they are a set."""
+    at = F.when(F.length(key) >= 2, F.sequence(F.lit(1), F.length(key) - 1)).otherwise(F.array().cast("array<int>"))
+    plain = F.transform(at, lambda i: F.substring(key, i, F.lit(2)))
+    return F.transform(plain, lambda g, i: F.concat(g, F.size(F.filter(F.slice(plain, 1, i), lambda h: h == g)).cast("string")))
+
+
+def shared_grams(length: int, cut: float) -> int:
+    """How many bigrams a text of this length shares at least with any that is alike by `cut`.
+
+    A ratio r says that M = r T / 2 of the T characters of both match, in blocks that lie apart; between two blocks at least one of
+    the T - 2 M characters without a match stands, so there are T - 2 M + 1 blocks at most, and a block of n characters is n - 1
+    shared bigrams. That leaves 3 M - T - 1 shared ones; the other text's length is within r / (2 - r) of this one's."""
+    low, high = ceil(length * cut / (2 - cut) - 1e-9), floor(length * (2 - cut) / cut + 1e-9)
+    need = [3 * ceil(cut * (length + n) / 2 - 1e-9) - (length + n) - 1 for n in range(low, high + 1)]
+    return max(1, min(need)) if need else length
+
+
+MOST_LENGTH = 400  # of keys whose least shared bigrams are in the table; longer ones count as this long
+
+
+def similar_keys(left: DataFrame, right: DataFrame, within: str, key: str, cut: float = 0.86) -> DataFrame:
+    """Distinct (within, key, key_b, ratio) of all pairs of keys with a ratio of `cut` or more, none lost.
+
+    A key stands under as many of its rarest bigrams as it can do without (length - 1 - shared_grams + 1), so alike keys meet under
+    one of them at least; only keys that meet are compared. The bound holds for cuts of 0.75 and more, by which texts of four
+    characters that are alike still share a bigram; keys of fewer characters are compared as equal ones only."""
+    if cut < 0.75:
+        raise ValueError("a cut under 0.75 has no bound on shared bigrams")
+    need = F.array(*[F.lit(shared_grams(n, cut)) for n in range(MOST_LENGTH + 1)])
+    sides = [df.select(within, key).where(F.col(key).isNotNull()).distinct() for df in (left, right)]
+    grams = [df.select(within, key, F.explode(_grams(F.col(key))).alias("g")) for df in sides]
+    often = grams[0].union(grams[1]).groupBy("g").agg(F.count(F.lit(1)).alias("n")).select(F.col("g").alias("_g"), "n")
+
+    def heads(df: DataFrame) -> DataFrame:
+        rarest = df.join(often, F.col("g") == F.col("_g")).groupBy(within, key).agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
+        length = F.length(key)
+        kept = F.when(length > MOST_LENGTH, F.size("gs")).otherwise(length - F.get(need, F.least(length, F.lit(MOST_LENGTH))))
+        return rarest.select(within, key, F.explode(F.slice("gs", F.lit(1), F.greatest(F.lit(1), kept))).alias("x")).select(within, key, F.col("x.g").alias("g"))
+
+    a, b = heads(grams[0]), heads(grams[1]).select(F.col(within).alias("_w"), F.col(key).alias("_k"), F.col("g").alias("_g"))
+    length_a, length_b = F.length(key), F.length("_k")
+    near = 2 * F.least(length_a, length_b) >= F.lit(cut - 1e-9) * (length_a + length_b)
+    met = a.join(b, (F.col(within) == F.col("_w")) & (F.col("g") == F.col("_g")) & near).select(within, key, F.col("_k").alias(f"{key}_b")).distinct()
+    alike = met.withColumn("ratio", similarity(F.col(key), F.col(f"{key}_b"))).where(F.col("ratio") >= cut)
+    short = sides[0].where(F.length(key) < 2).join(sides[1].where(F.length(key) < 2).select(F.col(within).alias("_w"), F.col(key).alias("_k")), (F.col(within) == F.col("_w")) & (F.col(key) == F.col("_k")))
+    return alike.union(short.select(within, key, F.col("_k"), F.lit(1.0)))
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, level: str, key: str, cut: float = 0.86, least: int = 4) -> DataFrame:
-    """(J8) Rows of one level whose keys are alike: an equi-join on level and the key's first letter, then the ratio."""
-    a = left.where(F.length(key) >= least).withColumn("head", F.substring(key, 1, 1))
-    b = right.where(F.length(key) >= least).select(*[F.col(c).alias(f"{c}_b") for c in right.columns]).withColumn("head", F.substring(f"{key}_b", 1, 1))
-    both = a.join(b, (F.col(level) == F.col(f"{level}_b")) & (a["head"] == b["head"])).drop("head")
-    return both.withColumn("ratio", similarity(F.col(key), F.col(f"{key}_b"))).where(F.col("ratio") >= cut)
+    """(J8) Rows of one level whose keys are alike: all pairs with a ratio of `cut` or more of keys of `least` characters or more. Each
+    pair of different keys is compared once, however many rows hold them."""
+    fit = lambda df: df.where(F.length(key) >= least)
+    pairs = similar_keys(fit(left), fit(right), level, key, cut).select(F.col(level).alias("_l"), F.col(key).alias("_a"), F.col(f"{key}_b").alias("_b"), "ratio")
+    b = fit(right).select(*[F.col(c).alias(f"{c}_b") for c in right.columns])
+    one = fit(left).join(pairs, (F.col(level) == F.col("_l")) & (F.col(key) == F.col("_a")))
+    return one.join(b, (F.col("_l") == F.col(f"{level}_b")) & (F.col("_b") == F.col(f"{key}_b"))).select(*left.columns, *b.columns, "ratio")
+
+
+def anchor_votes(df: DataFrame, key: str, frame: str, level: str, label: str, conf: str, top: str, cut: float = 0.86, sure: float = 48.0, shift: int = 10) -> DataFrame:
+    """(J8) (key, frame, shift, weight, label) of pairs of alike labels in a picture and the next one of its key: what moved up by
+    more than `shift`, weighted by likeness and the lesser confidence. Labels under four characters or under `sure` take no part."""
+    rows = df.select(F.concat_ws("\x1f", F.col(key).cast("string"), F.col(frame).cast("string"), F.col(level).cast("string")).alias("_place"), key, frame, label, conf, top).where(F.col(conf) >= sure)
+    before = F.concat_ws("\x1f", F.col(key).cast("string"), (F.col(frame) - 1).cast("string"), F.col(level).cast("string"))
+    later = df.where(F.col(conf) >= sure).select(before.alias("_place"), label, conf, top)
+    pairs = similar_pairs(rows, later, "_place", label, cut)
+    moved = F.bround(F.col(top) - F.col(f"{top}_b")).cast("int")
+    return pairs.select(key, frame, moved.alias("shift"), (F.col("ratio") * F.least(conf, f"{conf}_b") / 100.0).alias("weight"), F.col(label).alias("label")).where(F.col("shift") > shift)
+
+
+def anchor_shifts(df: DataFrame, key: str, frame: str, level: str, label: str, conf: str, top: str, bin_: float = 5.0, **kw) -> DataFrame:
+    """(J8, A8) (key, frame, shift, weight, second) per picture with votes: the bin with most different labels, then most weight, and
+    what all other bins weigh; shift is the bin's weighted mean if two labels and a weight of 0.8 agree, else null."""
+    votes = anchor_votes(df, key, frame, level, label, conf, top, **kw)
+    bins = votes.groupBy(key, frame, (F.bround(F.col("shift") / bin_) * bin_).cast("int").alias("bin")).agg(
+        F.countDistinct("label").alias("n"), F.sum("weight").alias("w"), F.sum(F.col("shift") * F.col("weight")).alias("xw")
+    )
+    best = bins.groupBy(key, frame).agg(F.max(F.struct("n", F.round("w", 9).alias("r"), (-F.col("bin")).alias("b"), "w", "xw")).alias("m"), F.sum("w").alias("all"))
+    enough = (F.col("m.n") >= 2) & (F.col("m.w") >= 0.8)
+    return best.select(key, frame, F.when(enough, F.bround(F.col("m.xw") / F.col("m.w")).cast("int")).alias("shift"), F.round("m.w", 6).alias("weight"), F.round(F.col("all") - F.col("m.w"), 6).alias("second"))
 
 
 def update_from(rows: DataFrame, looked: DataFrame, key: str, pos: str, gate: Callable[[], Column], columns: dict[str, str]) -> DataFrame:
@@ -86,32 +161,40 @@ def missing(known: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return known.join(found, key, "left_anti")
 
 
-def char_costs(spark) -> DataFrame:
-    rows = [(a, b, False, c) for a, b, c in DIGIT_COST] + [(a, b, True, c) for a, b, c in LETTER_COST]
-    return spark.createDataFrame(rows, "observed string, expected string, letter boolean, cost double")
+def _costs(letter: bool) -> Column:
+    return F.create_map(*[F.lit(x) for a, b, c in (LETTER_COST if letter else DIGIT_COST) for x in (a + b, c)])
 
 
-def char_cost(observed: Column, expected: Column, letter: bool) -> Column:
+def char_cost(observed: Column, expected: Column, letter: Column) -> Column:
     """What one place of a code costs."""
-    out = F.when(observed == expected, 0.0)
-    for a, b, c in LETTER_COST if letter else DIGIT_COST:
-        out = out.when((observed == a) & (expected == b), c)
-    return (out if letter else out.when(observed.rlike("^[0-9]$") & expected.rlike("^[0-9]$"), OTHER_DIGIT)).otherwise(OTHER)
+    both = F.concat(observed, expected)
+    digit = F.when(observed.between("0", "9") & expected.between("0", "9"), OTHER_DIGIT).otherwise(F.coalesce(F.try_element_at(_costs(False), both), F.lit(OTHER)))
+    return F.when(observed == expected, 0.0).when(letter, F.coalesce(F.try_element_at(_costs(True), both), F.lit(OTHER))).otherwise(digit)
+
+
+def window_cost(window: Column, code: Column, first: Column | int, lost: Column | float) -> Column:
+    """What a window costs that stands for the places of a code from `first` on (counted from 1), and `lost` for the others. The cost of
+    a place is one expression, walked over the places."""
+    start = F.lit(first) if isinstance(first, int) else first
+    at = F.sequence(F.lit(1), F.length(window))
+    each = F.transform(at, lambda i: char_cost(F.substring(window, i, F.lit(1)), F.substring(code, i + start - 1, F.lit(1)), i + start - 2 == LETTER_PLACE))
+    return F.aggregate(each, F.lit(0.0), lambda s, c: s + c) + lost
 
 
 def code_scores(readings: DataFrame, known: DataFrame, key: str, text: str, code: str = "code") -> DataFrame:
-    """(J12, A9, J18) (key, code, score): windows of five and (a zero lost) four characters of each reading against every known
-    code; the least cost gives a reading's score, and two good readings a little more. The known list is small by contract."""
+    """(J12, A9) (key, code, score): windows of five and (a zero lost) four characters of each reading against every known code; the
+    least cost gives a reading's score, and two good readings a little more. Each window that occurs is compared once, however
+    many readings have it. The known list is small by contract: readings times codes are the result."""
     compact = F.regexp_replace(F.upper(F.coalesce(F.col(text), F.lit(""))), "[^A-Z0-9|]", "")
     cut = lambda n: F.when(F.length("_s") >= n, F.transform(F.sequence(F.lit(1), F.length("_s") - (n - 1)), lambda i: F.substring("_s", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     each = readings.groupBy(key, compact.alias("_s")).agg(F.count(F.lit(1)).alias("times")).select(key, "_s", "times", F.explode(F.array_distinct(F.concat(cut(5), cut(4)))).alias("w"))
-    pairs = each.join(small(known.select(code).distinct()), (F.length("w") == 5) | F.startswith(F.col(code), F.lit("0")))
-    place = lambda i, j: char_cost(F.substring("w", i, 1), F.substring(code, j, 1), j - 1 == LETTER_PLACE)
-    full = sum((place(j, j) for j in range(2, 6)), place(1, 1))
-    short = sum((place(j - 1, j) for j in range(2, 6)), F.lit(LOST_ZERO))
-    cost = F.when(F.length("w") == 5, full).otherwise(short)
-    scored = pairs.groupBy(key, "_s", "times", code).agg(F.min(cost).alias("cost")).withColumn("score", F.greatest(F.lit(0.0), 1.0 - F.col("cost") / WORST))
-    total = scored.groupBy(key, code).agg(F.max("score").alias("_b"), F.sum(F.when(F.col("score") >= 0.72, F.col("times")).otherwise(0)).alias("_n"))
+    pairs = each.select("w").distinct().join(small(known.select(code).distinct()), (F.length("w") == 5) | F.startswith(F.col(code), F.lit("0")))
+    short = F.length("w") == 4
+    cost = window_cost(F.col("w"), F.col(code), F.when(short, 2).otherwise(1), F.when(short, LOST_ZERO).otherwise(0.0))
+    # What costs as much as a code that shares nothing scores nothing, with whatever window.
+    scored = pairs.select(F.col("w").alias("_w"), code, cost.alias("cost")).where(F.col("cost") < WORST)
+    one = each.join(scored, F.col("w") == F.col("_w")).groupBy(key, "_s", "times", code).agg(F.min("cost").alias("cost")).withColumn("score", F.greatest(F.lit(0.0), 1.0 - F.col("cost") / WORST))
+    total = one.groupBy(key, code).agg(F.max("score").alias("_b"), F.sum(F.when(F.col("score") >= 0.72, F.col("times")).otherwise(0)).alias("_n"))
     return total.select(key, code, F.round(F.when(F.col("_n") >= 2, F.least(F.lit(1.0), F.col("_b") + 0.06)).otherwise(F.col("_b")), 9).alias("score")).where("score > 0")
 
 

@@ -25,16 +25,17 @@ def with_ancestors(df: DataFrame, segment: str, pos: str, level: str, levels: in
     return lasts.withColumn("above", above).withColumn("ancestors", F.filter("above", lambda a: ~F.exists("above", lambda b: (b["level"] < a["level"]) & (b["pos"] > a["pos"])))).drop("lasts", "above")
 
 
-def parents(df: DataFrame, segment: str, pos: str, level: str, levels: int) -> DataFrame:
-    """(J2) Add parent_pos and hierarchy_status: the nearest earlier row of a lesser level."""
+def parents(df: DataFrame, segment: str, pos: str, level: str, levels: int, name: str | None = None) -> DataFrame:
+    """(J2) Add parent_pos, with `name` also parent_name, and hierarchy_status: the nearest earlier row of a lesser level."""
     roots = F.count_if(F.col(level) == 0).over(_before(segment, pos))
     up = F.element_at("ancestors", -1)
-    out = with_ancestors(df, segment, pos, level, levels).withColumn("roots_seen", F.coalesce(roots, F.lit(0)))
+    out = with_ancestors(df, segment, pos, level, levels, [name] if name else None).withColumn("roots_seen", F.coalesce(roots, F.lit(0)))
     last = F.when(F.size("ancestors") > 0, up)
     status = (
         F.when((F.col(level) == 0) & (F.col("roots_seen") == 0), "root").when(F.col(level) == 0, "root_level_unconfirmed").when(last.isNull(), "parent_unknown")
         .when(last["level"] == F.col(level) - 1, "direct").otherwise("parent_inferred_gap")
     )
+    out = out.withColumn("parent_name", last[name]) if name else out
     return out.withColumn("parent_pos", last["pos"]).withColumn("hierarchy_status", status).drop("roots_seen", "ancestors")
 
 
@@ -44,6 +45,14 @@ def paths(df: DataFrame, segment: str, pos: str, level: str, levels: int, name:
     return out.withColumn("full_path", F.concat_ws(" > ", F.transform("ancestors", lambda a: a[name]), F.col(name))).drop("ancestors")
 
 
+def tree_rows(nodes: DataFrame, document: str, line: str, levels: int) -> DataFrame:
+    """(F16) The rows of a tree report, of nodes in order of `line` (text, level, raw_properties, errors): full_path, object_name and
+    read_status, OK without errors and else PARTIAL. Whatever else the nodes have stays."""
+    named = nodes.withColumn("object_name", F.coalesce(F.try_element_at("raw_properties", F.lit("Name")), F.lit("")))
+    status = F.when(F.coalesce(F.size("errors"), F.lit(0)) > 0, "PARTIAL").otherwise("OK")
+    return paths(named.withColumn("read_status", status), document, line, "level", levels, "text").drop("raw_properties", "errors")
+
+
 def nearest_ancestor(df: DataFrame, segment: str, pos: str, level: str, levels: int, name: str, matches, own: Column | None = None) -> DataFrame:
     """(J4) Add nearest_pos: the closest ancestor that matches(name); with `own`, the row itself where that holds."""
     out = with_ancestors(df, segment, pos, level, levels, [name])

@@ -1,6 +1,7 @@
 """DuckDB equivalents of the registered queries, written independently of them."""
 
-from . import oracle_evidence
+from . import oracle_evidence, oracle_scans
+from .oracle_scans import DICTIONARY
 
 _OBS = "(SELECT user_id, floor(value) / 2 AS v, (event_id % 100) / 100.0::DOUBLE AS conf, event_id AS pos FROM events)"
 _TALK = "(SELECT conv_id, turn, role, ((conv_id * 7 + turn * 3) % 5)::INT AS level FROM conversations)"
@@ -138,11 +139,14 @@ UNION ALL SELECT record_id, 'c_mktsegment', c_mktsegment, CASE WHEN coalesce(tri
     "array_overlap_corr": """WITH l AS (SELECT vec_id, embedding AS e, lag FROM embeddings, unnest([1, 2, 3, 4]) AS x(lag)), p AS (SELECT vec_id, lag, e[i]::DOUBLE AS x, e[i + lag]::DOUBLE AS y FROM l, unnest(range(1, len(e) - lag + 1)) AS z(i))
 SELECT vec_id, lag, round(corr(x, y), 6) AS corr FROM p GROUP BY 1, 2""",
     "json_explode": "SELECT event_id, 'k' AS field, json_extract(props, '$.k')::INT AS value FROM events",
-    "row_signature": "SELECT sha256(string_agg(n_nationkey || ':' || n_name, '|' ORDER BY n_nationkey)) AS signature FROM nation",
+    # Each row's digest is cut into five numbers of twelve hexadecimal digits, which are summed.
+    "row_signature": """WITH d AS (SELECT sha256(concat_ws(chr(31), l_orderkey, l_linenumber, l_partkey, l_returnflag)) AS h FROM lineitem),
+n AS (SELECT count(*) AS n, [sum(('0x' || substr(h, 1, 12))::BIGINT), sum(('0x' || substr(h, 13, 12))::BIGINT), sum(('0x' || substr(h, 25, 12))::BIGINT), sum(('0x' || substr(h, 37, 12))::BIGINT), sum(('0x' || substr(h, 49, 12))::BIGINT)] AS s FROM d)
+SELECT sha256('(''1'', ''' || n || ''', ' || array_to_string(list_transform(s, lambda x: '''' || x || ''''), ', ') || ')') AS signature FROM n""",
     "angles_and_boxes": f"""WITH o AS (SELECT {_ID}, l_quantity * 13 AS a, l_linenumber * 29.0::DOUBLE AS b FROM lineitem),
 i AS (SELECT *, greatest(0, 40 - abs(a % 50 - b % 50)) * 20 AS inter FROM o)
 SELECT {_ID}, least(abs(a - b) % 180, 180 - abs(a - b) % 180) AS difference, (a + 90) % 180 - 90 AS normal, round(inter / (2400 - inter), 6) AS iou FROM i""",
-    "code_score_match": f"""WITH RECURSIVE n AS {_NOISY}, known AS (SELECT DISTINCT code FROM n WHERE p_partkey < 40),
+    "code_score_match": f"""WITH RECURSIVE n AS {_NOISY}, known AS {DICTIONARY},
 s AS (SELECT p_partkey, regexp_replace(upper(txt), '[^A-Z0-9|]', '', 'g') AS s FROM n),
 w AS (SELECT p_partkey, substr(s, i, 5) AS w, 0 AS lost FROM s, unnest(range(1, len(s) - 3)) AS x(i) UNION ALL SELECT p_partkey, substr(s, i, 4), 1 FROM s, unnest(range(1, len(s) - 2)) AS x(i)),
 c(o, e, letter, cost) AS (VALUES ('O','0',false,0.12),('Q','0',false,0.18),('D','0',false,0.30),('I','1',false,0.12),('L','1',false,0.18),('|','1',false,0.18),('T','1',false,0.35),('P','2',false,0.35),
@@ -163,3 +167,4 @@ w AS (SELECT doc_id, list_transform(string_split(v, ' '), lambda x: CASE WHEN le
 }
 
 ORACLE |= oracle_evidence.oracle(_NOISY)
+ORACLE |= oracle_scans.oracle(_PARENT, ORACLE["text_plausibility"], _NOISY)

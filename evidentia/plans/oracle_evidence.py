@@ -1,5 +1,7 @@
 """DuckDB equivalents of the queries on evidence."""
 
+from .oracle_scans import DICTIONARY
+
 LOOKS, MEANT = "OQDILZSGTBA", "00011256784"
 COSTS = """c(o, e, letter, cost) AS (VALUES ('O','0',false,0.12),('Q','0',false,0.18),('D','0',false,0.30),('I','1',false,0.12),('L','1',false,0.18),('|','1',false,0.18),('T','1',false,0.35),('P','2',false,0.35),
 ('Z','2',false,0.22),('S','5',false,0.20),('G','6',false,0.35),('G','9',false,0.40),('B','8',false,0.15),('A','4',false,0.40),('4','A',true,0.12),('8','B',true,0.12),('6','G',true,0.25),('0','O',true,0.30),('1','I',true,0.35))"""
@@ -32,7 +34,7 @@ e AS (SELECT *, unnest(list_distinct(al)) AS code FROM z),
 ev AS (SELECT p_partkey, code, min(i * 1000 + list_position(al, code)) AS ord, sum(1 + CASE WHEN list_contains(lead, code) THEN 0.75 ELSE 0 END + CASE WHEN list_contains(ins, code) THEN 2 ELSE 0 END
  + CASE WHEN list_contains(sl, code) THEN 3 ELSE 0 END + CASE WHEN list_contains(si, code) THEN 5 ELSE 0 END + CASE WHEN list_contains(lead, code) AND list_contains(ins, code) THEN 3 ELSE 0 END
  + CASE WHEN i = 0 THEN 0.75 ELSE 0 END)::DOUBLE AS score FROM e GROUP BY 1, 2)"""
-    first = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey)"
+    first = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey, CASE WHEN l_linenumber % 3 < 2 THEN round(l_tax * 100 + l_linenumber / 10.0, 1) END)"
     return {
         "code_evidence": f"WITH {votes} SELECT p_partkey, code, score FROM ev",
         "code_recovery": f"""WITH {votes}, a AS (SELECT p_partkey, text, within, {like('text')}[1] AS own, {like(TAIL('text'))}[1] AS again, len({strict(HEAD('text'))}) > 0 AS strict, len({like('text')}) > 0 AS any_code,
@@ -49,21 +51,21 @@ FROM d LEFT JOIN v USING (p_partkey)""",
         "display_guards": f"""WITH {displays} SELECT p_partkey, len({strict(HEAD('text'))}) > 0 AS strict_head, len({strict('text')}) > 0 AS strict, len({like('text')}) > 0 AND len(regexp_replace(upper({HEAD('text')}), '[^A-Z0-9]', '', 'g')) <= 9 AS display,
 regexp_full_match(regexp_replace(upper({HEAD('text')}), '\\s+', '', 'g'), '[XYZKVT7][0-9OQDLIZSGBTA]{{1,2}}') AS short, within AS context FROM d""",
         "standard_tolerance": f"""WITH f AS (SELECT l_orderkey AS k, l_linenumber AS n, l_linenumber * 1000000 + l_partkey AS pos, CASE WHEN {first} = 1 THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END AS w, round(l_tax * 100 + l_linenumber / 10.0, 1)::DOUBLE AS v FROM lineitem),
-t AS (SELECT *, floor(v)::INT AS a, round(v * 10)::INT % 10 AS b FROM f),
-x AS (SELECT k, pos * 10 AS o, v, 1.45 * w AS w FROM t WHERE n % 3 = 0 UNION ALL SELECT k, pos * 10 + 1, v, 1.12 * w FROM t WHERE n % 3 < 2
-  UNION ALL SELECT k, pos * 10 + 2, (CASE WHEN b > 0 THEN b ELSE a END)::DOUBLE, 0.82 * w FROM t WHERE n % 3 = 0 AND a + b > 0 UNION ALL SELECT k, pos * 10 + 2, n::DOUBLE, 0.82 * w FROM t WHERE n % 3 = 2),
+t AS (SELECT *, floor(v)::INT AS a, round(v * 10)::INT % 10 AS b, {{'p': pos, 't': CASE WHEN n % 3 < 2 THEN v END, 'i': 0}} AS o FROM f),
+x AS (SELECT k, o, v, 1.45 * w AS w FROM t WHERE n % 3 = 0 UNION ALL SELECT k, struct_update(o, i := 1), v, 1.12 * w FROM t WHERE n % 3 < 2
+  UNION ALL SELECT k, struct_update(o, i := 2), (CASE WHEN b > 0 THEN b ELSE a END)::DOUBLE, 0.82 * w FROM t WHERE n % 3 = 0 AND a + b > 0 UNION ALL SELECT k, struct_update(o, i := 2), n::DOUBLE, 0.82 * w FROM t WHERE n % 3 = 2),
 y AS (SELECT k, v, sum(w) AS w, min(o) AS o FROM x WHERE v > 0 GROUP BY 1, 2),
 z AS (SELECT y.k, y.v, y.o, round(y.w + CASE WHEN y.v % 1 <> 0 THEN coalesce(i.w, 0) * 0.45 ELSE 0 END, 9) AS t FROM y LEFT JOIN y i ON i.k = y.k AND i.v = floor(y.v))
 SELECT k AS l_orderkey, v AS value, round(least(0.99, 0.60 + t / 4), 6)::DOUBLE AS confidence FROM z QUALIFY row_number() OVER (PARTITION BY k ORDER BY t DESC, o) = 1""",
         "conditional_tolerance": """WITH f AS (SELECT l_orderkey AS k, l_linenumber * 1000000 + l_partkey AS pos, l_linenumber % 3 = 0 AS half, trunc(l_tax * 100) AS a FROM lineitem),
-x AS (SELECT k, pos * 10 AS o, a + 0.5 AS v FROM f WHERE half UNION ALL SELECT k, pos * 10 + 1, CASE WHEN half THEN 5.0 ELSE a END FROM f WHERE half OR a > 0),
+x AS (SELECT k, {'p': pos, 't': a, 'i': 0} AS o, a + 0.5 AS v FROM f WHERE half UNION ALL SELECT k, {'p': pos, 't': a, 'i': 1}, CASE WHEN half THEN 5.0 ELSE a END FROM f WHERE half OR a > 0),
 y AS (SELECT k, v::DOUBLE AS v, count(*) AS n, min(o) AS o FROM x GROUP BY 1, 2)
 SELECT k AS l_orderkey, v AS value, CASE WHEN v % 1 = 0 THEN 0.90 ELSE 0.96 END::DOUBLE AS confidence FROM y QUALIFY row_number() OVER (PARTITION BY k ORDER BY v % 1 = 0, n DESC, o) = 1""",
         "conditional_suffix": """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 2 OR l_partkey % 4 = 3 THEN '' ELSE substr('AB', (l_linenumber % 3 + 1)::INT, 1) || '0' || substr('127', (l_partkey % 4 + 1)::INT, 1) END AS suffix FROM lineitem""",
         "lane_conflict": """WITH s AS (SELECT user_id, event_id, (event_id % 2)::INT AS lane, event_type AS t, event_id % 5 = 0 AS part, round(floor(value) + least(24, len(regexp_replace(event_type, '[^a-z]', '', 'g'))) * 0.8::DOUBLE + 7 + CASE WHEN event_id % 3 = 0 THEN 3 ELSE 0 END, 6) AS s FROM events),
 b AS (SELECT user_id, lane AS bl, t AS bt, s AS bs FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_id) = 1)
 SELECT user_id, any_value(bl) AS lane, count(DISTINCT lane) AS lanes, bool_or(lane <> bl AND NOT (ends_with(t, bt) OR ends_with(bt, t)) AND s >= bs - 7) AND count(DISTINCT lane) > 1 AS conflict FROM s JOIN b USING (user_id) WHERE NOT part GROUP BY 1""",
-        "fragment_completion": f"""WITH n AS {noisy}, known AS (SELECT DISTINCT code FROM n WHERE p_partkey < 40), {COSTS},
+        "fragment_completion": f"""WITH n AS {noisy}, known AS {DICTIONARY}, {COSTS},
 f AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN substr(code, 2, 4) ELSE substr(code, 1, 4) END AS f FROM n),
 p AS (SELECT p_partkey, code, lost, i, substr(f, i, 1) AS o, substr(code, i + lost, 1) AS e, i + lost = 3 AS letter FROM f, known, unnest([0, 1]) AS a(lost), unnest([1, 2, 3, 4]) AS b(i)),
 q AS (SELECT p_partkey, code, lost, round(greatest(0, 1 - (sum({COST}) + CASE WHEN lost = 1 THEN 0.12 ELSE 0.14 END) / 2.2::DOUBLE), 9) AS s FROM p LEFT JOIN c ON c.o = p.o AND c.e = p.e AND c.letter = p.letter GROUP BY 1, 2, 3),

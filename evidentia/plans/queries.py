@@ -9,6 +9,7 @@ from ..functions import codes as C
 from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import evidence, greedy, lines, match, review, tree, votes
+from ..sources import readers
 
 REGISTERED: dict = {}
 LEVELS = 5
@@ -242,6 +243,12 @@ def _noisy(t) -> DataFrame:
     return t("part").select("p_partkey", code.alias("code"), F.when(F.col("p_partkey") % 3 == 0, F.translate(code, "015", "OIS")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("x "), code, F.lit(" y"))).otherwise(code).alias("txt"))
 
 
+def _dictionary(t) -> DataFrame:
+    """A code per nation."""
+    n = F.col("n_nationkey")
+    return t("nation").select(F.concat(F.lpad(((n * 7) % 97).cast("string"), 2, "0"), F.element_at(F.array(*[F.lit(c) for c in "ABGOI"]), (n % 5 + 1).cast("int")), F.lpad((n * 2 + 1).cast("string"), 2, "0")).alias("code"))
+
+
 @query
 def code_extract(t, spark):
     return _noisy(t).select("p_partkey", X.first_code(F.col("txt")).alias("found"))
@@ -254,9 +261,7 @@ def code_confusion_fix(t, spark):
 
 @query
 def code_score_match(t, spark):
-    n = _noisy(t)
-    known = n.where("p_partkey < 40").select("code").distinct()
-    return match.code_scores(n.select("p_partkey", "txt"), known, "p_partkey", "txt")
+    return match.code_scores(_noisy(t).select("p_partkey", "txt"), _dictionary(t), "p_partkey", "txt")
 
 
 @query
@@ -369,7 +374,7 @@ def json_explode(t, spark):
 
 @query
 def row_signature(t, spark):
-    return t("nation").agg(F.sha2(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: F.concat_ws(":", s["n_nationkey"].cast("string"), s["n_name"]))), 256).alias("signature"))
+    return spark.range(1).select(F.lit(readers.signature(t("lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"])).alias("signature"))
 
 
 @query
@@ -490,8 +495,7 @@ def lane_conflict(t, spark):
 
 @query
 def fragment_completion(t, spark):
-    n = _noisy(t)
-    known = n.where("p_partkey < 40").select("code").distinct()
+    n, known = _noisy(t), _dictionary(t)
     return evidence.complete_fragments(n.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.substring("code", 2, 4)).otherwise(F.substring("code", 1, 4)).alias("txt")), known, "p_partkey", "txt")
 
 
@@ -538,7 +542,7 @@ def value_cascade(t, spark):
     limit = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice"))
     measured = F.when(F.col("o_orderkey") % 3 == 1, F.col("o_custkey").cast("double"))
     text = F.when(F.col("o_orderkey") % 2 == 0, F.regexp_extract("o_orderpriority", "([0-9])", 1).try_cast("double"))
-    return o.select("o_orderkey", C.cascade(("limit", limit), ("dimension", measured), ("text", text)).alias("c")).select("o_orderkey", "c.value", "c.source")
+    return o.select("o_orderkey", C.cascade(*[(n, x.isNotNull(), x) for n, x in (("limit", limit), ("dimension", measured), ("text", text))]).alias("c")).select("o_orderkey", "c.value", "c.source")
 
 
 @query
@@ -561,3 +565,6 @@ def structural_labels(t, spark):
     label = F.when(n % 4 == 0, "Springback").when(n % 4 == 1, F.concat(F.lit("a | b-c "), F.lit("d-e"))).when(n % 4 == 2, "Elément de référence.S (E)").otherwise(F.col("c_name"))
     parent = F.element_at(F.array(F.lit("CPC"), F.lit("ctf"), F.lit("Références")), (n % 3 + 1).cast("int"))
     return t("customer").select("c_custkey", C.capture_label(label, parent).alias("capture"), C.reference_label(label, parent).alias("reference"))
+
+
+from . import queries_scans  # noqa: E402, F401  (registers its queries)

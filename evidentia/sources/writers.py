@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def json_report(df: DataFrame, path: str) -> None:
 
 
 def tables(frames: dict[str, DataFrame], folder: str, format: str = "parquet") -> dict[str, str]:
-    """(K3, K6) One folder per table; an existing folder is left alone and a dated one is written beside it (K4)."""
+    """(K4) One folder per table; an existing folder is left alone and a dated one is written beside it (K4)."""
     out = {}
     for name, df in frames.items():
         path = f"{folder.rstrip('/')}/{name}"
@@ -51,6 +52,24 @@ def tables(frames: dict[str, DataFrame], folder: str, format: str = "parquet") -
     return out
 
 
+def document(df: DataFrame, order: str, array: str, count: str, head: dict[str, str] | None = None) -> DataFrame:
+    """(K9, K16) One JSON document: the head's members, how many rows there are, and the rows in order under `array`."""
+    rows = _small(df).agg(F.sort_array(F.collect_list(F.struct(order, F.struct(*df.columns).alias("row")))).alias("r"))
+    members = [F.lit(v).alias(k) for k, v in (head or {}).items()]
+    return rows.select(F.to_json(F.struct(*members, F.size("r").alias(count), F.transform("r", lambda x: x["row"]).alias(array))).alias("document"))
+
+
+def code_manifest(nodes: DataFrame, name: str, order: str = "order", code: str = "series_code", carry: Sequence[str] = ("ref_parent", "functional_group", "tree_path")) -> DataFrame:
+    """(K9) The document of the codes that a tree holds, in order; what S19 reads."""
+    held = nodes.where(F.coalesce(F.col(code), F.lit("")) != "").select(F.col(order).alias("order"), F.col(code).alias("series_code"), *carry)
+    return document(held, "order", "series", "series_count", {"document": name, "method": "direct_tree"})
+
+
+def document_file(doc: DataFrame, path: str) -> None:
+    """(K9, K16) The document as a folder with one text file."""
+    doc.coalesce(1).write.mode("overwrite").text(path)
+
+
 def union_by_name(*frames: DataFrame) -> DataFrame:
     """(K5) Rows of all, columns of any."""
     out = frames[0]
