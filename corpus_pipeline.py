@@ -15,9 +15,9 @@ from evidentia.llm.mixing import mixed_rows
 from evidentia.llm.packing import pack
 from evidentia.llm.quality_model import quality_rows
 from evidentia.llm.queries import tokenizer_path
-from evidentia.llm.store import fresh, keep, lower_ascii, table
+from evidentia.llm.store import fresh, keep, lower_ascii, table, written_alone
 
-ORACLE_SQL = None  # the quality classifier is no SQL; a test holds every stage against a plain version
+ORACLE_SQL = None  # the quality classifier is no SQL; tests hold the copies, mixing and packing stages against brute force
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +68,5 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir))
+        docs = written_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,8 +1,8 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages. Every passage is described by counts of its characters and words and encoded by a
-small network; gated attention weighs the encodings, and the weighted mean is scored. Only documents have labels, so
-what the attention looks at is learnt from them.
+A document is a bag of passages. Every passage is described by its words (the mean of learnt vectors, by hash) and by counts
+of its characters and words, and encoded by a small network; gated attention weighs the encodings, and the weighted mean
+is scored. Only documents have labels, so what the attention looks at, and what words are worth, is learnt from them.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ single_thread()
 
 PASSAGE = 64  # words
 HIDDEN, GATE = 32, 16
+SLOTS, WORD = 4096, 8  # vectors of words, by hash, and their size
+WORDY = 0.02  # pull of the words' vectors to nothing, so that rare words are not learnt by heart
 EPOCHS = 14
 CUT = 0.3  # documents that score less are rejected
 
@@ -34,9 +36,9 @@ CLASSES = 39
 EXTRA = 7
 
 
-def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(features [passages, CLASSES + EXTRA], first passage of each text and the end). A text has a passage for every
-    PASSAGE words begun and one at least; a passage reaches from its first word to the next passage's."""
+def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features [passages, CLASSES + EXTRA], first passage of each text and the end, slot of every word, words of each passage).
+    A text has a passage for every PASSAGE words begun and one at least; a passage reaches from its first word to the next's."""
     hashes, at = words(data, offsets)
     bounds = np.searchsorted(at, offsets)
     n_words = np.diff(bounds)
@@ -64,7 +66,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         ],
         axis=1,
     )
-    return np.concatenate([np.sqrt(counts / chars), extra], axis=1).astype(np.float32), firsts
+    return np.concatenate([np.sqrt(counts / chars), extra], axis=1).astype(np.float32), firsts, (hashes >> np.uint64(40)).astype(np.int64) % SLOTS, in_bag
 
 
 class Attention:
@@ -75,13 +77,17 @@ class Attention:
         init = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.mean, self.scale = np.zeros(width, np.float32), np.ones(width, np.float32)
         self.p = {
-            "w": init(width, HIDDEN), "b": np.zeros(HIDDEN, np.float32), "v": init(HIDDEN, GATE), "u": init(HIDDEN, GATE), "a": init(GATE, 1)[:, 0],
+            "t": np.zeros((SLOTS, WORD), np.float32), "w": np.concatenate([init(width, HIDDEN), init(WORD, HIDDEN)]), "b": np.zeros(HIDDEN, np.float32), "v": init(HIDDEN, GATE), "u": init(HIDDEN, GATE), "a": init(GATE, 1)[:, 0],
             "o": init(HIDDEN, 1)[:, 0], "c": np.array([np.log(share / (1 - share))], np.float32),
         }
 
-    def forward(self, x: np.ndarray, firsts: np.ndarray) -> dict:
+    def forward(self, x: np.ndarray, firsts: np.ndarray, slots: np.ndarray, in_bag: np.ndarray) -> dict:
         p, starts, sizes = self.p, firsts[:-1], np.diff(firsts)
-        x = np.clip((x - self.mean) / self.scale, -6, 6)
+        mean = np.zeros((len(x), WORD), p["t"].dtype)
+        some = in_bag > 0
+        if len(slots):
+            mean[some] = np.add.reduceat(p["t"][slots], (np.cumsum(in_bag) - in_bag)[some], axis=0) / in_bag[some, None]
+        x = np.concatenate([np.clip((x - self.mean) / self.scale, -6, 6), mean], axis=1)
         h = np.tanh(x @ p["w"] + p["b"])
         tv, su = np.tanh(h @ p["v"]), 1 / (1 + np.exp(-(h @ p["u"])))
         e = (tv * su) @ p["a"]
@@ -89,7 +95,7 @@ class Attention:
         a = e / np.repeat(np.add.reduceat(e, starts), sizes)
         z = np.add.reduceat(h * a[:, None], starts, axis=0)
         s = 1 / (1 + np.exp(-np.clip(z @ p["o"] + p["c"], -30, 30)))
-        return {"x": x, "h": h, "tv": tv, "su": su, "a": a, "z": z, "s": s, "sizes": sizes, "starts": starts}
+        return {"x": x, "h": h, "tv": tv, "su": su, "a": a, "z": z, "s": s, "sizes": sizes, "starts": starts, "slots": slots, "in_bag": in_bag}
 
     def gradient(self, f: dict, y: np.ndarray, weight: np.ndarray) -> dict:
         p, d = self.p, (f["s"] - y) * weight / weight.sum()
@@ -100,7 +106,9 @@ class Attention:
         dg = de[:, None] * p["a"]
         dv, du = dg * f["su"] * (1 - f["tv"] ** 2), dg * f["tv"] * f["su"] * (1 - f["su"])
         dh = (dz * f["a"][:, None] + dv @ p["v"].T + du @ p["u"].T) * (1 - f["h"] ** 2)
-        return {"w": f["x"].T @ dh, "b": dh.sum(0), "v": f["h"].T @ dv, "u": f["h"].T @ du, "a": (f["tv"] * f["su"]).T @ de, "o": f["z"].T @ d, "c": d.sum(keepdims=True)}
+        per_word = np.repeat((dh @ p["w"][-WORD:].T) / np.maximum(f["in_bag"], 1)[:, None], f["in_bag"], axis=0)
+        dt = np.stack([np.bincount(f["slots"], per_word[:, k], SLOTS) for k in range(WORD)], axis=1)
+        return {"t": dt, "w": f["x"].T @ dh, "b": dh.sum(0), "v": f["h"].T @ dv, "u": f["h"].T @ du, "a": (f["tv"] * f["su"]).T @ de, "o": f["z"].T @ d, "c": d.sum(keepdims=True)}
 
 
 def fit_attention(texts: list[str], y: np.ndarray, share: float, epochs: int = EPOCHS, seed: int = 3) -> Attention:
@@ -112,6 +120,8 @@ def fit_attention(texts: list[str], y: np.ndarray, share: float, epochs: int = E
     data, offsets = text_buffer(pa.array(texts, pa.large_string()))
     parts = [passages(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets)]
     x, firsts = np.concatenate([p[0] for p in parts]), np.append(0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts])))
+    slots, in_bag = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+    word_at = np.append(0, np.cumsum(in_bag))
     net.mean, net.scale = x.mean(0), x.std(0) + 0.02
     rng, moments, step = np.random.default_rng(seed), {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}, 0
     ones = y.mean()
@@ -123,12 +133,14 @@ def fit_attention(texts: list[str], y: np.ndarray, share: float, epochs: int = E
             sizes = firsts[docs + 1] - firsts[docs]
             own = np.append(0, np.cumsum(sizes))
             rows = np.repeat(firsts[docs] - own[:-1], sizes) + np.arange(own[-1])
-            g = net.gradient(net.forward(x[rows], own), y[docs], weight[docs])
+            spans = np.stack([word_at[firsts[docs]], word_at[firsts[docs + 1]]], axis=1)
+            mine = np.concatenate([slots[i:j] for i, j in spans.tolist()])
+            g = net.gradient(net.forward(x[rows], own, mine, in_bag[rows]), y[docs], weight[docs])
             step += 1
             rate = 0.01 * (1 - epoch / epochs)
             for k, v in g.items():
                 m, s = moments[k]
-                v = v + 1e-4 * net.p[k]
+                v = v + (WORDY / len(y) if k == "t" else 1e-4) * net.p[k]
                 m[...] = 0.9 * m + 0.1 * v
                 s[...] = 0.99 * s + 0.01 * v * v
                 net.p[k] = (net.p[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
@@ -139,8 +151,7 @@ def _scores(texts: pa.Array, net: Attention) -> np.ndarray:
     data, offsets = text_buffer(texts)
     scores = [np.zeros(0)]
     for a, b in slices(offsets):
-        x, firsts = passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        scores.append(net.forward(x, firsts)["s"].astype(np.float64))
+        scores.append(net.forward(*passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))["s"].astype(np.float64))
     return np.concatenate(scores)
 
 

@@ -133,8 +133,30 @@ def _parts(url: str) -> str:
     return f"{lower} AS host, coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path"
 
 
-_ONE = r"""(?is)<{tag}\b[^>]*\b{name}\s*=\s*(?:"[^"]*\b{value}\b[^"]*"|''[^'']*\b{value}\b[^'']*''|{value}\b)[^>]*>"""
-_LINK, _META = _ONE.format(tag="link", name="rel", value="canonical"), _ONE.format(tag="meta", name="http-equiv", value="refresh")
+_MUTE = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+_TAGS = r"""(?is)<(?:link|meta|base)\b(?:[^>"'']+|"[^"]*"|''[^'']*'')*>"""
+_PARTS = r"""(?is)"[^"]*"|''[^'']*''|([^\s"''<>/=]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+))?"""
+
+
+def _attribute(name: str) -> str:
+    v = f"v[list_position(n, '{name}')]"
+    bare = f"CASE WHEN left({v}, 1) IN (chr(34), chr(39)) THEN substr({v}, 2, len({v}) - 2) ELSE {v} END"
+    return f"replace(coalesce({bare}, ''), '&amp;', '&')"
+
+
+def _joined(source: str, base: str) -> str:
+    """Urls that t names on a base, with site, segments and query taken apart, and dots taken out."""
+    return rf"""{source}_parts AS (SELECT r, url, {base} AS base, t, regexp_extract({base}, '(?s)^([A-Za-z][A-Za-z0-9+.-]*:)//', 1) AS scheme, regexp_extract({base}, '(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS site,
+  regexp_extract({base}, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM {source} WHERE t <> '' AND NOT starts_with(t, '#')),
+{source}_joined AS (SELECT r, url, t, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR site = '' THEN NULL
+  WHEN starts_with(t, '//') THEN scheme || t WHEN starts_with(t, '/') THEN site || t
+  WHEN starts_with(t, '?') THEN site || path || t ELSE site || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || t END AS u FROM {source}_parts),
+{source}_cut AS (SELECT row_number() OVER () AS k, r, url, regexp_extract(u, '(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS site,
+  string_split(regexp_extract(u, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/')[2:] AS seg, regexp_extract(u, '(?s)^[^?#]*(\?[^#]*)', 1) AS query FROM {source}_joined WHERE u IS NOT NULL),
+{source}_dots(k, i, done) AS (SELECT k, 1, []::VARCHAR[] FROM {source}_cut UNION ALL
+  SELECT d.k, i + 1, CASE WHEN seg[i] IN ('.', '..') THEN (CASE WHEN seg[i] = '..' THEN done[1:greatest(0, len(done) - 1)] ELSE done END) || (CASE WHEN i = len(seg) THEN [''] ELSE []::VARCHAR[] END)
+    ELSE done || [seg[i]] END FROM {source}_dots d JOIN {source}_cut c ON c.k = d.k WHERE i <= len(seg)),
+{source}_aimed AS (SELECT r, url, site || '/' || array_to_string(done, '/') || query AS u FROM {source}_cut JOIN {source}_dots USING (k) WHERE i = len(seg) + 1)"""
 
 
 def _node(url: str) -> str:
@@ -147,21 +169,16 @@ def _node(url: str) -> str:
 
 _OP10 = rf"""
 WITH RECURSIVE rules(verdict, rule, h, p) AS (VALUES {_RULES}),
-tags AS (SELECT url, unnest(regexp_extract_all(html, '{_LINK}')) AS tag, 'href' AS name FROM pages
-  UNION ALL SELECT url, unnest(regexp_extract_all(html, '{_META}')), 'url' FROM pages),
-named AS (SELECT DISTINCT url, replace(regexp_extract(tag, CASE name WHEN 'href' THEN '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)' ELSE '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)' END, 1), '&amp;', '&') AS t
-  FROM tags WHERE url IS NOT NULL),
-parts AS (SELECT url, t, regexp_extract(url, '(?s)^([A-Za-z][A-Za-z0-9+.-]*:)//', 1) AS scheme, regexp_extract(url, '(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS site,
-  regexp_extract(url, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM named WHERE t <> '' AND NOT starts_with(t, '#')),
-joined AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR site = '' THEN NULL
-  WHEN starts_with(t, '//') THEN scheme || t WHEN starts_with(t, '/') THEN site || t
-  WHEN starts_with(t, '?') THEN site || path || t ELSE site || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || t END AS u FROM parts),
-cut AS (SELECT row_number() OVER () AS k, url, regexp_extract(u, '(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS site,
-  string_split(regexp_extract(u, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/')[2:] AS seg, regexp_extract(u, '(?s)^[^?#]*(\?[^#]*)', 1) AS query FROM joined WHERE u IS NOT NULL),
-dots(k, i, done) AS (SELECT k, 1, []::VARCHAR[] FROM cut UNION ALL
-  SELECT d.k, i + 1, CASE WHEN seg[i] IN ('.', '..') THEN (CASE WHEN seg[i] = '..' THEN done[1:greatest(0, len(done) - 1)] ELSE done END) || (CASE WHEN i = len(seg) THEN [''] ELSE []::VARCHAR[] END)
-    ELSE done || [seg[i]] END FROM dots d JOIN cut c ON c.k = d.k WHERE i <= len(seg)),
-aimed AS (SELECT url, site || '/' || array_to_string(done, '/') || query AS u FROM cut JOIN dots USING (k) WHERE i = len(seg) + 1),
+pieces AS (SELECT r, url, i, ts[i] AS tag FROM (SELECT row_number() OVER () AS r, url, regexp_extract_all(regexp_replace(html, '{_MUTE}', ' ', 'g'), '{_TAGS}') AS ts FROM pages WHERE url IS NOT NULL), unnest(range(1, len(ts) + 1)) AS x(i)),
+read AS (SELECT r, url, i, list_transform(regexp_extract_all(tag, '{_PARTS}', 1), lambda x: lower(x)) AS n, regexp_extract_all(tag, '{_PARTS}', 2) AS v FROM pieces),
+kinds AS (SELECT r, url, i, CASE WHEN n[1] = 'base' THEN 'base' WHEN n[1] = 'link' AND list_contains(regexp_split_to_array(lower({_attribute('rel')}), '\s+'), 'canonical') THEN 'link'
+  WHEN n[1] = 'meta' AND lower(trim({_attribute('http-equiv')})) = 'refresh' THEN 'refresh' END AS kind, trim({_attribute('href')}) AS href, {_attribute('content')} AS content FROM read),
+aims AS (SELECT r, url, i, kind, CASE kind WHEN 'refresh' THEN trim(regexp_extract(content, '(?is)^\s*[0-9.]*\s*[;,]?\s*(?:url\s*=\s*)?["'']?([^"'']*)', 1)) ELSE href END AS t FROM kinds WHERE kind IS NOT NULL),
+firsts AS (SELECT r, url, arg_min(t, i) AS t FROM aims WHERE kind = 'base' AND t <> '' GROUP BY r, url),
+{_joined('firsts', 'url')},
+links AS (SELECT a.r, a.url, a.t, coalesce(b.u, a.url) AS base FROM (SELECT DISTINCT r, url, t FROM aims WHERE kind <> 'base') a LEFT JOIN firsts_aimed b ON b.r = a.r),
+{_joined('links', 'base')},
+aimed AS (SELECT * FROM links_aimed),
 both_ends AS (SELECT DISTINCT {_node('url')} AS a, {_node('u')} AS b FROM aimed),
 edges AS (SELECT a, b FROM both_ends WHERE a <> b UNION SELECT b, a FROM both_ends WHERE a <> b),
 reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
@@ -192,7 +209,8 @@ damage AS (SELECT r, conv_id, turn, c % 20 AS kind, CASE c % 20 WHEN 4 THEN 'use
   CASE c % 20 WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text FROM keys JOIN crc USING (r)),
 rows_ AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(len(role) || ':' || role || text)) AS pos
   FROM damage, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
-seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth, left(role, 1) AS ini, regexp_replace(text, '[ 	-]+$', '') AS bare FROM rows_),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth, left(role, 1) AS ini, regexp_replace(text, '[ 	-
+]+$', '') AS bare FROM rows_),
 fault AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
   lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini AS pair FROM seen),
 counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
@@ -219,7 +237,8 @@ FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 
 _OP13 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
-f AS (SELECT r, doc_id, part, t, regexp_extract_all(t, '[^ 	-]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (SELECT r, doc_id, part, t, regexp_extract_all(t, '[^ 	-
+]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
 l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
 fails AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
   || CASE WHEN 100 * (len(t) - len(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * len(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END

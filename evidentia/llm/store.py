@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,14 +33,36 @@ def keep(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there, so a lost executor costs
     no recomputation, and the next join sees real sizes and no inherited partitioning (skew can be split)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evidentia/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/evidentia/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/evidentia/{uuid.uuid4().hex}"
+    for made in _SCOPES:
+        made.append(path)
+    return path
+
+
+_SCOPES: list[list[str]] = []  # of the caller, the innermost last
+
+
+def written_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """keep(make()), without the tables that were written on the way to it."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        df = make()
+    finally:
+        _SCOPES.pop()
+    out = keep(df)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in made:
+        folder = hadoop(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
 
 
 def fresh(name: str, columns: list[str]) -> str:

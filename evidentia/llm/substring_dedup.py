@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -459,9 +459,28 @@ def rest_pairs(windows: DataFrame, hubs: DataFrame, regions: DataFrame, found: D
     return parts.groupBy("g", "i", "j").applyInArrow(_compare, _PAIR_SQL)
 
 
+def with_families(rows: DataFrame) -> DataFrame:
+    """rows with family_id: one number for all passages that pairs connect. Passages of a document that overlap are one, so who
+    copies a family reads its members without walking from pair to pair."""
+    mine, theirs = ("doc_id", "start_word", "end_word"), ("twin_id", "twin_start", "twin_end")
+    ends = rows.select(*mine).union(rows.select(*theirs)).distinct()
+    w = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
+    apart = F.col("start_word") >= F.coalesce(F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = ends.withColumn("new", F.when(apart, F.col("start_word"))).withColumn("at", F.last("new", ignorenulls=True).over(w))
+    places = keep(begun.select(*[F.col(c).alias(f"_{c}") for c in mine], F.xxhash64("doc_id", "at").alias("node")))
+
+    def at(df: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
+        on = [F.col(c) == F.col(f"_{m}") for c, m in zip(columns, mine, strict=True)]
+        return df.join(places.withColumnRenamed("node", name), on).drop(*[f"_{m}" for m in mine])
+
+    placed = keep(at(at(rows, mine, "a"), theirs, "b"))
+    roots = components(placed.select("a", "b").distinct(), "a", "b")
+    return placed.join(roots, F.col("a") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "a").alias("family_id"))
+
+
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per repeated passage of a document and twin it was compared with: doc_id, start_word, end_word (exclusive),
-    twin_id, twin_start, twin_end, n_hashes, similarity.
+    twin_id, twin_start, twin_end, n_hashes, similarity, family_id (one number for all passages that pairs connect).
 
     Passages have at least about PASSAGE words and lie in different documents; of many documents that share one, each is
     paired with the least and the greatest id and, where that leaves something apart, with others of the family until it is
@@ -500,4 +519,4 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = keep(both.select("doc_id", "start", "tokens", "twin_id", "twin_at", "twin_tokens", "n_hashes").mapInArrow(_verify, _PAIR_SQL))
     passage = ["doc_id", "start_word", "end_word", "twin_id", "twin_start", "twin_end"]
     rows = found.unionByName(keep(rest_pairs(windows, hubs, regions, found))).groupBy(*passage).agg(F.max("n_hashes").alias("n_hashes"), F.max("similarity").alias("similarity"))
-    return copies.unionByName(rows)
+    return with_families(keep(copies.unionByName(rows)))

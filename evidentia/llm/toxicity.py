@@ -1,9 +1,11 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Labels mark documents, so tokens get theirs by contrast: in a toxic document the tokens whose form (the word or a stem)
-occurs significantly more in toxic documents are toxic, every other token is not. A two-state chain is fitted to these
-by gradient ascent with forward-backward marginals. Its marginals are aggregated per document, and a logistic head,
-fitted to documents that the chain did not see, gives the score.
+occurs significantly more in toxic documents are toxic, every other token is not. A two-state chain is fitted to these by
+gradient ascent with forward-backward marginals. What it sees of a token is more than what labels it: its word and stems,
+its stem together with that of the token before and of the one after it, and its shape (case, length, symbols beside it);
+those that contrast get weights. The marginals are aggregated per document, and a logistic head, fitted to documents that
+the chain did not see, gives the score.
 """
 
 from __future__ import annotations
@@ -21,17 +23,20 @@ from .labelled import FOLDS, SAMPLE, prior, training_sample
 from .store import crc_mod
 
 STEMS = (4, 5, 6, 7, 8)  # a token's forms: the whole word and its first bytes
-SLOTS = 1 << 18
+FORMS = 1 + len(STEMS) + 3  # and its stem with those of its neighbours, and its shape
+SLOTS = 1 << 18  # of the table that tells most features without weight at once
 STEPS = 60  # of the chain's fit
 BLOCK = 128  # tokens that a scan takes one after the other; blocks run side by side
 
+_MARK = np.zeros(256, bool)
+_MARK[np.frombuffer(b"*#@$%!0123456789", np.uint8)] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(forms: hashes [tokens, 1 + len(STEMS)], byte starts, byte ends) of the runs of letters, lower-cased in ASCII and
-    Latin-1 without a change of length."""
+    """(forms: hashes [tokens, FORMS], byte starts, byte ends) of the runs of letters, lower-cased in ASCII and Latin-1 without
+    a change of length. A form that a token lacks (a stem longer than it, a neighbour at a text's end) is 0."""
     low = _LOWER[data]
     up = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
     low[up] += 0x20
@@ -42,18 +47,29 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first[begins] = inside[begins]
     at = np.flatnonzero(inside)
     if not len(at):
-        return np.zeros((0, 1 + len(STEMS)), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, FORMS), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     cuts = np.flatnonzero(first[at])
     lengths = np.diff(np.append(cuts, len(at)))
     starts = at[cuts]
     place = np.minimum(np.arange(len(at)) - np.repeat(cuts, lengths), len(_POWER) - 1)
-    forms = np.empty((len(starts), 1 + len(STEMS)), np.uint64)
+    forms = np.zeros((len(starts), FORMS), np.uint64)
     forms[:, 0] = mixed(np.add.reduceat(_BYTE[low[at]] * _POWER[place], cuts))
     total, padded = np.zeros(len(starts), np.uint64), np.append(low, np.zeros(max(STEMS), np.uint8))
     for k in range(max(STEMS)):
         total = total + np.where(lengths > k, _BYTE[padded[starts + k]] * _POWER[k], np.uint64(0))
         if k + 1 in STEMS:
             forms[:, 1 + STEMS.index(k + 1)] = np.where(lengths > k, mixed(total + np.uint64(k + 1)), np.uint64(0))
+    k = 1 + len(STEMS)
+    stem = np.where(forms[:, 1] != 0, forms[:, 1], forms[:, 0])
+    text = np.searchsorted(offsets, starts, "right") - 1
+    same = text[1:] == text[:-1]
+    both = np.where(same, mixed(stem[:-1] * _POWER[3] + stem[1:]), np.uint64(0))
+    forms[1:, k], forms[:-1, k + 1] = both, np.where(same, both ^ np.uint64(0x5851F42D4C957F2D), np.uint64(0))
+    capitals = np.add.reduceat((low[at] != data[at]).astype(np.int64), cuts)
+    case = np.where(capitals == 0, 0, np.where(capitals == lengths, 1, np.where((capitals == 1) & (low[starts] != data[starts]), 2, 3)))
+    near = lambda i: (i >= offsets[text]) & (i < offsets[text + 1]) & _MARK[data[np.clip(i, 0, len(data) - 1)]]
+    shape = case + 4 * np.minimum(lengths, 15) + 64 * near(starts - 1) + 128 * near(starts + lengths)
+    forms[:, k + 2] = mixed(shape.astype(np.uint64) + np.uint64(1 << 40))
     return forms, starts, starts + lengths
 
 
@@ -84,7 +100,7 @@ def scan(p: np.ndarray, q: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarr
 
 @dataclass
 class Chain:
-    """marks: per slot the form that may stand there, weights: its weight; move[i, j]: score of going from state i to j."""
+    """marks: the forms with weights, sorted; move[i, j]: score of going from state i to j."""
 
     marks: np.ndarray
     weights: np.ndarray
@@ -93,11 +109,17 @@ class Chain:
     begin: float
     head: np.ndarray
 
-    def slots(self, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(token, slot) of every form that has a weight."""
-        slot = (forms & np.uint64(SLOTS - 1)).astype(np.int64)
-        token, form = np.nonzero((self.marks[slot] == forms) & (forms != 0))
-        return token, slot[token, form]
+    def __post_init__(self) -> None:
+        self.maybe = np.zeros(SLOTS, bool)
+        self.maybe[(self.marks & np.uint64(SLOTS - 1)).astype(np.int64)] = True
+
+    def hits(self, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(token, number of the form) of every form that has a weight."""
+        token, form = np.nonzero(self.maybe[(forms & np.uint64(SLOTS - 1)).astype(np.int64)])
+        held = forms[token, form]
+        at = np.minimum(np.searchsorted(self.marks, held), max(len(self.marks) - 1, 0))
+        right = self.marks[at] == held if len(self.marks) else np.zeros(len(held), bool)
+        return token[right], at[right]
 
     def ratios(self, hits: tuple[np.ndarray, np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(emission odds, forward and backward odds of state 1) of the tokens of texts that begin at bounds[:-1]."""
@@ -118,7 +140,7 @@ class Chain:
     def marginals(self, forms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         if not len(forms):
             return np.zeros(0)
-        _, ahead, back = self.ratios(self.slots(forms), bounds)
+        _, ahead, back = self.ratios(self.hits(forms), bounds)
         odds = ahead * back
         return odds / (1 + odds)
 
@@ -158,7 +180,7 @@ def _lexicon(forms: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 def fit_chain(texts: list[str], y: np.ndarray, share: float, steps: int = STEPS) -> Chain:
     """Fit chain and head; share is the wanted prior of label 1. With one label only, every score is that prior."""
-    empty = Chain(np.zeros(SLOTS, np.uint64), np.zeros(SLOTS), -8.0, np.array([[0.0, -1.0], [-0.5, 0.5]]), -1.0, np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0]))
+    empty = Chain(np.zeros(0, np.uint64), np.zeros(0), -8.0, np.array([[0.0, -1.0], [-0.5, 0.5]]), -1.0, np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0]))
     if len(set(y.tolist())) < 2:
         return empty
     data, offsets = text_buffer(pa.array(texts, pa.large_string()))
@@ -178,21 +200,18 @@ def fit_chain(texts: list[str], y: np.ndarray, share: float, steps: int = STEPS)
 
     f, b = chosen(use)
     toxic = np.repeat(y[use] == 1, np.diff(b))
-    marks = np.zeros(SLOTS, np.uint64)
     words = _lexicon(f, toxic) if len(f) else np.zeros(0, np.uint64)
-    marks[(words & np.uint64(SLOTS - 1)).astype(np.int64)] = words
-    chain = Chain(marks, np.where(marks != 0, 1.0, 0.0), -4.0, empty.move.copy(), -1.0, empty.head)
     if not len(words):
         return empty
-    hits = chain.slots(f)
-    target = np.zeros(len(f))
-    target[hits[0]] = 1
-    target *= toxic
-    grads = [np.zeros(SLOTS), 0.0, np.zeros((2, 2)), 0.0]
+    chain = Chain(words, np.ones(len(words)), -4.0, empty.move.copy(), -1.0, empty.head)
+    hits = chain.hits(f)
+    named = np.isin(f[:, : 1 + len(STEMS)], _lexicon(f[:, : 1 + len(STEMS)], toxic)).any(1)
+    target = (named & toxic).astype(np.float64)
     starts_at = b[:-1][np.diff(b) > 0]
     inner = np.ones(len(f), bool)
     inner[starts_at] = False
     inner = np.flatnonzero(inner)
+    grads = [np.zeros(len(words)), 0.0, np.zeros((2, 2)), 0.0]
     for _ in range(steps):
         e, ahead, back = chain.ratios(hits, b)
         odds = ahead * back
@@ -203,21 +222,29 @@ def fit_chain(texts: list[str], y: np.ndarray, share: float, steps: int = STEPS)
         joint /= joint.sum(0)
         was, now = target[inner - 1], target[inner]
         seen = np.stack([(1 - was) * (1 - now), (1 - was) * now, was * (1 - now), was * now])
-        g = [np.bincount(hits[1], rest[hits[0]], SLOTS) - 0.1 * chain.weights, rest.sum(), (seen - joint).sum(1).reshape(2, 2) - 0.1 * chain.move, rest[starts_at].sum() - 0.1 * chain.begin]
+        g = [np.bincount(hits[1], rest[hits[0]], len(words)) - 0.1 * chain.weights, rest.sum(), (seen - joint).sum(1).reshape(2, 2) - 0.1 * chain.move, rest[starts_at].sum() - 0.1 * chain.begin]
         for i, x in enumerate(g):
             grads[i] = grads[i] + np.square(x)
         step = [0.5 * x / np.sqrt(v + 1e-6) for x, v in zip(g, grads, strict=True)]
-        chain.weights = chain.weights + step[0] * (marks != 0)
+        chain.weights = chain.weights + step[0]
         chain.bias, chain.move, chain.begin = float(chain.bias + step[1]), chain.move + step[2], float(chain.begin + step[3])
     f, b = chosen(~use)
     x, z = aggregate(chain.marginals(f, b), b), y[~use].astype(float)
     ones = max(z.mean(), 1e-3) if len(z) else share
     weight = np.where(z == 1, share / ones, (1 - share) / max(1 - ones, 1e-3))
     head = empty.head.astype(float)
-    for _ in range(30):  # Newton steps of a weighted logistic regression
+
+    def likely(head: np.ndarray) -> float:
+        v = x @ head
+        return float((weight * (z * v - np.logaddexp(0, v))).sum() - 0.025 * head @ head)
+
+    for _ in range(30):  # Newton steps of a weighted logistic regression, halved where they go too far
         p = 1 / (1 + np.exp(-np.clip(x @ head, -30, 30)))
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(x.shape[1])
-        head = head + np.linalg.solve(h, x.T @ (weight * (z - p)) - 0.05 * head)
+        step = np.linalg.solve(h, x.T @ (weight * (z - p)) - 0.05 * head)
+        while likely(head + step) < likely(head) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        head = head + step
     chain.head = head
     return chain
 

@@ -79,23 +79,53 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return F.array_max(F.filter(F.array(*items), fits)) if items else F.lit(None).cast("struct<n:int,rule:string,verdict:string,h:string,p:string>")
 
 
-def _tag(tag: str, name: str, value: str) -> str:
-    """Tags with an attribute that has a value among its words."""
-    return rf"""(?is)<{tag}\b[^>]*\b{name}\s*=\s*(?:"[^"]*\b{value}\b[^"]*"|'[^']*\b{value}\b[^']*'|{value}\b)[^>]*>"""
+#: What holds no tags: comments, scripts and styles.
+_MUTE = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+_TAGS = r"""(?is)<(?:link|meta|base)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_PARTS = r"""(?is)"[^"]*"|'[^']*'|([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
+
+
+def links_of(html: Column) -> Column:
+    """array<struct<kind, target>> of a page's base, canonical links and meta refreshes, in order. Quoted values may hold any
+    character, of an attribute named twice the first counts, and link types are words."""
+
+    def read(tag: Column) -> Column:
+        cut = lambda k: F.regexp_extract_all(tag, F.lit(_PARTS), F.lit(k))
+        names = F.transform(cut(1), lambda n: F.lower(n))
+        return F.struct(F.get(names, F.lit(0)).alias("tag"), names.alias("names"), cut(2).alias("values"))
+
+    def value(tag: Column, name: str) -> Column:
+        v = F.get(tag["values"], (F.array_position(tag["names"], name) - 1).cast("int"))
+        bare = F.regexp_replace(F.coalesce(v, F.lit("")), r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2")
+        return F.replace(bare, F.lit("&amp;"), F.lit("&"))
+
+    def attributes(tag: Column) -> Column:
+        return F.struct(tag["tag"].alias("tag"), *[value(tag, n).alias(a) for n, a in (("rel", "rel"), ("http-equiv", "equiv"), ("href", "href"), ("content", "content"))])
+
+    def link(tag: Column) -> Column:
+        canonical = (tag["tag"] == "link") & F.array_contains(F.split(F.lower(tag["rel"]), r"\s+"), "canonical")
+        refresh = (tag["tag"] == "meta") & (F.lower(F.trim(tag["equiv"])) == "refresh")
+        aim = F.regexp_extract(tag["content"], r"""(?is)^\s*[0-9.]*\s*[;,]?\s*(?:url\s*=\s*)?["']?([^"']*)""", 1)
+        kind = F.when(tag["tag"] == "base", "base").when(canonical, "link").when(refresh, "refresh")
+        return F.struct(kind.alias("kind"), F.trim(F.when(tag["tag"] == "meta", aim).otherwise(tag["href"])).alias("target"))
+
+    tags = F.regexp_extract_all(F.regexp_replace(html, _MUTE, " "), F.lit(_TAGS), F.lit(0))
+    return F.filter(F.transform(F.transform(F.transform(tags, read), attributes), link), lambda x: x["kind"].isNotNull() & (x["target"] != ""))
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): a page's url and those that its canonical links and meta refreshes name, resolved against it. Targets that name
-    no url, and pages without url or html, give none."""
-    value = lambda tag, name: F.regexp_extract(tag, r"(?is)\b" + name + r"""\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    each = lambda pattern, name: F.transform(F.regexp_extract_all("x", F.lit(pattern), F.lit(0)), lambda t: value(t, name))
-    found = (
-        pages.select(F.col(url).alias("u"), F.col(html).alias("x"))
-        .where("u IS NOT NULL AND x RLIKE '(?i)canonical|http-equiv'")
-        .select("u", F.explode(F.array_distinct(F.concat(each(_tag("link", "rel", "canonical"), "href"), each(_tag("meta", "http-equiv", "refresh"), "url")))).alias("t"))
-        .withColumn("t", F.replace("t", F.lit("&amp;"), F.lit("&")))
-    )
-    return found.select(node_of(F.col("u")).alias("a"), node_of(resolved(F.col("u"), F.col("t"))).alias("b")).where("b IS NOT NULL AND a <> b").distinct()
+    """(a, b): a page's url and those that its canonical links and meta refreshes name, resolved against the page's first base
+    element or else its url. What stands in comments, scripts and styles is no link. Targets that name no url, and pages
+    without url or html, give none."""
+    tagged = pages.select(F.col(url).alias("u"), F.col(html).alias("x")).where("u IS NOT NULL AND x RLIKE '(?i)canonical|refresh'").select("u", links_of(F.col("x")).alias("ls")).where("size(ls) > 0")
+    # The tables between are written: they are small, and an expression that is used again is not worked out again.
+    tagged = keep(tagged)
+    base = F.get(F.filter("ls", lambda x: x["kind"] == "base"), F.lit(0))["target"]
+    aims = F.explode(F.array_distinct(F.transform(F.filter("ls", lambda x: x["kind"] != "base"), lambda x: x["target"])))
+    aimed = keep(tagged.select("u", base.alias("base"), aims.alias("t")).distinct())
+    placed = keep(aimed.select("u", "t", F.when(F.col("base").isNotNull(), resolved(F.col("u"), F.col("base"))).alias("from")))
+    joined = keep(placed.select("u", resolved(F.coalesce("from", "u"), F.col("t")).alias("to")).where("to IS NOT NULL"))
+    return joined.select(node_of(F.col("u")).alias("a"), node_of(F.col("to")).alias("b")).where("a <> b").distinct()
 
 
 def url_filters(

@@ -283,3 +283,31 @@ def test_empty(spark):
     none = spark.createDataFrame([], DOCS)
     for f in (exact_dedup, jaccard_join, substring_dedup):
         assert f(none).count() == 0
+
+
+def test_families_are_what_pairs_connect(spark, corpus):
+    """Passages of one document that overlap, and the two ends of a pair, have one family, and nothing else has."""
+    rows = substring_dedup(spark.createDataFrame(corpus, DOCS)).collect()
+    family, spans = {}, {}
+    for r in rows:
+        for end in ((r.doc_id, r.start_word, r.end_word), (r.twin_id, r.twin_start, r.twin_end)):
+            assert family.setdefault(end, r.family_id) == r.family_id
+            spans.setdefault(end[0], set()).add(end)
+    up = {e: e for e in family}
+
+    def top(e):
+        while up[e] != e:
+            e = up[e]
+        return e
+
+    for r in rows:
+        up[top((r.doc_id, r.start_word, r.end_word))] = top((r.twin_id, r.twin_start, r.twin_end))
+    for own in spans.values():
+        for a in own:
+            for b in own:
+                if a[1] < b[2] and b[1] < a[2]:
+                    up[top(a)] = top(b)
+    groups = {}
+    for e, f in family.items():
+        groups.setdefault(f, set()).add(top(e))
+    assert rows and all(len(g) == 1 for g in groups.values()) and len(groups) == len({top(e) for e in family})

@@ -1,10 +1,12 @@
 """Scores, rules, filters, mixture, packing and the pipeline."""
 
+import itertools
 import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,15 +14,18 @@ from conftest import DOCS, text_of
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evidentia.llm import attention_lm, packing, toxicity
+from evidentia.llm import attention_lm, packing, quality_model, toxicity
 from evidentia.llm.attention_lm import AttentionLM, lm_scores
 from evidentia.llm.exact_dedup import exact_dedup
+from evidentia.llm.grams import words
 from evidentia.llm.jaccard_join import jaccard_join
+from evidentia.llm.labelled import prior, training_sample
 from evidentia.llm.mixing import mix
 from evidentia.llm.packing import best_fit, pack
 from evidentia.llm.quality_model import Attention, passages, quality_classifier
 from evidentia.llm.quality_rules import quality_rules
 from evidentia.llm.queries import URL_RULES, op9_quality_rules, op10_url_filters, oracle_sql, tokenizer_path
+from evidentia.llm.store import shared_dir
 from evidentia.llm.url_filters import alias_edges, node_of, resolved, url_filters
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -83,9 +88,8 @@ def test_scan_equals_the_recurrence():
 
 
 def test_marginals_equal_enumeration():
-    chain = toxicity.Chain(np.zeros(toxicity.SLOTS, np.uint64), np.zeros(toxicity.SLOTS), -0.3, np.array([[0.2, -0.7], [0.1, 0.9]]), -0.4, np.zeros(6))
-    chain.marks[5], chain.weights[5] = 5, 1.3
-    forms = np.zeros((7, 6), np.uint64)
+    chain = toxicity.Chain(np.array([5], np.uint64), np.array([1.3]), -0.3, np.array([[0.2, -0.7], [0.1, 0.9]]), -0.4, np.zeros(6))
+    forms = np.zeros((7, toxicity.FORMS), np.uint64)
     forms[[1, 4], 0] = 5
     bounds = np.array([0, 4, 4, 7])
     got = chain.marginals(forms, bounds)
@@ -100,15 +104,78 @@ def test_marginals_equal_enumeration():
         assert np.allclose(got[a:b], ones / total)
 
 
-def test_attention_gradient():
+def test_toxicity_scores_by_enumeration(spark, labelled):
+    """Scores of short texts from all label sequences of their tokens, one text at a time."""
+    docs, labels = labelled
+    rows = training_sample(docs, labels, "toxic")
+    chain = toxicity.fit_chain(rows["text"].tolist(), rows["y"].to_numpy(), prior(labels, "toxic"))
+    short = [(i, " ".join((t or "").split()[i % 5 : i % 5 + i % 9])) for i, (t,) in enumerate(docs.select("text").limit(60).collect())] + [(90, None), (91, ""), (92, "?")]
+    more = spark.createDataFrame(short, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs.select("doc_id", "text").union(more.select(F.col("doc_id") + 100_000, "text")), labels).where("doc_id >= 100000").collect()}
+    for i, t in short:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        forms, _, _ = toxicity.tokens(data, np.array([0, len(data)]))
+        n = len(forms)
+        emission = [chain.bias + sum(w for m, w in zip(chain.marks.tolist(), chain.weights, strict=True) if m in f) for f in forms.tolist()]
+        total, ones = 0.0, [0.0] * n
+        for bits in itertools.product((0, 1), repeat=n):
+            score = sum(e * b for e, b in zip(emission, bits, strict=True)) + (chain.begin * bits[0] if n else 0) + sum(chain.move[u, v] for u, v in itertools.pairwise(bits))
+            total += math.exp(score)
+            for k, b in enumerate(bits):
+                ones[k] += b * math.exp(score)
+        p = [o / total for o in ones]
+        x = [1, max(p), math.log1p(sum(p)), 1 - math.prod(1 - min(q, 1 - 1e-9) for q in p), min(1, 10 * sum(p) / n), math.log1p(n) / 10] if n else [1, 0, 0, 0, 0, 0]
+        assert got[100_000 + i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, chain.head, strict=True)))))), abs=1e-6)
+
+
+def plain_quality(net, text):
+    """One text, one passage after the other."""
+    data = text.encode()
+    found = [(m.start(), m.group().lower()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    begins = [0, *[found[k][0] for k in range(64, len(found), 64)], len(data)]
+    symbols = [c for c in range(33, 127) if not chr(c).isalnum()]
+    encoded, gates = [], []
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    for k, (a, b) in enumerate(itertools.pairwise(begins)):
+        own = [w for _, w in found[64 * k : 64 * k + 64]]
+        n, counts = max(1, len(own)), [0] * 39
+        for c in data[a:b]:
+            kind = 32 if 65 <= c < 91 else 33 if 97 <= c < 123 else 34 if 48 <= c < 58 else symbols.index(c) if c in symbols else 35 if c == 32 else 36 if c == 10 else 37 if c < 33 else 38
+            counts[kind] += 1
+        x = [math.sqrt(c / max(1, b - a)) for c in counts]
+        x += [sum(u == v for u, v in itertools.pairwise(own)) / n, (len(own) - len(set(own))) / n, (b - a) / n / 10, math.log1p(len(own)) / 4, math.log1p(len(found)) / 8, float(not own), sum(counts[:32]) / n / 2]
+        slot = [int(words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0] >> np.uint64(40)) % 4096 for w in own]
+        mean = sum((p["t"][i] for i in slot), np.zeros(8)) / n
+        h = np.tanh(np.append(np.clip((np.array(x) - net.mean) / net.scale, -6, 6), mean) @ p["w"] + p["b"])
+        encoded.append(h)
+        gates.append(math.exp(float((np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))) @ p["a"])))
+    z = sum(g * h for g, h in zip(gates, encoded, strict=True)) / sum(gates)
+    return 1 / (1 + math.exp(-float(z @ p["o"] + p["c"][0])))
+
+
+def test_quality_scores_one_passage_at_a_time(spark, labelled):
+    """Scores from every text's passages by themselves, gates and weights written out."""
+    docs, labels = labelled
+    rows = training_sample(docs, labels, "quality")
+    model = quality_model.fit_attention(rows["text"].tolist(), rows["y"].to_numpy(), prior(labels, "quality"))
+    got = {r.doc_id: r.score for r in quality_classifier(docs, labels).collect()}
+    for r in docs.limit(40).collect():
+        assert got[r.doc_id] == pytest.approx(plain_quality(model, r.text or ""), abs=1e-4)
+
+
+def test_attention_gradient(monkeypatch):
     rng = np.random.default_rng(3)
     net = Attention(5, 0.6)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["t"] = rng.standard_normal((3, 8))
     x, firsts, y, w = rng.standard_normal((9, 5)), np.array([0, 4, 5, 9]), np.array([1, 0, 1]), np.ones(3)
-    g = net.gradient(net.forward(x, firsts), y, w)
+    in_bag = np.array([2, 0, 1, 3, 1, 0, 2, 2, 0])
+    slots = rng.integers(3, size=in_bag.sum())
+    monkeypatch.setattr(quality_model, "SLOTS", 3)
+    g = net.gradient(net.forward(x, firsts, slots, in_bag), y, w)
 
     def loss():
-        s = net.forward(x, firsts)["s"]
+        s = net.forward(x, firsts, slots, in_bag)["s"]
         return -(y * np.log(s) + (1 - y) * np.log(1 - s)).sum() / 3
 
     for k, v in net.p.items():
@@ -125,8 +192,9 @@ def test_every_text_has_passages():
     from evidentia.llm.grams import text_buffer
     import pyarrow as pa
 
-    x, firsts = passages(*text_buffer(pa.array(["", None, "a b", " ".join(["w"] * 130)])))
+    x, firsts, slots, in_bag = passages(*text_buffer(pa.array(["", None, "a b", " ".join(["w"] * 130)])))
     assert np.diff(firsts).tolist() == [1, 1, 1, 3] and np.isfinite(x).all()
+    assert in_bag.tolist() == [0, 0, 2, 64, 64, 2] and len(slots) == 132 and len(set(slots[2:].tolist())) == 1
 
 
 def small_net(rng, size=60, n=4000):
@@ -283,6 +351,18 @@ def test_url_filters(spark):
     assert url_filters(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).count() == 0
 
 
+def test_links_of_odd_pages(spark):
+    goal, words = "http://b.com/de/q", "x" * 30_000
+    pages = {
+        '<base href="http://b.com/de/"><link rel=canonical href="q">': "block", f'<link rel="x-canonical" href="{goal}">': "allow", f'<!-- <link rel="canonical" href="{goal}"> -->': "allow",
+        f'<link title="a>b" rel="canonical" href="{goal}">': "block", f'<LINK REL="next Canonical" HREF=\'{goal}\'>': "block", f'<link href="{goal}" href="/" rel="canonical">': "block",
+        f'<script>"<link rel=canonical href={goal}>"</script>': "allow", f'<link title="rel=canonical" href="{goal}">': "allow", f'<link title="{words}>" rel=canonical href={goal} >': "block", f'<link rel=canonical title="href={goal}">': "allow",
+        f'<link rel=canonical href="{goal}': "allow", f'<meta http-equiv=refresh content="3">{words}': "allow", f'<meta http-equiv=refresh content="0;url=\'{goal}\'">': "block", f"<base href='mailto:x'><base href='http://x.net/'><link rel=canonical href={goal}>": "block",
+    }
+    df = spark.createDataFrame([(i, f"https://p{i}.net/a", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    assert [r.verdict for r in url_filters(df, URL_RULES).orderBy("page_id").collect()] == list(pages.values())
+
+
 def test_urls_resolve_as_the_standard_says(spark):
     """Against the standard library, normalised alike."""
     from urllib.parse import urljoin, urlsplit
@@ -314,6 +394,8 @@ def test_url_sql_on_pages_with_links(spark, tmp_path):
     rng = random.Random(12)
     urls = [f"https://{h}/{p}" for h in ("a.net", "b.com", "c.org:443", "D.com", "e.com") for p in ("", "de/x", "fr/y", "q/r/s?t", "es/1")]
     tags = ['<link rel="canonical" href="{}">', "<LINK href='{}' rel='alternate canonical'>", '<meta http-equiv="refresh" content="0; URL={}">', "<link rel=canonical href={}>", '<link rel="stylesheet" href="{}">']
+    tags += ['<link title="a>b" rel="canonical" href="{}"/>', '<link rel="x-canonical" href="{}">', "<!-- <link rel=canonical href='{}'> -->", '<base href="http://b.com/de/"><link rel=canonical href="{}">']
+    tags += ['<script>"<link rel=canonical href={}>"</script>', '<link data-x="rel=canonical" href="{}">', '<base target=x><base href="../z/"><link rel="canonical" rel="next" href="{}">', "<meta content=\"5; '{}'\" http-equiv=Refresh>"]
     goals = [*urls, "../x", "?z", "/de/x", "//b.com/de/x", "r", "#f", "mailto:x", "https://b.com:443/de/./x", "http://A.net"]
     rows = [(k, rng.choice(urls), "<p>" * rng.choice((1, 1, 200_000)) + "".join(rng.choice(tags).format(rng.choice(goals)) for _ in range(rng.randrange(3)))) for k in range(60)]
     rows += [rows[3], (None, urls[1], None), (100, None, rows[4][2]), (101, "", ""), (102, "no", rows[5][2])]
@@ -433,6 +515,76 @@ def test_pipeline_stages_equal_plain_versions(spark, labelled, corpus, tmp_path)
     for name in ("exact_dedup", "ngram_jaccard_join", "source_mixing"):
         out = stage[name](spark, odd, str(tmp_path))
         assert out.columns == odd.columns and {tuple(r[5:]) for r in out.collect()} == {("a", "b", 1, 2, 3, 4)}
+    assert exact_dedup(near).where("NOT kept").count() == 0
+
+
+def times_of(rows):
+    """How often each (id, source, text) is repeated, by the inverse Poisson distribution of its source's mean."""
+    from hashlib import md5
+
+    chars = Counter()
+    for _, t, s in rows:
+        chars[s] += len(t or "")
+    roots, every = sum(math.sqrt(n) for n in chars.values()), sum(chars.values())
+    out = Counter()
+    for i, t, s in rows:
+        rate = every * math.sqrt(chars[s]) / roots / chars[s] if chars[s] else 1.0
+        u = int(md5(f"17:{'' if i is None else i}:1".encode()).hexdigest()[:12], 16) / 2.0**48
+        k, term, total = 0, math.exp(-rate), math.exp(-rate)
+        while total <= u:
+            k += 1
+            term *= rate / k
+            total += term
+        out[i, s, t] += k
+    return +out
+
+
+def test_mixing_and_packing_stages_against_brute_force(spark, corpus, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [r for r in corpus if r[1] is None or len(r[1]) < 20_000] + [(None, "no id", "s1"), (3, "other text", None)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "'en' AS lang", "1L AS n_chars").repartition(5)
+    stage = dict(corpus_pipeline.STAGES)
+    mixed = stage["source_mixing"](spark, docs, str(tmp_path))
+    got = Counter((r.doc_id, r.source, r.text) for r in mixed.collect())
+    assert mixed.columns == docs.columns and got == times_of(rows)
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    ids = {(i, t): np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t, _ in rows}
+    pieces = stage["best_fit_packing"](spark, mixed, str(tmp_path)).collect()
+    want = Counter()
+    for (i, _, t), n in got.items():
+        for k, at in enumerate(range(0, len(ids[i, t]), 4096)):
+            part = ids[i, t][at : at + 4096]
+            want[i, k, at, len(part), zlib.crc32(part.tobytes())] += n
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pieces) == want
+    held = defaultdict(list)
+    for r in pieces:
+        held[r.sequence_id].append((r.offset, r.length))
+    for own in held.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    # No fewer sequences than the tokens need, and hardly more than first fit by decreasing length gives in one place.
+    bins = []
+    for length in sorted((p[3] for p in want.elements()), reverse=True):
+        k = next((k for k, b in enumerate(bins) if b + length <= 4096), None)
+        if k is None:
+            bins.append(length)
+        else:
+            bins[k] += length
+    assert -(-sum(p[3] for p in want.elements()) // 4096) <= len(held) <= len(bins) + 1
+
+
+def test_the_pipeline_leaves_nothing_but_its_stages(spark, labelled, tmp_path):
+    docs, labels = labelled
+    docs.selectExpr("*", "'en' AS lang", "1L AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    base = Path(shared_dir(spark)) / "evidentia"
+    before = set(base.iterdir()) if base.exists() else set()
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.where("length > 4096").count() == 0 and packed.count() > 0
-    assert exact_dedup(near).where("NOT kept").count() == 0
+    kept = [p for p in base.iterdir() if p not in before and (p / "_SUCCESS").exists()]
+    columns = [spark.read.parquet(str(p)).columns for p in kept]
+    assert sum("text" in c for c in columns) == 4 and all("text" in c or "pieces" in c for c in columns)
