@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -74,8 +75,12 @@ def test_capture_restarts_where_it_stopped(spark, tmp_path):
         for part in range(3):
             df.where(f"p >= {8 * part} AND p < {8 * part + 8}").repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
             stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-            query = capturing(stream, "k", "p", "r", control).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-            query.awaitTermination()
+            query = capturing(stream, "k", "p", "r", control).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+            # Timers keep a stream alive, so it is watched and not awaited.
+            until = time.monotonic() + 60
+            while time.monotonic() < until and sum(p["numInputRows"] for p in query.recentProgress) < 32:
+                time.sleep(0.5)
+            query.stop()
     finally:
         spark.conf.unset(provider)
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
