@@ -23,8 +23,11 @@ def test_all_orders_have_rows(spark, folder, name):
 
 
 def test_code_scores_are_of_all_parts(spark, tmp_path):
-    """Part 485 + k has the code of part k, which is known."""
-    parts = [(k + more, 7) for k in (1, 3, 5) for more in (0, 485)]
+    """Parts 118 and 201 have the codes of nations 3 and 1, and part 485 + k that of part k."""
+    parts = [(k + more, size) for k, size in ((118, 7), (201, 3)) for more in (0, 485)]
     spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    got = {r.p_partkey for r in REGISTERED["code_score_match"](spark, str(tmp_path)).collect()}
-    assert got == {k for k, _ in parts}
+    spark.createDataFrame([(1,), (3,)], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    best = {}
+    for r in REGISTERED["code_score_match"](spark, str(tmp_path)).collect():
+        best[r.p_partkey] = max(best.get(r.p_partkey, (0.0, "")), (r.score, r.code))
+    assert {k: c for k, (_, c) in best.items()} == {118: "21O07", 603: "21O07", 201: "07B03", 686: "07B03"}
