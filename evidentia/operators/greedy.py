@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.folders import written
+
 
 def _walk(df: DataFrame, key: list[str], order: list[Column], finished: Callable[[pa.Table, list[tuple]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
     """What `finished` makes of whole groups, a table of them and their rows' keys at a time, in a task's order."""
@@ -115,8 +117,7 @@ def in_runs(df: DataFrame, key: str, y: str, reach: Column, order: list[Column],
     w = Window.partitionBy(key).orderBy(*order)
     least = F.min("_r").over(w.rowsBetween(0, Window.unboundedFollowing))
     back = df.withColumn("_r", F.col(y) - reach).withColumn("_b", (least > F.lag(y).over(w)).cast("int")).withColumn("_run", F.sum(F.coalesce("_b", F.lit(0))).over(w)).drop("_r", "_b")
-    done = by_group(back, [key, "_run"], order, inputs, fn, added)
-    done = done.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else done
+    done = written(by_group(back, [key, "_run"], order, inputs, fn, added))
     many = done.groupBy(F.col(key).alias("_k"), F.col("_run").alias("_n")).agg((F.max(added.split()[0]) + 1).alias("_m"))
     start = many.withColumn("_s", F.sum("_m").over(Window.partitionBy("_k").orderBy("_n")) - F.col("_m"))
     name = added.split()[0]
@@ -250,12 +251,12 @@ def suppressed(df: DataFrame, key: str, order: list[Column], rule: Rule, most: i
     one, the first."""
     rank = Window.partitionBy(key, "_b").orderBy("_o")
     box = F.struct(*[c.alias(n) for n, c in rule.columns.items()])
-    by = F.struct(*order, *all_columns(df))
+    by = F.struct(*[c.alias(f"_{k}") for k, c in enumerate([*order, *all_columns(df)])])
     rows = df.withColumn("_b", box).withColumn("_o", by)
     # Rows without a place conflict with nothing.
     placeless = F.coalesce(*[F.when(F.col(f"_b.{n}").isNull(), F.lit(True)) for n in rule.columns], F.lit(False))
     rows = rows.withColumn("_n", F.row_number().over(rank)).where((F.col("_n") == 1) | placeless).drop("_n").withColumn("_free", placeless)
-    rows = _written(rows.withColumn("_id", F.monotonically_increasing_id()))
+    rows = written(rows.withColumn("_id", F.monotonically_increasing_id()))
     open_ = rows.where("NOT _free").select(key, "_id", "_o", "_b", rule.cells(F.col("_b")).alias("_cs"))
     stay = rows.where("_free").select("_id")
     while True:
@@ -263,7 +264,7 @@ def suppressed(df: DataFrame, key: str, order: list[Column], rule: Rule, most: i
         probes = open_.select(key, "_id", "_o", F.explode(F.array_distinct(rule.probes(F.col("_b")))).alias("_c"))
         met = probes.join(tops, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_q")))
         first = met.groupBy("_id").agg(F.min(F.col("_first")).alias("_m"), F.first("_o").alias("_own")).where(F.col("_m") >= F.col("_own")).select(F.col("_id").alias("_w"))
-        chosen = _written(open_.join(first, F.col("_id") == F.col("_w")).drop("_w"))
+        chosen = written(open_.join(first, F.col("_id") == F.col("_w")).drop("_w"))
         if chosen.isEmpty():
             break
         stay = stay.union(chosen.select("_id"))
@@ -271,17 +272,13 @@ def suppressed(df: DataFrame, key: str, order: list[Column], rule: Rule, most: i
         seen = left.select(key, "_id", "_b", F.explode(F.array_distinct(rule.probes(F.col("_b")))).alias("_c"))
         against = chosen.select(F.col(key).alias("_k"), F.explode("_cs").alias("_q"), F.col("_b").alias("_d"))
         gone = seen.join(against, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_q"))).where(rule.conflict(F.col("_d"), F.col("_b"))).select(F.col("_id").alias("_w")).distinct()
-        open_ = _written(left.join(gone, F.col("_id") == F.col("_w"), "left_anti"))
+        open_ = written(left.join(gone, F.col("_id") == F.col("_w"), "left_anti"))
     out = rows.join(stay.select(F.col("_id").alias("_w")), F.col("_id") == F.col("_w"), "left_semi")
     if most is not None:
         out = out.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_o"))).where(F.col("_n") <= most)
     return out.select(*df.columns)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
-
-
 def suppress_boxes(df: DataFrame, key: str, box: tuple[str, str, str, str], order: list[Column], cut: float, most: int | None = None) -> DataFrame:
     """(C7-C10) Boxes kept in the given order unless they overlap a kept one by more than `cut` (intersection over union)."""
 

@@ -9,15 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_space, or_empty
+from ..sources.folders import written
 
 MOST_DEPTH, MOST_NODES, MOST_ITEMS = 18, 50_000, 20_000  # levels below a root, nodes of a document, items of a collection
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Rounds are written where there is a folder for it, so that later ones do not work them out again."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
-
-
 def _limit(rows: DataFrame, message: str) -> None:
     """Raise if there is a row: (doc, node, n)."""
     if bad := rows.first():
@@ -34,8 +30,8 @@ def _resolved_trees(links: DataFrame, roots: DataFrame, depth: int) -> DataFrame
     while True:
         # Who ends at a root is done, and the others' upper ends move up as far again as they have come.
         above = done.union(up).select(F.col("doc").alias("d"), F.col("node").alias("n"), F.col("top").alias("t"), F.col("path").alias("p"))
-        joined = _cut(up.join(above, (F.col("doc") == F.col("d")) & (F.col("top") == F.col("n"))).select("doc", "node", F.col("t").alias("top"), F.concat("p", "path").alias("path")))
-        done = _cut(done.union(joined.where("top IS NULL")))
+        joined = written(up.join(above, (F.col("doc") == F.col("d")) & (F.col("top") == F.col("n"))).select("doc", "node", F.col("t").alias("top"), F.concat("p", "path").alias("path")))
+        done = written(done.union(joined.where("top IS NULL")))
         up, reach = joined.where("top IS NOT NULL"), 2 * reach
         if reach > depth or up.isEmpty():
             return done
@@ -55,7 +51,7 @@ def _resolved_graph(links: DataFrame, roots: DataFrame, depth: int) -> DataFrame
         step = F.struct("ord", "item", F.col("child").alias("node"), F.col("name").alias("name"))
         found = begin.union(on.select("doc", F.col("child").alias("node"), F.concat("p", F.array(step)).alias("path")))
         order = F.transform("path", lambda s: F.struct(s["ord"], s["item"]))
-        new = _cut(found.groupBy("doc", "node").agg(F.min_by("path", order).alias("path")))
+        new = written(found.groupBy("doc", "node").agg(F.min_by("path", order).alias("path")))
         old = best.select(F.col("doc").alias("d"), F.col("node").alias("n"), F.col("path").alias("p"))
         same = new.join(old, (F.col("doc") == F.col("d")) & (F.col("node") == F.col("n")) & (F.col("path") == F.col("p")), "left_anti")
         best = new

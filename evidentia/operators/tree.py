@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import written
+
 
 def _before(segment: str, pos: str) -> Window:
     return Window.partitionBy(segment).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
@@ -62,14 +64,13 @@ def nearest_ancestor(df: DataFrame, segment: str, pos: str, level: str, levels:
 
 
 def descendants(edges: DataFrame, child: str, parent: str, root: DataFrame, depth: int = 100) -> DataFrame:
-    """(J16, S11, S12, T9) (node, depth) reached from the nodes of root(node), breadth first; cycles end where a node is met again.
-    Nodes beyond `depth` are an error. With a checkpoint folder each round is written, so rounds are not worked out again."""
-    cut = (lambda d: d.checkpoint()) if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda d: d)
+    """(J16) (node, depth) reached from the nodes of root(node), breadth first; cycles end where a node is met again.
+    Nodes beyond `depth` are an error. Each round is written, so rounds are not worked out again."""
     seen = root.select("node").distinct().withColumn("depth", F.lit(0))
     front = seen
     for d in range(1, depth + 2):
         front = edges.join(front.select(F.col("node").alias("_p")), F.col(parent) == F.col("_p")).select(F.col(child).alias("node")).distinct()
-        front = cut(front.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
+        front = written(front.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             return seen
         if d > depth:

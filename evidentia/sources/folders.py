@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -20,6 +20,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/evidentia/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in that folder, so that rounds are not worked out again and a lost executor costs only its tasks."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_system(path: str):
     """(file system, path in it) of a path or URI."""
     from pyarrow import fs
