@@ -94,7 +94,7 @@ def similar_keys(left: DataFrame, right: DataFrame, within: str, key: str, cut:
     need = F.array(*[F.lit(shared_grams(n, cut)) for n in range(MOST_LENGTH + 1)])
     sides = [df.select(within, key).where(F.col(key).isNotNull()).distinct() for df in (left, right)]
     grams = [df.select(within, key, F.explode(_grams(F.col(key))).alias("g")) for df in sides]
-    often = grams[0].union(grams[1]).groupBy("g").agg(F.count(F.lit(1)).alias("n")).select(F.col("g").alias("_g"), "n")
+    often = written(grams[0].union(grams[1]).groupBy("g").agg(F.count(F.lit(1)).alias("n")).select(F.col("g").alias("_g"), "n"))  # a table has a true size
 
     def heads(df: DataFrame) -> DataFrame:
         rarest = df.join(often, F.col("g") == F.col("_g")).groupBy(within, key).agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
@@ -103,11 +103,15 @@ def similar_keys(left: DataFrame, right: DataFrame, within: str, key: str, cut:
         return rarest.select(within, key, F.explode(F.slice("gs", F.lit(1), F.greatest(F.lit(1), kept))).alias("x")).select(within, key, F.col("x.g").alias("g"))
 
     a, b = heads(grams[0]), heads(grams[1]).select(F.col(within).alias("_w"), F.col(key).alias("_k"), F.col("g").alias("_g"))
-    length_a, length_b = F.length(key), F.length("_k")
-    near = 2 * F.least(length_a, length_b) >= F.lit(cut - 1e-9) * (length_a + length_b)
-    met = a.join(b, (F.col(within) == F.col("_w")) & (F.col("g") == F.col("_g")) & near).select(within, key, F.col("_k").alias(f"{key}_b")).distinct()
-    alike = met.withColumn("ratio", similarity(F.col(key), F.col(f"{key}_b"))).where(F.col("ratio") >= cut)
-    short = sides[0].where(F.length(key) < 2).join(sides[1].where(F.length(key) < 2).select(F.col(within).alias("_w"), F.col(key).alias("_k")), (F.col(within) == F.col("_w")) & (F.col(key) == F.col("_k")))
+    total = F.length(key) + F.length("_k")
+    # The characters without a match are the insertions and deletions that make one key of the other, which are no fewer than its
+    # edits; so this loses no pair, and the ratio is left for few. It is worked out once a pair, in however many places it meets.
+    near = (2 * F.least(F.length(key), F.length("_k")) >= F.lit(cut - 1e-9) * total) & (F.levenshtein(key, "_k") <= F.lit(1 - cut + 1e-9) * total)
+    met = a.join(b.hint("merge"), (F.col(within) == F.col("_w")) & (F.col("g") == F.col("_g")) & near).select(within, key, F.col("_k").alias(f"{key}_b")).distinct()
+    met = written(met)
+    ratios = met.select(F.col(key).alias("_x"), F.col(f"{key}_b").alias("_y")).distinct().withColumn("ratio", similarity(F.col("_x"), F.col("_y")))
+    alike = met.join(ratios.hint("merge"), (F.col(key) == F.col("_x")) & (F.col(f"{key}_b") == F.col("_y"))).where(F.col("ratio") >= cut).select(within, key, f"{key}_b", "ratio")
+    short = sides[0].where(F.length(key) < 2).join(sides[1].where(F.length(key) < 2).select(F.col(within).alias("_w"), F.col(key).alias("_k")).hint("merge"), (F.col(within) == F.col("_w")) & (F.col(key) == F.col("_k")))
     return alike.union(short.select(within, key, F.col("_k"), F.lit(1.0)))
 
 
