@@ -121,8 +121,9 @@ def similar_pairs(left: DataFrame, right: DataFrame, level: str, key: str, cut:
     fit = lambda df: df.where(F.length(key) >= least)
     pairs = similar_keys(fit(left), fit(right), level, key, cut).select(F.col(level).alias("_l"), F.col(key).alias("_a"), F.col(f"{key}_b").alias("_b"), "ratio")
     b = fit(right).select(*[F.col(c).alias(f"{c}_b") for c in right.columns])
-    one = fit(left).join(pairs, (F.col(level) == F.col("_l")) & (F.col(key) == F.col("_a")))
-    return one.join(b, (F.col("_l") == F.col(f"{level}_b")) & (F.col("_b") == F.col(f"{key}_b"))).select(*left.columns, *b.columns, "ratio")
+    # Rows may be many more than their tables' sizes tell, so neither side goes to the driver.
+    one = fit(left).join(pairs.hint("merge"), (F.col(level) == F.col("_l")) & (F.col(key) == F.col("_a")))
+    return one.join(b.hint("merge"), (F.col("_l") == F.col(f"{level}_b")) & (F.col("_b") == F.col(f"{key}_b"))).select(*left.columns, *b.columns, "ratio")
 
 
 def anchor_votes(df: DataFrame, key: str, frame: str, level: str, label: str, conf: str, top: str, cut: float = 0.86, sure: float = 48.0, shift: int = 10) -> DataFrame:
