@@ -67,17 +67,29 @@ def wall_sets(df: DataFrame, key: str, wall: tuple[str, str, str, str, str], lea
     `least` walls or under 8 high go. Of sets whose bounds differ by less than 3 on average the first in order of score stays."""
 
     def run(rows: list[tuple]) -> list[tuple]:
-        bunches: list[list[tuple]] = []
-        for r in rows:
-            home = next((b for b in bunches if abs(r[0] - mean(w[0] for w in b)) <= ONE_WALL and abs(r[1] - mean(w[1] for w in b)) <= ONE_ROW), None)
+        # Rows come from left to right, so a bunch whose mean is left of a row's reach gets no more rows. Equal rows, which are
+        # neighbours in this order, are in one bunch: they come once, with their number. [longest, sum x, sum y, rows, means]
+        bunches: list[list] = []
+        near: list[list] = []
+        for *r, times in rows:
+            near = [b for b in near if r[0] - b[4] <= ONE_WALL]
+            home = next((b for b in near if abs(r[0] - b[4]) <= ONE_WALL and abs(r[1] - b[5]) <= ONE_ROW), None)
             if home is None:
-                bunches.append(home := [])
-            home.append(r)
-        walls = [max(b, key=lambda w: w[2]) for b in bunches]
+                bunches.append(home := [r, Fraction(0), Fraction(0), 0, 0.0, 0.0])
+                near.append(home)
+            if r[2] > home[0][2]:
+                home[0] = r
+            home[1], home[2], home[3] = home[1] + Fraction(r[0]) * times, home[2] + Fraction(r[1]) * times, home[3] + times
+            home[4], home[5] = float(home[1] / home[3]), float(home[2] / home[3])
+        walls = [b[0] for b in bunches]
+        walls = [walls[k] for k in np.argsort([w[0] for w in walls], kind="stable")]
+        middle, long = (np.array([w[c] for w in walls], np.float64) for c in (1, 2))
         found = []
-        for seed in walls:
-            like = sorted((w for w in walls if 0.70 <= w[2] / seed[2] <= 1.42 and abs(w[1] - seed[1]) <= max(3.5, 0.22 * seed[2])), key=lambda w: w[0])
-            taken: list[tuple] = []
+        for first in bunches:
+            seed = first[0]
+            share = long / seed[2]
+            like = [walls[k] for k in np.flatnonzero((share >= 0.70) & (share <= 1.42) & (np.abs(middle - seed[1]) <= max(3.5, 0.22 * seed[2])))]
+            taken: list[list] = []
             for w in like:
                 if not taken or w[0] - taken[-1][0] > APART:
                     taken.append(w)
@@ -91,11 +103,15 @@ def wall_sets(df: DataFrame, key: str, wall: tuple[str, str, str, str, str], lea
             found.append((median(w[2] for w in taken) + 1.55 * min(len(xs), 7) + fit, xs, y1, y2))
         sets: list[tuple] = []
         for score, xs, y1, y2 in sorted(found, key=lambda f: -f[0]):
+            if len(sets) == most:
+                break
             if not any(len(xs) == len(s[0]) and mean(abs(a - b) for a, b in zip(xs, s[0], strict=True)) < SAME_SET for s in sets):
                 sets.append((xs, y1, y2, y2 - y1, score))
-        return sets[:most]
+        return sets
 
-    return per_group(df.where(F.col(wall[2]) > 0), key, all_columns(df, wall[0]), list(wall), run, "bounds array<double>, y1 double, y2 double, height double, score double")
+    # Walls that are equal in all columns come as one, with their number.
+    each = df.where(F.col(wall[2]) > 0).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    return per_group(each, key, all_columns(df, wall[0]), [*wall, "_n"], run, "bounds array<double>, y1 double, y2 double, height double, score double")
 
 
 def wall_windows(walls: DataFrame, key: str, x: str, size: int, fits: Callable[[Sequence[Column]], Column], worth: Callable[[Sequence[Column]], Sequence[Column]], most: int = 1) -> DataFrame:
