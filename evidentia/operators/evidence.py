@@ -141,16 +141,19 @@ def complete_fragments(df: DataFrame, known: DataFrame, key: str, text: str, cod
     Known codes of other lengths than five take no part."""
     compact = F.regexp_replace(F.upper(F.coalesce(F.col(text), F.lit(""))), "[^A-Z0-9]", "")
     cut = F.when(F.length(compact) >= 4, F.transform(F.sequence(F.lit(1), F.length(compact) - 3), lambda i: F.substring(compact, i, F.lit(4))))
-    pairs = df.select(key, F.posexplode(cut).alias("_i", "_f")).join(small(known.where(F.length(code) == 5).select(code).distinct()))
+    spots = df.select(key, F.posexplode(cut).alias("_i", "_f")).groupBy(key, "_i").agg(F.array_sort(F.collect_set("_f")).alias("_fs"))
+    # What stands at a place is compared with the codes once, however many keys have it.
+    pairs = spots.select("_fs").distinct().select("_fs", F.explode("_fs").alias("_f")).join(small(known.where(F.length(code) == 5).select(code).distinct()))
 
     def fit(lost_first: bool) -> Column:
         cost = window_cost(F.col("_f"), F.col(code), 2 if lost_first else 1, FIRST_LOST if lost_first else LAST_LOST)
         return F.round(F.greatest(F.lit(0.0), 1.0 - cost / FRAGMENT_WORST), 9)
 
-    fair = pairs.withColumn("_s", F.greatest(fit(True), fit(False))).where("_s >= 0.78").groupBy(key, "_i", code).agg(F.max("_s").alias("_s"))
-    top = fair.groupBy(key, "_i").agg(F.max(F.struct("_s", code)).alias("_b"), F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list("_s"), asc=False).alias("_all"))
+    fair = pairs.withColumn("_s", F.greatest(fit(True), fit(False))).where("_s >= 0.78").groupBy("_fs", code).agg(F.max("_s").alias("_s"))
+    top = fair.groupBy("_fs").agg(F.max(F.struct("_s", code)).alias("_b"), F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list("_s"), asc=False).alias("_all"))
     clear = (F.col("_b._s") >= 0.82) & ((F.col("_n") == 1) | (F.round(F.col("_b._s") - F.get("_all", F.lit(1)), 9) >= 0.18))
-    best = top.where(clear).groupBy(key).agg(F.min(F.struct((-F.col("_b._s")).alias("s"), "_i", F.col(f"_b.{code}").alias("c"))).alias("m"))
+    found = spots.join(top.where(clear).select(F.col("_fs").alias("_g"), "_b"), F.col("_fs") == F.col("_g"))
+    best = found.groupBy(key).agg(F.min(F.struct((-F.col("_b._s")).alias("s"), "_i", F.col(f"_b.{code}").alias("c"))).alias("m"))
     return best.select(key, F.col("m.c").alias(code), (-F.col("m.s")).alias("score"))
 
 
