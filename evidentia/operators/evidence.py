@@ -87,7 +87,10 @@ def standard_tolerance(df: DataFrame, key: str, pos: str, text: str, code: str,
     """(A21) (key, value, confidence) by vote over a key's readings in order of pos and then text, the first weighing 1 and others 0.85: numbers
     in a cell before the cell of A (1.45), decimals anywhere (1.12), and of a line with an A cell the last small whole
     number before it, codes blanked (0.82). A decimal gains 0.45 of its own whole part. Of equal sums the earliest wins."""
-    plain = df.select(key, pos, F.col(code).alias("_c"), plain_number(F.col(text)).alias("_s"), F.col(text).alias("_t"), F.when(F.row_number().over(Window.partitionBy(key).orderBy(pos, text)) == 1, 1.0).otherwise(0.85).alias("_w"))
+    # A reading's number in its key stands for its place and text from here on, so votes and sums are numbers only, which
+    # partial sums and a hash table hold; what is read off a text is worked out after its rows are sorted, and not moved.
+    ranked = df.select(key, F.col(code).alias("_c"), F.col(text).alias("_t"), F.row_number().over(Window.partitionBy(key).orderBy(pos, text)).alias("_n"))
+    plain = ranked.select(key, "_c", "_n", plain_number(F.col("_t")).alias("_s"), F.when(F.col("_n") == 1, 1.0).otherwise(0.85).alias("_w"))
     cells = F.transform(F.regexp_extract_all("_s", F.lit(r"(?i)[|/\\)\]\[}>-]\s*([0-9IL]{1,2}(?:\.[0-9]{1,2})?)\s*[|/\\)\]\[}>-]+\s*A"), F.lit(1)), lambda t: F.translate(t, "IL", "11"))
     decimals = F.regexp_extract_all("_s", F.lit(DECIMAL), F.lit(1))
 
@@ -99,8 +102,8 @@ def standard_tolerance(df: DataFrame, key: str, pos: str, text: str, code: str,
     lines = F.split(F.translate(_without_code(F.col("_s"), F.col("_c")), "IL", "11"), "\n")
     wholes = F.array_compact(F.transform(lines, last_whole))
     votes = F.concat(_numbers(cells, F.col("_w") * 1.45), _numbers(decimals, F.col("_w") * 1.12), _numbers(wholes, F.col("_w") * 0.82))
-    each = plain.select(key, pos, "_t", F.posexplode(votes).alias("_i", "_v")).select(key, F.struct(pos, "_t", "_i").alias("_o"), "_v.*").where((F.col("v") > 0) & (F.col("v") <= most))
-    sums = each.groupBy(key, "v").agg(F.sum("w").alias("w"), F.min("_o").alias("o"))
+    each = plain.select(key, "_n", F.posexplode(votes).alias("_i", "_v")).select(key, F.shiftleft(F.col("_n").cast("long"), 32).bitwiseOR(F.col("_i").cast("long")).alias("o"), "_v.*")
+    sums = each.where((F.col("v") > 0) & (F.col("v") <= most)).groupBy(key, "v").agg(F.sum("w").alias("w"), F.min("o").alias("o"))
     by = Window.partitionBy(key, F.floor("v"))
     whole = F.max(F.when(F.col("v") % 1 == 0, F.col("w"))).over(by)
     total = F.round(F.col("w") + F.when(F.col("v") % 1 != 0, F.coalesce(whole, F.lit(0.0)) * 0.45).otherwise(0.0), 9)
