@@ -185,7 +185,8 @@ def _middle(values: list[float]) -> float:
 @dataclass(frozen=True)
 class Rule:
     """When two boxes cannot both stay. `conflict` says so of two structs of `columns`; cells(b) are the cells (arrays of whole numbers)
-    that a box stands in, and probes(b) those in which it finds all boxes that it may conflict with, and itself."""
+    that a box stands in, one each, and probes(b) those in which it finds all boxes that it may conflict with, and itself: boxes
+    of one cell have the same probes, so what a cell's first box finds goes for all of them."""
 
     columns: dict[str, Column]
     conflict: Callable[[Column, Column], Column]
@@ -247,8 +248,8 @@ def suppressed(df: DataFrame, key: str, order: list[Column], rule: Rule, most: i
     stays conflicts with it; with `most`, that many first ones of each group.
 
     Rounds over the cluster, no group in one task: a row that comes first of all open rows in the cells around it stays, and what it
-    conflicts with goes. Of rows that stay, few share a cell, so rounds cost in proportion to the open rows. Equal boxes are
-    one, the first."""
+    conflicts with goes. Only the first row of a cell and rows that stay are told to the cells around, and of these few share a
+    cell, so rounds cost in proportion to the open rows. Equal boxes are one, the first."""
     rank = Window.partitionBy(key, "_b").orderBy("_o")
     box = F.struct(*[c.alias(n) for n, c in rule.columns.items()])
     by = F.struct(*[c.alias(f"_{k}") for k, c in enumerate([*order, *all_columns(df)])])
@@ -259,21 +260,21 @@ def suppressed(df: DataFrame, key: str, order: list[Column], rule: Rule, most: i
     rows = written(rows.withColumn("_id", F.monotonically_increasing_id()))
     open_ = rows.where("NOT _free").select(key, "_id", "_o", "_b", rule.cells(F.col("_b")).alias("_cs"))
     stay = rows.where("_free").select("_id")
+    # Cells and probes are many more than the tables' sizes tell, so no side of these joins goes to the driver.
     while True:
-        tops = open_.withColumn("_c", F.explode("_cs")).groupBy(F.col(key).alias("_k"), F.col("_c").alias("_q")).agg(F.min("_o").alias("_first"))
-        probes = open_.select(key, "_id", "_o", F.explode(F.array_distinct(rule.probes(F.col("_b")))).alias("_c"))
-        met = probes.join(tops, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_q")))
-        first = met.groupBy("_id").agg(F.min(F.col("_first")).alias("_m"), F.first("_o").alias("_own")).where(F.col("_m") >= F.col("_own")).select(F.col("_id").alias("_w"))
-        chosen = written(open_.join(first, F.col("_id") == F.col("_w")).drop("_w"))
+        tops = open_.withColumn("_c", F.explode("_cs")).groupBy(key, "_c").agg(F.min(F.struct("_o", "_b")).alias("_t"))
+        around = tops.select(F.col(key).alias("_k"), F.col("_t._o").alias("_first"), F.explode(F.array_distinct(rule.probes(F.col("_t._b")))).alias("_q")).groupBy("_k", "_q").agg(F.min("_first").alias("_first"))
+        own = open_.withColumn("_c", F.explode("_cs")).join(around.hint("merge"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_q")))
+        chosen = written(own.where(F.col("_first") >= F.col("_o")).select(*open_.columns))
         if chosen.isEmpty():
             break
         stay = stay.union(chosen.select("_id"))
-        left = open_.join(chosen.select(F.col("_id").alias("_w")), F.col("_id") == F.col("_w"), "left_anti")
-        seen = left.select(key, "_id", "_b", F.explode(F.array_distinct(rule.probes(F.col("_b")))).alias("_c"))
-        against = chosen.select(F.col(key).alias("_k"), F.explode("_cs").alias("_q"), F.col("_b").alias("_d"))
-        gone = seen.join(against, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_q"))).where(rule.conflict(F.col("_d"), F.col("_b"))).select(F.col("_id").alias("_w")).distinct()
-        open_ = written(left.join(gone, F.col("_id") == F.col("_w"), "left_anti"))
-    out = rows.join(stay.select(F.col("_id").alias("_w")), F.col("_id") == F.col("_w"), "left_semi")
+        left = open_.join(chosen.select(F.col("_id").alias("_w")).hint("merge"), F.col("_id") == F.col("_w"), "left_anti")
+        against = chosen.select(F.col(key).alias("_k"), F.explode(F.array_distinct(rule.probes(F.col("_b")))).alias("_q"), F.col("_b").alias("_d"))
+        seen = left.select(key, "_id", "_b", F.explode("_cs").alias("_c"))
+        gone = seen.join(against.hint("merge"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_q"))).where(rule.conflict(F.col("_d"), F.col("_b"))).select(F.col("_id").alias("_w")).distinct()
+        open_ = written(left.join(gone.hint("merge"), F.col("_id") == F.col("_w"), "left_anti"))
+    out = rows.join(stay.select(F.col("_id").alias("_w")).hint("merge"), F.col("_id") == F.col("_w"), "left_semi")
     if most is not None:
         out = out.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_o"))).where(F.col("_n") <= most)
     return out.select(*df.columns)
