@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from itertools import combinations
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import label_key, similarity
+from ..sources.folders import written
 
 MOST_KNOWN = 10_000  # rows of a dictionary that is compared with every reading; more are an error
 
@@ -186,21 +189,63 @@ def window_cost(window: Column, code: Column, first: Column | int, lost: Column
     return F.aggregate(each, F.lit(0.0), lambda s, c: s + c) + lost
 
 
+def _close_places(length: int) -> list[tuple[int, ...]]:
+    """Choices of a code's places (from 1), of which a window of this length must be close in one to cost less than WORST: closer
+    than OTHER_DIGIT, that is equal or a look-alike. A window of four stands for the last four places."""
+    first, lost = (1, 0.0) if length == 5 else (2, LOST_ZERO)
+    far = ceil((WORST - lost) / OTHER_DIGIT - 1e-9) - 1
+    return list(combinations(range(first, 6), length - far))
+
+
+def _close_codes(windows: DataFrame, known: DataFrame, window: str, code: str) -> DataFrame:
+    """(window, code) of all pairs that may cost less than WORST, some more than once: by the characters of the places in which they
+    are close, so it is an equi-join whatever the sizes. A code meets windows of four only if it begins with a zero."""
+    looks = {letter: {} for letter in (False, True)}
+    for letter, table in ((False, DIGIT_COST), (True, LETTER_COST)):
+        for observed, expected, _ in table:
+            looks[letter].setdefault(observed, []).append(expected)
+    meant = {letter: F.create_map(*[x for o, e in of.items() for x in (F.lit(o), F.array(*[F.lit(c) for c in e]))]) for letter, of in looks.items()}
+    name = lambda places: "".join(map(str, places)) + ":"
+
+    def stands(place: int, first: int) -> Column:
+        c = F.substring(window, place - first + 1, 1)
+        return F.concat(F.array(c), F.coalesce(F.try_element_at(meant[place - 1 == LETTER_PLACE], c), F.array().cast("array<string>")))
+
+    def longer(heads: Column, more: Column) -> Column:
+        return F.flatten(F.transform(heads, lambda head: F.transform(more, lambda c: F.concat(head, c))))
+
+    def of_window(places: tuple[int, ...], first: int) -> Column:
+        return reduce(longer, [stands(p, first) for p in places], F.array(F.lit(name(places))))
+
+    of_code = lambda places: F.concat(F.lit(name(places)), *[F.substring(code, p, 1) for p in places])
+    asked = {n: F.flatten(F.array(*[of_window(p, 6 - n) for p in _close_places(n)])) for n in (4, 5)}
+    w = windows.select(window, F.explode(F.when(F.length(window) == 5, asked[5]).otherwise(asked[4])).alias("_k"))
+    held = {n: F.array(*[of_code(p) for p in _close_places(n)]) for n in (4, 5)}
+    c = known.select(code, F.explode(F.when(F.startswith(F.col(code), F.lit("0")), F.concat(held[5], held[4])).otherwise(held[5])).alias("_c"))
+    return w.join(c.hint("merge"), F.col("_k") == F.col("_c")).select(window, code)
+
+
 def code_scores(readings: DataFrame, known: DataFrame, key: str, text: str, code: str = "code") -> DataFrame:
     """(J12, A9) (key, code, score): windows of five and (a zero lost) four characters of each reading against every known code; the
-    least cost gives a reading's score, and two good readings a little more. Each window that occurs is compared once, however
-    many readings have it. The known list is small by contract: readings times codes are the result."""
+    least cost gives a reading's score, and two good readings a little more. Each text is compared once, however many readings
+    have it, and only with the codes it can score with, so dictionaries may be of any size. Keys with the same readings are
+    scored once: readings times the codes they resemble are the result."""
     compact = F.regexp_replace(F.upper(F.coalesce(F.col(text), F.lit(""))), "[^A-Z0-9|]", "")
     cut = lambda n: F.when(F.length("_s") >= n, F.transform(F.sequence(F.lit(1), F.length("_s") - (n - 1)), lambda i: F.substring("_s", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    each = readings.groupBy(key, compact.alias("_s")).agg(F.count(F.lit(1)).alias("times")).select(key, "_s", "times", F.explode(F.array_distinct(F.concat(cut(5), cut(4)))).alias("w"))
-    pairs = each.select("w").distinct().join(small(known.select(code).distinct()), (F.length("w") == 5) | F.startswith(F.col(code), F.lit("0")))
+    each = readings.groupBy(key, compact.alias("_s")).agg(F.count(F.lit(1)).alias("times"))
+    own = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_s", "times"))).alias("_r"))
+    sets = own.select("_r").distinct().select("_r", F.explode("_r").alias("_x")).select("_r", F.col("_x._s").alias("_s"), F.col("_x.times").alias("times"))
+    parts = sets.select("_s").distinct().select("_s", F.explode(F.array_distinct(F.concat(cut(5), cut(4)))).alias("w"))
+    pairs = _close_codes(parts.select("w").distinct(), known.select(code).distinct(), "w", code)
     short = F.length("w") == 4
     cost = window_cost(F.col("w"), F.col(code), F.when(short, 2).otherwise(1), F.when(short, LOST_ZERO).otherwise(0.0))
     # What costs as much as a code that shares nothing scores nothing, with whatever window.
-    scored = pairs.select(F.col("w").alias("_w"), code, cost.alias("cost")).where(F.col("cost") < WORST)
-    one = each.join(scored, F.col("w") == F.col("_w")).groupBy(key, "_s", "times", code).agg(F.min("cost").alias("cost")).withColumn("score", F.greatest(F.lit(0.0), 1.0 - F.col("cost") / WORST))
-    total = one.groupBy(key, code).agg(F.max("score").alias("_b"), F.sum(F.when(F.col("score") >= 0.72, F.col("times")).otherwise(0)).alias("_n"))
-    return total.select(key, code, F.round(F.when(F.col("_n") >= 2, F.least(F.lit(1.0), F.col("_b") + 0.06)).otherwise(F.col("_b")), 9).alias("score")).where("score > 0")
+    scored = pairs.distinct().select(F.col("w").alias("_w"), code, cost.alias("cost")).where(F.col("cost") < WORST)
+    one = parts.join(scored.hint("merge"), F.col("w") == F.col("_w")).groupBy(F.col("_s").alias("_t"), code).agg(F.min("cost").alias("cost")).withColumn("score", F.greatest(F.lit(0.0), 1.0 - F.col("cost") / WORST))
+    many = sets.join(one.hint("merge"), F.col("_s") == F.col("_t"))
+    total = many.groupBy("_r", code).agg(F.max("score").alias("_b"), F.sum(F.when(F.col("score") >= 0.72, F.col("times")).otherwise(0)).alias("_n"))
+    total = total.select(F.col("_r").alias("_q"), code, F.round(F.when(F.col("_n") >= 2, F.least(F.lit(1.0), F.col("_b") + 0.06)).otherwise(F.col("_b")), 9).alias("score")).where("score > 0")
+    return own.join(total.hint("merge"), F.col("_r") == F.col("_q")).select(key, code, "score")
 
 
 def lookup_enum(df: DataFrame, x: Column, exact: dict[str, str], fragments: Sequence[tuple[str, str]], out: str = "symbol") -> DataFrame:

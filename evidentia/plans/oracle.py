@@ -1,7 +1,6 @@
 """DuckDB equivalents of the registered queries, written independently of them."""
 
 from . import oracle_evidence, oracle_scans
-from .oracle_scans import DICTIONARY
 
 _OBS = "(SELECT user_id, floor(value) / 2 AS v, (event_id % 100) / 100.0::DOUBLE AS conf, event_id AS pos FROM events)"
 _TALK = "(SELECT conv_id, turn, role, ((conv_id * 7 + turn * 3) % 5)::INT AS level FROM conversations)"
@@ -146,7 +145,7 @@ SELECT sha256('(''1'', ''' || n || ''', ' || array_to_string(list_transform(s, l
     "angles_and_boxes": f"""WITH o AS (SELECT {_ID}, l_quantity * 13 AS a, l_linenumber * 29.0::DOUBLE AS b FROM lineitem),
 i AS (SELECT *, greatest(0, 40 - abs(a % 50 - b % 50)) * 20 AS inter FROM o)
 SELECT {_ID}, least(abs(a - b) % 180, 180 - abs(a - b) % 180) AS difference, (a + 90) % 180 - 90 AS normal, round(inter / (2400 - inter), 6) AS iou FROM i""",
-    "code_score_match": f"""WITH RECURSIVE n AS {_NOISY}, known AS {DICTIONARY},
+    "code_score_match": f"""WITH RECURSIVE n AS {_NOISY}, known AS (SELECT DISTINCT code FROM n),
 s AS (SELECT p_partkey, regexp_replace(upper(txt), '[^A-Z0-9|]', '', 'g') AS s FROM n),
 w AS (SELECT p_partkey, substr(s, i, 5) AS w, 0 AS lost FROM s, unnest(range(1, len(s) - 3)) AS x(i) UNION ALL SELECT p_partkey, substr(s, i, 4), 1 FROM s, unnest(range(1, len(s) - 2)) AS x(i)),
 c(o, e, letter, cost) AS (VALUES ('O','0',false,0.12),('Q','0',false,0.18),('D','0',false,0.30),('I','1',false,0.12),('L','1',false,0.18),('|','1',false,0.18),('T','1',false,0.35),('P','2',false,0.35),
