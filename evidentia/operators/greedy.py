@@ -104,6 +104,36 @@ def per_group(df: DataFrame, key: str, order: list[Column], inputs: list[str], f
     return _walk(df, [key], order, finished, ddl)
 
 
+def whole_groups(df: DataFrame, key: str, order: list[Column], fn: Callable[[pa.Table], pa.Table | None], ddl: str) -> DataFrame:
+    """The rows of `ddl` that fn makes of each group's table of rows in order. Rows stay in Arrow columns, a group at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.Table] = []  # the pieces of the group that is still open
+        last = None
+
+        def held() -> Iterator[pa.RecordBatch]:
+            if rest and (made := fn(pa.concat_tables(rest))) is not None:
+                yield from made.to_batches()
+            rest.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(batch.schema.get_field_index(key)).dictionary_encode(null_encoding="encode")
+            codes = keys.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            t = pa.Table.from_batches([batch])
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                own = keys.dictionary[int(codes[i])].as_py()
+                if own != last:
+                    yield from held()
+                rest.append(t.slice(i, j - i))
+                last = own
+        yield from held()
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, ddl)
+
+
 def all_columns(df: DataFrame, *first: str) -> list[Column]:
     """An order by some columns and then by all others that can be compared."""
     return [F.col(c) for c in first] + [F.col(f.name) for f in df.schema if f.name not in first and not isinstance(f.dataType, (T.MapType, T.VariantType))]

@@ -20,6 +20,12 @@ from .greedy import all_columns, by_group, per_group
 TURN, ACROSS, ACROSS_SHARE, ALONG, SAME = 5.0, 16.0, 0.60, 330.0, 45.0
 
 
+def _mean(v: np.ndarray) -> float:
+    """The exact mean, rounded once. Places repeat, so each is taken once, as often as it occurs."""
+    values, times = np.unique(v, return_counts=True)
+    return float(sum((Fraction(a) * b for a, b in zip(values.tolist(), times.tolist(), strict=True)), Fraction(0)) / len(v))
+
+
 def _turn(a: float, b: float) -> float:
     d = abs(a - b) % 180
     return min(d, 180 - d)
@@ -31,28 +37,29 @@ def collinear_groups(df: DataFrame, key: str, cell: tuple[str, str, str, str, st
     one angle the larger stays, and its cells with it; groups are numbered from 0 in reading order of their centres. Of cells
     of one area the first by all columns seeds."""
 
-    def run(rows: list[tuple]) -> list:
-        free, groups = list(range(len(rows))), []
-        while free:
-            x, y, _, h, t, _ = rows[free[0]]
-            ux, uy = cos(radians(t)), sin(radians(t))
-
-            def in_line(k: int, x=x, y=y, h=h, t=t, ux=ux, uy=uy) -> bool:
-                dx, dy = rows[k][0] - x, rows[k][1] - y
-                return _turn(t, rows[k][4]) <= TURN and abs(dy * ux - dx * uy) <= max(ACROSS, ACROSS_SHARE * max(h, rows[k][3])) and abs(dx * ux + dy * uy) <= ALONG
-
-            own = [k for k in free if k == free[0] or in_line(k)]
-            groups.append(own)
-            free = sorted(set(free) - set(own))
-        seen: list[tuple[float, float, float, list[int]]] = []
-        for own in sorted(groups, key=lambda g: -sum(rows[k][5] for k in g)):
-            cy, cx, t = mean(rows[k][1] for k in own), mean(rows[k][0] for k in own), median(rows[k][4] for k in own)
-            if not any(hypot(cx - px, cy - py) < SAME and _turn(t, pt) < TURN for py, px, pt, _ in seen):
-                seen.append((cy, cx, t, own))
-        number = {k: n for n, (_, _, _, own) in enumerate(sorted(seen, key=lambda s: s[:2])) for k in own}
-        return [(number[k],) if k in number else None for k in range(len(rows))]
-
-    return by_group(df, [key], [F.col(area).desc(), *all_columns(df)], [*cell, area], run, "group int")
+    def run(table: pa.Table) -> pa.Table | None:
+        x, y, _, h, t, size = (table.column(c).cast(pa.float64()).to_numpy() for c in (*cell, area))
+        free, groups = np.arange(len(x)), []
+        while len(free):
+            k = free[0]
+            ux, uy = cos(radians(t[k])), sin(radians(t[k]))
+            dx, dy, turn = x[free] - x[k], y[free] - y[k], np.abs(t[free] - t[k]) % 180
+            near = (np.minimum(turn, 180 - turn) <= TURN) & (np.abs(dy * ux - dx * uy) <= np.maximum(ACROSS, ACROSS_SHARE * np.maximum(h[k], h[free]))) & (np.abs(dx * ux + dy * uy) <= ALONG)
+            near[0] = True
+            groups.append(free[near])
+            free = free[~near]
+        seen: list[tuple[float, float, float, np.ndarray]] = []
+        for own in sorted(groups, key=lambda g: -sum(size[g].tolist())):
+            cy, cx, turn = _mean(y[own]), _mean(x[own]), float(np.median(t[own]))
+            if not any(hypot(cx - px, cy - py) < SAME and _turn(turn, pt) < TURN for py, px, pt, _ in seen):
+                seen.append((cy, cx, turn, own))
+        number = np.full(len(x), -1, np.int32)
+        for n, (_, _, _, own) in enumerate(sorted(seen, key=lambda s: s[:2])):
+            number[own] = n
+        return table.append_column("group", pa.array(number)).filter(pa.array(number >= 0))
+
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["group int"])
+    return whole_groups(df, key, [F.col(area).desc(), *all_columns(df)], run, ddl)
 
 
 #: Fixed values of C6.
