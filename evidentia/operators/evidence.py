@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions import text as X
 from ..functions.text import KEYWORDS, fold_key, or_empty, plain_number, plain_upper, plausibility
+from ..sources.folders import written
 from .match import LOST_ZERO, WORST, small, window_cost
 
 FRAGMENT_WORST, FIRST_LOST, LAST_LOST = 2.2, 0.12, 0.14  # fixed values of T6
@@ -174,15 +175,28 @@ def locate_code(df: DataFrame, key: str, line: str, code: str, text: str, box: t
     code (0.99 at least where it holds it), and the box around it. Of equal runs the first line's, the shortest, the leftmost."""
     left, top, width, height = box
     w = Window.partitionBy(key, line).orderBy(left, top, text)
-    item = F.struct(F.col(text).alias("t"), F.col(left).alias("x"), F.col(top).alias("y"), (F.col(left) + F.col(width)).alias("r"), (F.col(top) + F.col(height)).alias("b"))
-    runs = df.select(key, line, code, F.row_number().over(w).alias("_i"), F.collect_list(item).over(w.rowsBetween(0, words - 1)).alias("_r"))
-    each = runs.select(key, line, code, "_i", "_r", F.explode(F.sequence(F.lit(1), F.size("_r"))).alias("_n")).withColumn("_r", F.slice("_r", F.lit(1), F.col("_n")))
-    joined = F.array_join(F.transform("_r", lambda t: t["t"]), "")
-    holds = F.regexp_replace(F.upper(joined), "[^A-Z0-9|]", "").contains(F.col(code))
-    each = each.withColumn("_s", F.greatest(code_score(joined, F.col(code)), F.when(holds, 0.99).otherwise(0.0))).where("_s > 0")
-    best = each.groupBy(key).agg(F.min(F.struct((-F.col("_s")).alias("s"), line, "_n", "_i", F.col("_r").alias("r"))).alias("m"))
-    edge = lambda of, c: of(F.transform("m.r", lambda t: t[c]))
-    return best.select(key, (-F.col("m.s")).alias("score"), edge(F.array_min, "x").alias("left"), edge(F.array_min, "y").alias("top"), edge(F.array_max, "r").alias("right"), edge(F.array_max, "b").alias("bottom"))
+    item = F.struct(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(left).alias("x"), F.col(top).alias("y"), (F.col(left) + F.col(width)).alias("r"), (F.col(top) + F.col(height)).alias("b"))
+    names = [f"_w{k}" for k in range(words)]
+    # All of a key go to one task, which sorts them once for its lines and for the choice.
+    rows = df.repartition(key).select(key, line, code, F.row_number().over(w).alias("_i"), item.alias(names[0]), *[F.lead(item, k).over(w).alias(names[k]) for k in range(1, words)])
+
+    def run(n: int) -> Column:
+        """The first n words from here on, if the line has as many: what they read and the box around them."""
+        own = [F.col(c) for c in names[:n]]
+        edge = lambda of, c: of(*[v[c] for v in own]) if n > 1 else own[0][c]
+        box = F.struct(edge(F.least, "x").alias("left"), edge(F.least, "y").alias("top"), edge(F.greatest, "r").alias("right"), edge(F.greatest, "b").alias("bottom"))
+        return F.when(own[-1].isNotNull(), F.struct(F.lit(n).alias("n"), F.concat(*[v["t"] for v in own]).alias("j"), box.alias("b")))
+
+    each = rows.select(key, line, code, "_i", F.explode(F.array_compact(F.array(*[run(n) for n in range(1, words + 1)]))).alias("_r"))
+    each = each.select(key, line, code, "_i", F.col("_r.n").alias("_n"), F.col("_r.j").alias("_j"), F.col("_r.b").alias("_b"))
+    holds = F.regexp_replace(F.upper("_j"), "[^A-Z0-9|]", "").contains(F.col(code))
+    # What runs read is compared with a code once, however many read it. As a table the answers have a true size, by which Spark
+    # joins them without moving the runs where they are few.
+    read = each.select("_j", code).where(F.col(code).isNotNull()).distinct().withColumn("_s", F.greatest(code_score(F.col("_j"), F.col(code)), F.when(holds, 0.99).otherwise(0.0)))
+    read = written(read.select(F.col("_j").alias("_k"), F.col(code).alias("_c"), "_s"))
+    each = each.join(read.where("_s > 0"), (F.col("_j") == F.col("_k")) & (F.col(code) == F.col("_c")))
+    best = each.groupBy(key).agg(F.min(F.struct((-F.col("_s")).alias("s"), line, "_n", "_i", F.col("_b").alias("b"))).alias("m"))
+    return best.select(key, (-F.col("m.s")).alias("score"), "m.b.*")
 
 
 def register(df: DataFrame, before: str, after: str, least: int, overlap: int, apart: int = 10, cut: float = 0.22, margin: float = 0.015) -> DataFrame:
