@@ -15,6 +15,8 @@ import re
 from bisect import insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

@@ -6,6 +6,7 @@ A picture's cells and walls are few, so a task walks picture after picture (`gre
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from fractions import Fraction
 from math import cos, hypot, radians, sin
 from statistics import mean, median
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .greedy import all_columns, by_group, per_group
+from .greedy import all_columns, per_group, whole_groups
 
 #: Fixed values of C4: degrees between cells of a group, least distance across and greatest along their line, distance of groups that are one.
 TURN, ACROSS, ACROSS_SHARE, ALONG, SAME = 5.0, 16.0, 0.60, 330.0, 45.0
