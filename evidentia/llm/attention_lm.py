@@ -7,8 +7,8 @@ each symbol is scored once with 16 to 31 symbols of context. The output is a cla
 has its share of the learnt ones. Words end where their last symbol says so, so the words after a context share one
 probability; a word's is mixed (MIX) from what the network gives its symbols and its share of all training words.
 
-What is learnt grows with the input and is learnt where the texts are: of every training text one in LEARN windows of
-words (one at least) goes, as symbols, to a written table; tasks over it count symbols, then take gradient steps from common
+What is learnt grows with the input and is learnt where the texts are: every training text goes whole, in windows of
+words, as symbols to a written table; tasks over it count symbols, then take gradient steps from common
 weights, whose changes are averaged (ROUNDS times). Counts of words cover all training texts: words above a share of
 1 / MOST_COMMON are at most that many and go to every task, all other occurrences meet their counts in fragments of the
 hash order.
@@ -31,7 +31,7 @@ from .tokens import word_ids
 single_thread()
 
 FOLDS = 10
-SPAN, LEARN = 64, 6  # words of a window, and one in how many windows of a training text is learnt
+SPAN = 64  # words of a window
 ROUNDS = 2  # of training, each over its own part of the learnt windows
 BLOCK, HEAD, WIDE = 16, 8, 16
 INPUTS, SINGLE, GROUPS = 4096, 96, 32  # symbols with own embeddings, symbols that are a class of their own, further classes
@@ -242,14 +242,13 @@ _READ_SQL = _COUNT_SQL + ", part int, symbols binary, sizes binary"
 
 
 def learnt_windows(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, number of them for each window) of the windows that are learnt: of a text's windows of SPAN words every LEARN-th,
-    the first of them chosen by the text's length. The last window of a text ends with END; what is before the others is not
-    known to them."""
+    """(symbols, number of them for each window) of the windows that are learnt: all words of a text in windows of SPAN. The last
+    window of a text ends with END; what is before the others is not known to them."""
     wanted, ends = [], []
     for t in texts:
         own = t.split()
         many = max(1, -(-len(own) // SPAN))
-        for k in range(len(t) % min(LEARN, many), many, LEARN):
+        for k in range(many):
             wanted.append(b" ".join(own[k * SPAN : (k + 1) * SPAN]))
             ends.append(k == many - 1)
     flat, per_word, per_text = symbols_of(wanted, path)
