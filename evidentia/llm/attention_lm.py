@@ -32,6 +32,7 @@ single_thread()
 
 FOLDS = 10
 SPAN = 64  # words of a window
+PIECE = 1 << 17  # bytes of text whose windows are a row
 ROUNDS = 2  # of training, each over its own part of the learnt windows
 BLOCK, HEAD, WIDE = 16, 8, 16
 INPUTS, SINGLE, GROUPS = 4096, 96, 32  # symbols with own embeddings, symbols that are a class of their own, further classes
@@ -278,9 +279,10 @@ def _read(batches: Iterator[pa.RecordBatch], fragments: int, path: str) -> Itera
         for a, b in slices(offsets):
             raw, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             held.append(words(raw, own)[0])
-            symbols, sizes = learnt_windows([raw[i:j].tobytes() for i, j in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)], path)
-            part = (part + 1) % ROUNDS
-            yield pa.RecordBatch.from_pylist([{"part": part, "symbols": symbols.astype("<i4").tobytes(), "sizes": sizes.astype("<i4").tobytes()}], schema=_READ)
+            for c, d in slices(own, PIECE):  # small rows, so what a task holds does not grow with the words learnt
+                symbols, sizes = learnt_windows([raw[i:j].tobytes() for i, j in zip(own[c:d].tolist(), own[c + 1 : d + 1].tolist(), strict=True)], path)
+                part = (part + 1) % ROUNDS
+                yield pa.RecordBatch.from_pylist([{"part": part, "symbols": symbols.astype("<i4").tobytes(), "sizes": sizes.astype("<i4").tobytes()}], schema=_READ)
             waiting += len(held[-1])
             texts += b - a
             if waiting >= FLUSH:
