@@ -71,30 +71,34 @@ def values(tokens: np.ndarray, f: int) -> np.ndarray:
     return np.where(tokens == 0, np.uint64(0), mixed(tokens ^ _SEEDS[f]) | np.uint64(1))
 
 
-def minima(tokens: np.ndarray, f: int, window: int = WINDOW) -> np.ndarray:
-    """Places that are the minimum of some `window` tokens of one text: the nodes of the Cartesian tree with so many
-    tokens below them."""
-    if len(tokens) < window:
-        return np.zeros(0, np.int64)
+def nodes(tokens: np.ndarray, f: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash values, the least of every `window` of them, minima)."""
     h = values(tokens, f)
+    if len(tokens) < window:
+        return h, h[:0], np.zeros(0, np.int64)
     low = _slide(h, window, np.minimum)
     high = _slide(np.concatenate([np.zeros(window - 1, np.uint64), low, np.zeros(window - 1, np.uint64)]), window, np.maximum)
-    return np.flatnonzero((high == h) & (h != 0))
+    return h, low, np.flatnonzero((high == h) & (h != 0))
+
 
+def minima(tokens: np.ndarray, f: int, window: int = WINDOW) -> np.ndarray:
+    """Places that are the minimum of some `window` tokens of one text: the nodes of the Cartesian tree with so many
+    tokens below them."""
+    return nodes(tokens, f, window)[2]
 
-def runs(tokens: np.ndarray, f: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def runs(tokens: np.ndarray, f: int, window: int = WINDOW, own: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of the minimum, first and last begin) of the compact windows: every `window` tokens that begin in this interval
-    have their minimum there (of equal tokens the first). Subsequences that reach over a text's end are in none."""
+    have their minimum there (of equal tokens the first). Subsequences that reach over a text's end are in none. own: what
+    nodes gives, where it is known."""
     if len(tokens) < window:
         return (np.zeros(0, np.int64),) * 3
-    h = values(tokens, f)
-    low = _slide(h, window, np.minimum)
+    h, low, at = own or nodes(tokens, f, window)
     first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
     last = np.append(first[1:], len(low)) - 1
     inside = low[first] != 0
     first, last = first[inside], last[inside]
     # The place is the first one at or after the interval's begin that has the value.
-    at = minima(tokens, f, window)
     known, rank = np.unique(h[at], return_inverse=True)
     order = np.sort(rank * (len(h) + 1) + at)
     wanted = np.searchsorted(known, low[first]) * (len(h) + 1)
@@ -133,12 +137,12 @@ _REGION = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("tokens", p
 _REGION_SQL = "doc_id long, start int, tokens binary, key array<long>, c array<int>"
 
 
-def keys(tokens: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def keys(tokens: np.ndarray, use: np.ndarray, own: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, place, first and last begin of the subsequences) where the compact windows of two functions overlap: the interval
-    join of their runs, for every two functions. use tells which tokens count. The last four bits of a key name the functions."""
+    join of their runs, for every two functions. use tells which tokens count, own has the functions' nodes. The last four bits of a key name the functions."""
     found, each = [], []
     for f in range(FUNCTIONS):
-        c, first, last = runs(tokens, f)
+        c, first, last = runs(tokens, f, own=own[f])
         good = use[c]
         each.append((c[good], first[good], last[good]))
     for f in range(FUNCTIONS):
@@ -160,12 +164,13 @@ def keys(tokens: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def _regions_of(ids: list[int], tokens: np.ndarray, bounds: np.ndarray, shared: np.ndarray) -> pa.RecordBatch | None:
     """Regions of texts: what subsequences cover whose two minima are shared tokens (numbers text << BITS | token, sorted)."""
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.uint64)
-    at = np.unique(np.concatenate([minima(tokens, f) for f in range(FUNCTIONS)]))
+    by_function = [nodes(tokens, f) for f in range(FUNCTIONS)]
+    at = np.unique(np.concatenate([x[2] for x in by_function]))
     mark = text[at] << np.uint64(BITS) | tokens[at]
     use = np.zeros(len(tokens), bool)
     if len(shared):
         use[at] = shared[np.minimum(np.searchsorted(shared, mark), len(shared) - 1)] == mark
-    key, c, first, last = keys(tokens, use)
+    key, c, first, last = keys(tokens, use, by_function)
     if not len(key):
         return None
     order = np.argsort(first, kind="stable")
@@ -313,12 +318,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Holders:
-    """Which members of a block hold a token."""
+    """Which members of a block hold a token, and which tokens several documents hold."""
 
-    def __init__(self, tokens: list[np.ndarray]):
+    def __init__(self, tokens: list[np.ndarray], docs: np.ndarray):
         flat, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens), dtype=np.int32), [len(t) for t in tokens])
         order = np.argsort(flat, kind="stable")
         self.tokens, self.owner, self.size = flat[order], owner[order], len(tokens)
+        doc = docs[self.owner]
+        self.common = np.unique(self.tokens[1:][(self.tokens[1:] == self.tokens[:-1]) & (doc[1:] != doc[:-1])])
+
+    def shared(self, x: np.ndarray) -> np.ndarray:
+        """Which tokens of x several documents hold."""
+        if not len(self.common):
+            return np.zeros(len(x), bool)
+        return self.common[np.minimum(np.searchsorted(self.common, x), len(self.common) - 1)] == x
 
     def near(self, x: np.ndarray, at: np.ndarray, who: np.ndarray) -> np.ndarray:
         """For each pair of a place of x and a member, whether x has WINDOW tokens around the place of which the member holds
@@ -326,8 +339,8 @@ class Holders:
         out = np.zeros(len(at), np.int8)
         for step in np.unique(at // STEP).tolist():
             mine = np.flatnonzero(at // STEP == step)
-            begin = max(0, step * STEP - WINDOW + 1)
-            some = x[begin : (step + 1) * STEP + WINDOW]
+            begin = max(0, int(at[mine].min()) - WINDOW + 1)
+            some = x[begin : int(at[mine].max()) + WINDOW]
             if len(some) < WINDOW:
                 continue
             low, high = np.searchsorted(self.tokens, some), np.searchsorted(self.tokens, some, "right")
@@ -350,6 +363,36 @@ class Holders:
         return out
 
 
+def near_held(held: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each place of a region, whether WINDOW tokens around it have LEAST that are held."""
+    total = np.append(0, np.cumsum(held))
+    dense = np.append(0, np.cumsum(total[WINDOW:] - total[:-WINDOW] >= LEAST))
+    last = len(dense) - 1
+    return dense[np.minimum(at + 1, last)] > dense[np.clip(at - WINDOW + 1, 0, last)]
+
+
+def _in_family(tokens: bytes, g: int) -> np.ndarray:
+    """A region's tokens, numbered anew for its family."""
+    return mixed(unpack48(tokens) ^ mixed(np.array([g]).view(np.uint64))) >> np.uint64(64 - BITS)
+
+
+def _family_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    for batch in batches:
+        for k, g, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield k, np.unique(_in_family(tokens, g))
+
+
+def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of regions with the tokens that others of their family hold: the ids of those where some key stands among enough of them."""
+    for batch in batches:
+        places, held = batch.column(4), batch.column(5)
+        good = []
+        for i, (k, g, start, tokens) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+            if near_held(np.isin(_in_family(tokens, g), held[i].values.to_numpy().view(np.uint64)), places[i].values.to_numpy() - start).any():
+                good.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["alive"])
+
+
 def _dense(y: np.ndarray, x: Index, at: np.ndarray) -> bool:
     """Whether y has WINDOW tokens around one of the places of which x holds MEAN."""
     some = y[max(0, int(at.min()) - WINDOW + 1) : int(at.max()) + WINDOW]
@@ -372,12 +415,13 @@ def _compare(table: pa.Table) -> pa.Table:
     columns = np.flatnonzero(side[owner] == 1)
     columns = columns[np.argsort(key[columns], kind="stable")]
     rows = np.flatnonzero(side == 0)
-    row_of = {(docs[k], starts[k]): k for k in rows.tolist()}
+    still = np.flatnonzero((side == 1) & ~table.column("live").to_numpy())  # no rows, but what covers their open keys is news
+    row_of = {(docs[k], starts[k]): k for k in [*still.tolist(), *rows.tolist()]}
     known: dict[int, Index] = {}
     found, tried = [], set()
     if len(rows) and len(columns):
         tokens = [unpack48(t) for t in table.column("tokens").to_pylist()]
-        holders = Holders(tokens)
+        holders = Holders(tokens, docs)
 
     def close(k: int, begin: int, end: int) -> bool:
         """Whether the places cover an open key of region k; it is open no more."""
@@ -387,10 +431,11 @@ def _compare(table: pa.Table) -> pa.Table:
         return bool(inside.any())
 
     for k in rows.tolist():
-        own = slice(cuts[k], cuts[k + 1])
+        own = np.arange(cuts[k], cuts[k + 1])
+        own = own[near_held(holders.shared(tokens[k]), place[own] - starts[k])]  # no member is near the others
         low, high = np.searchsorted(key[columns], key[own]), np.searchsorted(key[columns], key[own], "right")
         many = high - low
-        n = np.repeat(np.arange(cuts[k], cuts[k + 1]), many)
+        n = np.repeat(own, many)
         m = columns[np.arange(len(n)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]
         j = owner[m]
         use = (docs[j] != docs[k]) & (open_[n] | (root[j] != root[k]))
@@ -430,7 +475,9 @@ def rest_pairs(windows: DataFrame, hubs: DataFrame, regions: DataFrame, found: D
 
     A key's family is that of its least document's first region that holds it. Regions that are apart go to every block of
     their family, the others to one, so a task gets a pair of blocks whatever the size of the family, and what is connected
-    costs one copy.
+    costs one copy. A region can only be like another one if WINDOW tokens around one of its keys have LEAST that others of the
+    family hold. In families of several blocks tokens are counted first, in fragments of the hash order, and regions that do not
+    pass are not apart; so documents that have but a phrase in common, however many, are not compared pair by pair.
     """
     number = lambda doc, start: F.xxhash64(doc, start)
     family = keep(hubs.where("twin_id = low").groupBy("k", "low").agg(F.min("twin_at").alias("at")).select("k", number("low", "at").alias("g")))
@@ -446,16 +493,24 @@ def rest_pairs(windows: DataFrame, hubs: DataFrame, regions: DataFrame, found: D
     sums = members.groupBy("g", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("mass"))
     largest = keep(sums.groupBy("g").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.sum("mass").alias("mass")))
     apart = (F.col("root") != F.col("most.root")) | F.exists("w", lambda x: x["open"])
-    judged = keep(members.join(largest.where("n > 1"), "g").select("g", "doc_id", "start", "w", "size", "root", "n", "mass", apart.alias("apart")))
-    many = keep(judged.where("apart").groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("row_mass")))
+    id_ = F.shiftleft(F.xxhash64("g", "doc_id", "start"), 1) + F.col("apart").cast("int")  # its last bit tells what is apart
+    judged = members.join(largest.where("n > 1"), "g").withColumn("apart", apart).select(id_.alias("id"), "g", "doc_id", "start", "w", "size", "root", "n", "mass", "apart")
+    judged = keep(judged)
     blocks = lambda n, mass: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(mass) / MASS)).cast("int")
+    large = blocks("n", "mass") > 1
+    wide = keep(judged.where(large).join(regions.select("doc_id", "start", "tokens"), ["doc_id", "start"]).select("id", "g", "start", "tokens", F.col("w.c").alias("c")))
+    held = shared_lists(shared_grams(wide.select("id", "g", "tokens"), _family_tokens)).where("id & 1 = 1").groupBy("id").agg(F.flatten(F.collect_list("grams")).alias("held"))
+    alive = keep(wide.join(held, "id").select("id", "g", "start", "tokens", "c", "held").mapInArrow(_alive, "alive long"))
+    live = F.col("apart") & (~large | F.col("alive").isNotNull())
+    judged = judged.join(alive, F.col("id") == F.col("alive"), "left").withColumn("live", live)
+    many = keep(judged.where("live").groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("row_mass")))
     dealt = judged.join(many, "g").withColumn("rows", blocks("m", "row_mass")).withColumn("columns", blocks("n", "mass"))
     block = lambda n: F.pmod(number("doc_id", "start"), n).cast("int")
-    one, to = ["g", "doc_id", "start", "w", "root"], lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = dealt.where("apart").select(*one, F.lit(0).alias("side"), block(F.col("rows")).alias("i"), to("columns").alias("j"))
+    one, to = ["g", "doc_id", "start", "w", "root", "live"], lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.where("live").select(*one, F.lit(0).alias("side"), block(F.col("rows")).alias("i"), to("columns").alias("j"))
     right = dealt.select(*one, F.lit(1).alias("side"), to("rows").alias("i"), block(F.col("columns")).alias("j"))
     full = left.unionByName(right).join(regions.select("doc_id", "start", "tokens"), ["doc_id", "start"])
-    parts = full.select("g", "i", "j", "side", "doc_id", "start", "root", "tokens", F.col("w.key").alias("key"), F.col("w.c").alias("c"), F.col("w.open").alias("open"))
+    parts = full.select("g", "i", "j", "side", "doc_id", "start", "root", "live", "tokens", F.col("w.key").alias("key"), F.col("w.c").alias("c"), F.col("w.open").alias("open"))
     return parts.groupBy("g", "i", "j").applyInArrow(_compare, _PAIR_SQL)
 
 

@@ -311,3 +311,39 @@ def test_families_are_what_pairs_connect(spark, corpus):
     for e, f in family.items():
         groups.setdefault(f, set()).add(top(e))
     assert rows and all(len(g) == 1 for g in groups.values()) and len(groups) == len({top(e) for e in family})
+
+
+def test_documents_with_a_phrase_in_common_are_not_compared(monkeypatch):
+    """Sixty regions hold one phrase of 26 tokens, two of them the same 120 tokens: only these two are looked at closely."""
+    import numpy as np
+    import pyarrow as pa
+
+    from evidentia.llm import substring_dedup as op1
+    from evidentia.llm.grams import pack48
+
+    rng = np.random.default_rng(3)
+    phrase, passage = rng.integers(1, 2**48, 26).astype(np.uint64), rng.integers(1, 2**48, 47).astype(np.uint64)
+    some = lambda n: rng.integers(1, 2**48, n).astype(np.uint64)
+    tokens = [np.concatenate([passage, phrase, passage[::-1]]) if k in (20, 30) else np.concatenate([some(47), phrase, some(47)]) for k in range(60)]
+    sides = [{"g": 5, "i": 0, "j": 0, "side": s, "doc_id": k, "start": 0, "root": k, "live": True, "tokens": pack48(t), "key": [7], "c": [60], "open": [True]} for s in (0, 1) for k, t in enumerate(tokens)]
+    looked = []
+    near = op1.Holders.near
+    monkeypatch.setattr(op1.Holders, "near", lambda self, x, at, who: looked.append(len(who)) or near(self, x, at, who))
+    found = op1._compare(pa.Table.from_pylist(sides)).to_pylist()
+    assert {frozenset((r["doc_id"], r["twin_id"])) for r in found} == {frozenset((20, 30))}
+    assert len(looked) == 2  # sixty, each with all others, before
+
+    ids = list(range(60))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([5] * 60), pa.array([pack48(t) for t in tokens])], names=["id", "g", "tokens"])
+    sets = dict(op1._family_tokens([batch]))
+    held = [sorted(x for x in sets[k].tolist() if any(x in sets[m] for m in ids if m != k)) for k in ids]
+    rows = [*batch.columns[:2], pa.array([0] * 60, pa.int32()), batch.column(2), pa.array([[60]] * 60, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int64()))]
+    out = list(op1._alive([pa.RecordBatch.from_arrays(rows, names=["id", "g", "start", "tokens", "c", "held"])]))
+    assert [k for b in out for k in b.column(0).to_pylist()] == [20, 30]
+
+
+def test_substring_in_families_of_several_blocks(spark, monkeypatch):
+    """As between others than the hubs, in blocks of four regions: what is filtered there loses no passage."""
+    monkeypatch.setattr("evidentia.llm.substring_dedup.BLOCK", 4)
+    test_substring_between_others_than_the_hubs(spark)
+    test_substring_with_quoting_documents(spark)
