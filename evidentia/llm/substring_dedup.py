@@ -22,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .grams import BITS, WORDS, gram_hashes, mixed, pack48, slices, text_buffer, unpack48, words
 from .jaccard_join import shared_grams, shared_lists
-from .store import keep
+from .store import drop, keep, written_alone
 
 PASSAGE = 50  # words that a repeated passage has at least
 WINDOW = PASSAGE - WORDS + 1
@@ -403,8 +403,12 @@ def _dense(y: np.ndarray, x: Index, at: np.ndarray) -> bool:
 def _compare(table: pa.Table) -> pa.Table:
     """Passages that connect what is apart among the regions of one family (of one pair of its blocks): each row (a region that
     is apart) is verified with the regions that hold its open keys (all its keys, if it is not in their component), those
-    with most keys first, unless they are connected and all its keys lie in verified passages."""
-    side = table.column("side").to_numpy()
+    with most keys first, unless they are connected and all its keys lie in verified passages. Side 0 is a row, 1 a region that rows
+    meet, 2 is sent once and is both. Regions are taken in order of their ids, so the result does not depend on the order of rows."""
+    side, order = table.column("side").to_numpy(), np.lexsort([table.column(c).to_numpy() for c in ("start", "doc_id")])
+    left, right = order[side[order] != 1], order[side[order] != 0]
+    table = table.take(np.append(left, right))
+    side = np.repeat([0, 1], [len(left), len(right)])
     docs, starts = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
     lists = [table.column(c).combine_chunks() for c in ("key", "c", "open")]
     cuts = np.append(0, np.cumsum(lists[0].value_lengths().to_numpy()))
@@ -470,53 +474,71 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [[]] * len(_PAIR), _PAIR, strict=True)], schema=_PAIR)
 
 
-def rest_pairs(windows: DataFrame, hubs: DataFrame, regions: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows like found's for what the hubs left apart.
+def _number(doc: str, start: str) -> Column:
+    return F.xxhash64(doc, start)
 
-    A key's family is that of its least document's first region that holds it. Regions that are apart go to every block of
-    their family, the others to one, so a task gets a pair of blocks whatever the size of the family, and what is connected
-    costs one copy. A region can only be like another one if WINDOW tokens around one of its keys have LEAST that others of the
-    family hold. In families of several blocks tokens are counted first, in fragments of the hash order, and regions that do not
-    pass are not apart; so documents that have but a phrase in common, however many, are not compared pair by pair.
-    """
-    number = lambda doc, start: F.xxhash64(doc, start)
-    family = keep(hubs.where("twin_id = low").groupBy("k", "low").agg(F.min("twin_at").alias("at")).select("k", number("low", "at").alias("g")))
+
+def family_members(windows: DataFrame, hubs: DataFrame, found: DataFrame) -> DataFrame:
+    """(g, doc_id, start, w, size, root), written: the regions of every family with their keys, which of these are open, and what they
+    are connected with. A key's family is that of its least document's first region that holds it."""
+    family = keep(hubs.where("twin_id = low").groupBy("k", "low").agg(F.min("twin_at").alias("at")).select("k", _number("low", "at").alias("g")))
     sides = found.select("doc_id", "start", "start_word", "end_word").union(found.select("twin_id", "twin_at", "twin_start", "twin_end"))
     covered = keep(sides.distinct().groupBy(F.col("doc_id").alias("d"), F.col("start").alias("s")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("covered")))
-    roots = keep(components(found.select(number("doc_id", "start").alias("a"), number("twin_id", "twin_at").alias("b")), "a", "b"))
+    edges = found.select(_number("doc_id", "start").alias("a"), _number("twin_id", "twin_at").alias("b"))
+    roots = written_alone(found.sparkSession, lambda: components(edges, "a", "b"))
     inside = F.exists("covered", lambda p: (F.col("c") >= p["start_word"]) & (F.col("c") <= p["end_word"] - WORDS))
     known = windows.join(family, F.col("key") == F.col("k")).join(covered, (F.col("doc_id") == F.col("d")) & (F.col("start") == F.col("s")), "left")
     own = F.struct("key", "c", (~F.coalesce(inside, F.lit(False))).alias("open"))
     members = known.groupBy("g", "doc_id", "start").agg(F.collect_list(own).alias("w"), F.max("size").alias("size"))
-    members = members.join(roots, number("doc_id", "start") == F.col("node"), "left").select("g", "doc_id", "start", "w", "size", F.coalesce("root", number("doc_id", "start")).alias("root"))
+    members = members.join(roots, _number("doc_id", "start") == F.col("node"), "left").select("g", "doc_id", "start", "w", "size", F.coalesce("root", _number("doc_id", "start")).alias("root"))
     members = keep(members)
+    drop(family, covered, roots)
+    return members
+
+
+def rest_pairs(members: DataFrame, regions: DataFrame) -> DataFrame:
+    """Rows like found's, written, for what the hubs left apart; members are dropped.
+
+    Regions that are apart go to every block of their family, the others to one, so a task gets a pair of blocks whatever the size
+    of the family, and what is connected costs one copy. A region that a block would get as both goes there once. A region can
+    only be like another one if WINDOW tokens around one of its keys have LEAST that others of the family hold. In families of
+    several blocks tokens are counted first, in fragments of the hash order, and regions that do not pass are not apart; so documents
+    that have but a phrase in common, however many, are not compared pair by pair.
+    """
     sums = members.groupBy("g", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("mass"))
     largest = keep(sums.groupBy("g").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.sum("mass").alias("mass")))
     apart = (F.col("root") != F.col("most.root")) | F.exists("w", lambda x: x["open"])
     id_ = F.shiftleft(F.xxhash64("g", "doc_id", "start"), 1) + F.col("apart").cast("int")  # its last bit tells what is apart
     judged = members.join(largest.where("n > 1"), "g").withColumn("apart", apart).select(id_.alias("id"), "g", "doc_id", "start", "w", "size", "root", "n", "mass", "apart")
     judged = keep(judged)
+    drop(members, largest)
     blocks = lambda n, mass: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(mass) / MASS)).cast("int")
     large = blocks("n", "mass") > 1
     wide = keep(judged.where(large).join(regions.select("doc_id", "start", "tokens"), ["doc_id", "start"]).select("id", "g", "start", "tokens", F.col("w.c").alias("c")))
-    held = shared_lists(shared_grams(wide.select("id", "g", "tokens"), _family_tokens)).where("id & 1 = 1").groupBy("id").agg(F.flatten(F.collect_list("grams")).alias("held"))
+    counted = shared_grams(wide.select("id", "g", "tokens"), _family_tokens)
+    held = shared_lists(counted).where("id & 1 = 1").groupBy("id").agg(F.flatten(F.collect_list("grams")).alias("held"))
     alive = keep(wide.join(held, "id").select("id", "g", "start", "tokens", "c", "held").mapInArrow(_alive, "alive long"))
+    drop(wide, counted)
     live = F.col("apart") & (~large | F.col("alive").isNotNull())
-    judged = judged.join(alive, F.col("id") == F.col("alive"), "left").withColumn("live", live)
-    many = keep(judged.where("live").groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("row_mass")))
-    dealt = judged.join(many, "g").withColumn("rows", blocks("m", "row_mass")).withColumn("columns", blocks("n", "mass"))
-    block = lambda n: F.pmod(number("doc_id", "start"), n).cast("int")
-    one, to = ["g", "doc_id", "start", "w", "root", "live"], lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = dealt.where("live").select(*one, F.lit(0).alias("side"), block(F.col("rows")).alias("i"), to("columns").alias("j"))
-    right = dealt.select(*one, F.lit(1).alias("side"), to("rows").alias("i"), block(F.col("columns")).alias("j"))
-    full = left.unionByName(right).join(regions.select("doc_id", "start", "tokens"), ["doc_id", "start"])
-    parts = full.select("g", "i", "j", "side", "doc_id", "start", "root", "live", "tokens", F.col("w.key").alias("key"), F.col("w.c").alias("c"), F.col("w.open").alias("open"))
-    return parts.groupBy("g", "i", "j").applyInArrow(_compare, _PAIR_SQL)
+    flagged = judged.join(alive, F.col("id") == F.col("alive"), "left").withColumn("live", live)
+    many = keep(flagged.where("live").groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("row_mass")))
+    dealt = flagged.join(many, "g").withColumn("rows", blocks("m", "row_mass")).withColumn("columns", blocks("n", "mass"))
+    block = lambda n: F.pmod(_number("doc_id", "start"), n).cast("int")
+    whole = dealt.select("g", "doc_id", "start", "w", "root", "live", "rows", "columns", block(F.col("rows")).alias("row"), block(F.col("columns")).alias("column"))
+    place = lambda side, i, j: F.struct(side.cast("int").alias("side"), i.alias("i"), j.alias("j"))
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_row = F.transform(to("columns"), lambda j: place(F.when(j == F.col("column"), 2).otherwise(0), F.col("row"), j))
+    as_column = F.transform(F.filter(to("rows"), lambda i: ~F.col("live") | (i != F.col("row"))), lambda i: place(F.lit(1), i, F.col("column")))
+    full = whole.join(regions.select("doc_id", "start", "tokens"), ["doc_id", "start"]).withColumn("at", F.explode(F.when(F.col("live"), F.concat(as_row, as_column)).otherwise(as_column)))
+    parts = full.select("g", "at.i", "at.j", "at.side", "doc_id", "start", "root", "live", "tokens", F.col("w.key").alias("key"), F.col("w.c").alias("c"), F.col("w.open").alias("open"))
+    rest = keep(parts.groupBy("g", "i", "j").applyInArrow(_compare, _PAIR_SQL))
+    drop(judged, alive, many)
+    return rest
 
 
 def with_families(rows: DataFrame) -> DataFrame:
     """rows with family_id: one number for all passages that pairs connect. Passages of a document that overlap are one, so who
-    copies a family reads its members without walking from pair to pair."""
+    copies a family reads its members without walking from pair to pair. If rows are a table that keep wrote, it goes."""
     mine, theirs = ("doc_id", "start_word", "end_word"), ("twin_id", "twin_start", "twin_end")
     ends = rows.select(*mine).union(rows.select(*theirs)).distinct()
     w = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
@@ -529,6 +551,7 @@ def with_families(rows: DataFrame) -> DataFrame:
         return df.join(places.withColumnRenamed("node", name), on).drop(*[f"_{m}" for m in mine])
 
     placed = keep(at(at(rows, mine, "a"), theirs, "b"))
+    drop(places, rows)
     roots = components(placed.select("a", "b").distinct(), "a", "b")
     return placed.join(roots, F.col("a") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "a").alias("family_id"))
 
@@ -552,14 +575,17 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "doc_id", zero.alias("start_word"), whole.alias("end_word"), F.when(F.col("doc_id") == F.col("rep"), F.col("last")).otherwise(F.col("rep")).alias("twin_id"),
         zero.alias("twin_start"), whole.alias("twin_end"), F.lit(FUNCTIONS).alias("n_hashes"), F.lit(1.0).alias("similarity"),
     )
-    shared = shared_lists(shared_grams(own.select("text"), _candidates)).groupBy("id").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    counted = shared_grams(own.select("text"), _candidates)
+    shared = shared_lists(counted).groupBy("id").agg(F.flatten(F.collect_list("grams")).alias("grams"))
     wanted = keep(classes.join(shared, "id").select("rep", "grams"))
     regions = keep(own.join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "grams").mapInArrow(_regions, _REGION_SQL))
+    drop(counted, wanted)
     size = (F.length("tokens") * 8 / BITS).cast("long").alias("size")
     windows = regions.select("doc_id", "start", size, F.explode(F.arrays_zip("key", "c")).alias("w")).select("doc_id", "start", "size", "w.*")
     ends = keep(windows.groupBy(F.col("key").alias("of")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high"))
     # Written before anything is grouped by key, so that the windows of a common key can be split among tasks.
     windows = keep(windows.join(ends, F.col("key") == F.col("of")).drop("of"))
+    drop(ends)
     hubs = keep(
         windows.where("doc_id = low OR doc_id = high")
         .select(F.col("key").alias("k"), F.col("doc_id").alias("twin_id"), F.col("start").alias("twin_at"), "low").distinct()
@@ -568,10 +594,19 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     met = sides.join(hubs, (F.col("key") == F.col("k")) & (F.col("twin") == F.col("twin_id")))
     functions = F.expr("bit_count(bit_or(key & 15))").cast("int")
     pairs = keep(met.groupBy("doc_id", "start", "twin_id", "twin_at").agg(functions.alias("n_hashes")))
-    mine = regions.select("doc_id", "start", "tokens")
-    theirs = regions.select(F.col("doc_id").alias("twin_id"), F.col("start").alias("twin_at"), F.col("tokens").alias("twin_tokens"))
-    both = pairs.join(mine, ["doc_id", "start"]).join(theirs, ["twin_id", "twin_at"])
-    found = keep(both.select("doc_id", "start", "tokens", "twin_id", "twin_at", "twin_tokens", "n_hashes").mapInArrow(_verify, _PAIR_SQL))
+    # Columns get no other names on the way, so both joins read one exchange of the regions.
+    mine, theirs = (regions.select("doc_id", "start", "tokens").alias(side) for side in ("mine", "theirs"))
+    met = pairs.alias("p").join(mine, (F.col("p.doc_id") == F.col("mine.doc_id")) & (F.col("p.start") == F.col("mine.start")))
+    both = met.join(theirs, (F.col("p.twin_id") == F.col("theirs.doc_id")) & (F.col("p.twin_at") == F.col("theirs.start")))
+    both = both.select("p.doc_id", "p.start", "mine.tokens", "p.twin_id", "p.twin_at", F.col("theirs.tokens").alias("twin_tokens"), "p.n_hashes")
+    found = keep(both.mapInArrow(_verify, _PAIR_SQL))
+    drop(pairs)
+    members = family_members(windows, hubs, found)
+    drop(windows, hubs)
+    rest = rest_pairs(members, regions)
+    drop(regions)
     passage = ["doc_id", "start_word", "end_word", "twin_id", "twin_start", "twin_end"]
-    rows = found.unionByName(keep(rest_pairs(windows, hubs, regions, found))).groupBy(*passage).agg(F.max("n_hashes").alias("n_hashes"), F.max("similarity").alias("similarity"))
-    return with_families(keep(copies.unionByName(rows)))
+    rows = found.unionByName(rest).groupBy(*passage).agg(F.max("n_hashes").alias("n_hashes"), F.max("similarity").alias("similarity"))
+    every = keep(copies.unionByName(rows))
+    drop(texts, classes, found, rest)
+    return with_families(every)

@@ -4,7 +4,10 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DOCS, edited, text_of
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from evidentia.llm.components import components
 from evidentia.llm.exact_dedup import chunks, exact_dedup
 from evidentia.llm.jaccard_join import jaccard_join, near_copies
+from evidentia.llm.store import shared_dir
 from evidentia.llm.substring_dedup import Index, minima, substring_dedup, values, verified
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -347,3 +351,40 @@ def test_substring_in_families_of_several_blocks(spark, monkeypatch):
     monkeypatch.setattr("evidentia.llm.substring_dedup.BLOCK", 4)
     test_substring_between_others_than_the_hubs(spark)
     test_substring_with_quoting_documents(spark)
+
+
+def test_tables_and_shuffle_files_on_the_way_go(spark, corpus):
+    from evidentia.llm import substring_dedup as op1
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffle_files() -> dict[str, int]:
+        files = blocks.getAllFiles()
+        return {f.getName(): f.length() for f in map(files.apply, range(files.size())) if f.getName().startswith("shuffle_")}
+
+    folder = Path(shared_dir(spark).removeprefix("file:"), "evidentia")
+    tables, files = set(folder.glob("*")), shuffle_files()
+    found = op1.substring_dedup(spark.createDataFrame(corpus, "doc_id long, text string, source string"))
+    assert len(set(folder.glob("*")) - tables) == 2  # what the result reads
+    assert sum(n for name, n in shuffle_files().items() if name not in files) < 10_000  # counts of edges, asked for without a table
+    assert found.count()
+
+
+def test_last_comparison_does_not_depend_on_the_order_of_rows():
+    from evidentia.llm import substring_dedup as op1
+
+    rng = np.random.default_rng(3)
+    fresh = lambda n: rng.integers(1, 1 << 47, n, dtype=np.uint64)
+    passage = fresh(80)
+    rows = []
+    for k in range(12):
+        own = np.where(rng.random(80) < 0.03 * (k % 4), fresh(80), passage)
+        tokens = np.concatenate([fresh(20), own, fresh(20)])
+        rows.append({"g": 1, "i": 0, "j": 0, "side": 2, "doc_id": k, "start": 0, "root": k, "live": True, "tokens": op1.pack48(tokens), "key": [7], "c": [60], "open": [True]})
+    results = []
+    for _ in range(4):
+        rng.shuffle(rows)
+        results.append(op1._compare(pa.Table.from_pylist(rows)).to_pylist())
+        twice = [r | {"side": side} for r in rows for side in (1, 0)]
+        results.append(op1._compare(pa.Table.from_pylist(twice)).to_pylist())
+    assert results[0] and all(r == results[0] for r in results)
