@@ -163,26 +163,17 @@ def _class_lists(table: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(values[good]), pa.array(size[good].astype(np.int32)), *lists], schema=_LISTS)
 
 
-def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            ids, sizes, counts, grams, held = _unpacked(batch.slice(i, 1))
-            at = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(sizes), pa.ListArray.from_arrays(at, pa.array(grams.astype(np.int64))), pa.ListArray.from_arrays(at, pa.array(held))],
-                names=["id", "size", "grams", "held"],
-            )
-
-
 def shared_grams(docs: DataFrame, sets: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
     """Rows of _SHARED, written: what each id shares with another one, by fragment."""
     fragments = partitions(docs.sparkSession)
     return keep(docs.mapInArrow(lambda b: send(sets(b), fragments), _SENT_SQL).groupBy("frag").applyInArrow(_find_shared, _SHARED_SQL))
 
 
-def shared_lists(shared: DataFrame) -> DataFrame:
-    """(id, size, grams, held) with a row for each id and fragment."""
-    return shared.mapInArrow(_shared_lists, "id long, size int, grams array<long>, held array<int>")
+def shared_lists(shared: DataFrame, percent: int = 0) -> DataFrame:
+    """(id, size, grams, held) with one row for each id that shares `percent` of its n-grams. Lists stay packed until a task has all
+    of an id's, so rows do not grow with the fragments."""
+    n = partitions(shared.sparkSession)
+    return shared.mapInArrow(lambda b: _by_class(b, n), _SHARED_SQL).groupBy("frag").applyInArrow(lambda t: _class_lists(t, percent), _LISTS_SQL)
 
 
 def gram_sets(keyed: DataFrame) -> DataFrame:
@@ -193,8 +184,7 @@ def gram_sets(keyed: DataFrame) -> DataFrame:
 def similar_classes(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Of the classes that may link at all: (id, size, weight, rarest, grams), written. grams are all their shared n-grams in
     the global order, rarest those of which linked classes have one in common, weight their mean number of holders."""
-    shared, n = shared_grams(docs.select(F.col(text).alias("text")), _classes), partitions(docs.sparkSession)
-    lists = shared.mapInArrow(lambda b: _by_class(b, n), _SHARED_SQL).groupBy("frag").applyInArrow(lambda t: _class_lists(t, percent), _LISTS_SQL)
+    lists = shared_lists(shared_grams(docs.select(F.col(text).alias("text")), _classes), percent)
     least = F.ceil(F.col("size").cast("long") * percent / 100).cast("int")  # of a set's n-grams that a linked set has to hold
     found = lists.select("id", "size", F.arrays_zip(F.col("held").alias("held"), F.col("grams").alias("gram")).alias("x"))
     ordered = found.select("id", "size", (F.size("x") - least + 1).alias("n"), F.array_sort("x").alias("x"))

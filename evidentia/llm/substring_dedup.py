@@ -516,7 +516,7 @@ def rest_pairs(members: DataFrame, regions: DataFrame) -> DataFrame:
     large = blocks("n", "mass") > 1
     wide = keep(judged.where(large).join(regions.select("doc_id", "start", "tokens"), ["doc_id", "start"]).select("id", "g", "start", "tokens", F.col("w.c").alias("c")))
     counted = shared_grams(wide.select("id", "g", "tokens"), _family_tokens)
-    held = shared_lists(counted).where("id & 1 = 1").groupBy("id").agg(F.flatten(F.collect_list("grams")).alias("held"))
+    held = shared_lists(counted).where("id & 1 = 1").select("id", F.col("grams").alias("held"))
     alive = keep(wide.join(held, "id").select("id", "g", "start", "tokens", "c", "held").mapInArrow(_alive, "alive long"))
     drop(wide, counted)
     live = F.col("apart") & (~large | F.col("alive").isNotNull())
@@ -576,8 +576,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         zero.alias("twin_start"), whole.alias("twin_end"), F.lit(FUNCTIONS).alias("n_hashes"), F.lit(1.0).alias("similarity"),
     )
     counted = shared_grams(own.select("text"), _candidates)
-    shared = shared_lists(counted).groupBy("id").agg(F.flatten(F.collect_list("grams")).alias("grams"))
-    wanted = keep(classes.join(shared, "id").select("rep", "grams"))
+    wanted = keep(classes.join(shared_lists(counted), "id").select("rep", "grams"))
     regions = keep(own.join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "grams").mapInArrow(_regions, _REGION_SQL))
     drop(counted, wanted)
     size = (F.length("tokens") * 8 / BITS).cast("long").alias("size")

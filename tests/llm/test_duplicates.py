@@ -388,3 +388,15 @@ def test_last_comparison_does_not_depend_on_the_order_of_rows():
         twice = [r | {"side": side} for r in rows for side in (1, 0)]
         results.append(op1._compare(pa.Table.from_pylist(twice)).to_pylist())
     assert results[0] and all(r == results[0] for r in results)
+
+
+def test_lists_of_several_fragments_are_one_row(spark):
+    """From each of 9 fragments four ids have some n-grams: a row for each id, not for each fragment."""
+    from evidentia.llm import jaccard_join as op2
+
+    rows = [r for f in range(9) for r in op2._rows(np.full(8, f), np.repeat(np.arange(4), 2), np.arange(8).astype(np.uint64) + np.uint64(100 * f), np.arange(4) - 2, np.full(4, 18, np.int32), np.full(8, 4))]
+    shared = spark.createDataFrame([tuple(r[c] for c in op2._SHARED.names) for r in rows], op2._SHARED_SQL)
+    found = {r["id"]: r for r in op2.shared_lists(shared).collect()}
+    assert op2.shared_lists(shared).count() == 4 and set(found) == {-2, -1, 0, 1}
+    for k in range(4):
+        assert sorted(found[k - 2]["grams"]) == [100 * f + 2 * k + x for f in range(9) for x in (0, 1)]
