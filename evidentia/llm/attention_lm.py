@@ -168,13 +168,13 @@ class AttentionLM:
     def gradient(self, f: dict, target: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
         """(rows of the table, their gradients, gradients of the rest) of the mean loss of the real places."""
         p, n = self.p, f["n"]
-        dz = f["z"] / f["z"].sum(1, keepdims=True)
-        dz[np.arange(len(target)), target] -= 1
-        dz *= real[:, None] / np.float32(max(1, real.sum()))
+        z, weight = f["z"], real / np.float32(max(1, real.sum()))
+        dz = z * (weight / (z @ np.ones(CLASSES, z.dtype)))[:, None]  # one pass over the largest array
+        dz[np.arange(len(target)), target] -= weight
         dh = (dz @ p["u"].T) * (f["h"] > 0)
         do = (dh @ p["o"].T).reshape(n, BLOCK, HEAD)
         de = np.matmul(do, f["v"].transpose(0, 2, 1))
-        ds = f["e"] * (de - (de * f["e"]).sum(2, keepdims=True))
+        ds = f["e"] * (de - ((de * f["e"]).reshape(-1, 2 * BLOCK) @ np.ones((2 * BLOCK, 1), de.dtype)).reshape(n, BLOCK, 1))
         dq, dk, dv = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"]), np.matmul(f["e"].transpose(0, 2, 1), do)
         every = np.zeros((n + 1, BLOCK, 3 * HEAD + WIDE), np.float32)
         every[1:, :, :HEAD] = dq
@@ -186,7 +186,7 @@ class AttentionLM:
         order = np.argsort(f["at"], kind="stable")
         rows = f["at"][order]
         heads = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        dense = {"o": f["o"].T @ dh, "h": dh.sum(0), "u": f["h"].T @ dz, "c": dz.sum(0), "d": np.bincount(self.back.ravel(), ds.sum(0).ravel(), 2 * BLOCK).astype(np.float32)}
+        dense = {"o": f["o"].T @ dh, "h": dh.sum(0), "u": f["h"].T @ dz, "c": np.ones(len(dz), dz.dtype) @ dz, "d": np.bincount(self.back.ravel(), ds.sum(0).ravel(), 2 * BLOCK).astype(np.float32)}
         return rows[heads], np.add.reduceat(every[order], heads, axis=0), dense
 
     def learn(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], seed: int = 12) -> np.ndarray:
